@@ -6,8 +6,8 @@ shorter context's distribution over the symbols that the longer one has not seen
 training, so the cost of a byte depends on the three bytes before it alone: the trees of all languages become
 one table (context state x byte class x language) and a text's exact code length is a sum of table rows.
 
-Training reads at most max_docs labelled rows a language (those with the smallest hash of the id, whole texts);
-the counts are aggregated by Spark. max_table_mb bounds the table and so the broadcast; beyond it the rarest
+Training reads about max_docs labelled rows a language (all of them where there are no more), chosen by a hash of the
+row, whole texts; the counts are aggregated by Spark. max_table_mb bounds the table and so the broadcast; beyond it the rarest
 order-3 contexts fall back to order 2.
 """
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -49,14 +49,10 @@ def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_table_mb: int = 64) -> PpmModel:
     """Rows with a null or empty text or a null language teach nothing. Without any row the model knows no language."""
-    rank = Window.partitionBy("_l").orderBy(F.xxhash64("_i"), "_i", F.xxhash64("_t"))
-    rows = (
-        labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t"))
-        .where("_l is not null and length(_t) > 0")
-        .withColumn("_r", F.row_number().over(rank))
-        .where(F.col("_r") <= max_docs)
-        .select("_l", "_t")
-    )
+    named = labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).where("_l is not null and length(_t) > 0")
+    # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group
+    rates = named.groupBy("_l").agg((F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*"))).alias("_r"))
+    rows = named.join(rates, "_l").where(F.abs(F.xxhash64("_i", "_t").cast("double")) <= F.col("_r")).select("_l", "_t")
 
     def count(batches):
         for b in batches:
