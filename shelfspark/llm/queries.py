@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from shelfspark.llm.language_id import op2_language_id
+from shelfspark.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL where it can express a query
