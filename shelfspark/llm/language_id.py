@@ -50,9 +50,10 @@ def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_table_mb: int = 64) -> PpmModel:
     """Rows with a null or empty text or a null language teach nothing. Without any row the model knows no language."""
     named = labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).where("_l is not null and length(_t) > 0")
-    # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group
+    # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group.
+    # Broadcast: one row a language, as many as the model has columns
     rates = named.groupBy("_l").agg((F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*"))).alias("_r"))
-    rows = named.join(rates, "_l").where(F.abs(F.xxhash64("_i", "_t").cast("double")) <= F.col("_r")).select("_l", "_t")
+    rows = named.join(F.broadcast(rates), "_l").where(F.abs(F.xxhash64("_i", "_t").cast("double")) <= F.col("_r")).select("_l", "_t")
 
     def count(batches):
         for b in batches:

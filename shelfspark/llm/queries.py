@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from shelfspark.llm.language_id import op2_language_id
+from shelfspark.llm.packing import op9_packing
 from shelfspark.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
