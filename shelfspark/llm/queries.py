@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
+from shelfspark.llm.decontaminate import OP7_SQL, op7_decontamination
 from shelfspark.llm.language_id import op2_language_id
 from shelfspark.llm.packing import op9_packing
 from shelfspark.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_language_id": op2_language_id,
+    "op7_decontamination": op7_decontamination,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
 
 #: DuckDB SQL where it can express a query
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_decontamination": OP7_SQL,
+}
