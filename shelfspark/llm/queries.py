@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from shelfspark.llm.decontaminate import OP7_SQL, op7_decontamination
 from shelfspark.llm.language_id import op2_language_id
+from shelfspark.llm.lm_score import op8_lm_score
 from shelfspark.llm.packing import op9_packing
 from shelfspark.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_language_id": op2_language_id,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
 }
