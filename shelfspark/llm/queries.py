@@ -7,8 +7,10 @@ from shelfspark.llm.language_id import op2_language_id
 from shelfspark.llm.lm_score import op8_lm_score
 from shelfspark.llm.packing import op9_packing
 from shelfspark.llm.simhash import op10_simhash
+from shelfspark.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op7_decontamination": op7_decontamination,
     "op8_lm_score": op8_lm_score,
