@@ -6,12 +6,14 @@ from shelfspark.llm.decontaminate import OP7_SQL, op7_decontamination
 from shelfspark.llm.language_id import op2_language_id
 from shelfspark.llm.lm_score import op8_lm_score
 from shelfspark.llm.packing import op9_packing
+from shelfspark.llm.secret_scan import OP3_SQL, op3_secret_scan
 from shelfspark.llm.simhash import op10_simhash
 from shelfspark.llm.suffix_dedup import op1_suffix_dedup
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
+    "op3_secret_scan": op3_secret_scan,
     "op7_decontamination": op7_decontamination,
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
@@ -20,5 +22,6 @@ QUERIES = {
 
 #: DuckDB SQL where it can express a query
 ORACLE_SQL: dict[str, str] = {
+    "op3_secret_scan": OP3_SQL,
     "op7_decontamination": OP7_SQL,
 }
