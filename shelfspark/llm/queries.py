@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from shelfspark.llm.chat_format import op4_chat_format
 from shelfspark.llm.decontaminate import OP7_SQL, op7_decontamination
 from shelfspark.llm.language_id import op2_language_id
+from shelfspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from shelfspark.llm.lm_score import op8_lm_score
 from shelfspark.llm.packing import op9_packing
+from shelfspark.llm.pivot_search import OP6_SQL, op6_topk
 from shelfspark.llm.secret_scan import OP3_SQL, op3_secret_scan
 from shelfspark.llm.simhash import op10_simhash
 from shelfspark.llm.suffix_dedup import op1_suffix_dedup
@@ -14,6 +17,9 @@ QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op3_secret_scan": op3_secret_scan,
+    "op4_chat_format": op4_chat_format,
+    "op5_line_dedup": op5_line_dedup,
+    "op6_topk": op6_topk,
     "op7_decontamination": op7_decontamination,
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
@@ -23,5 +29,7 @@ QUERIES = {
 #: DuckDB SQL where it can express a query
 ORACLE_SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
+    "op5_line_dedup": OP5_SQL,
+    "op6_topk": OP6_SQL,
     "op7_decontamination": OP7_SQL,
 }

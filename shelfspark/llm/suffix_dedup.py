@@ -109,10 +109,12 @@ def repeated_windows(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, at: np.n
     return row, win
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keyed(docs: DataFrame, id_col: str, text_col: str, rest: bool = False) -> DataFrame:
     """key: names a row. The id if it is a number that is never null nor repeated, else a hash of id and text
-    (rows that agree in both repeat each other wholly, and have the same result)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    (rows that agree in both repeat each other wholly, and have the same result). rest: a struct of all columns but
+    the text goes along."""
+    others = [F.struct(*[c for c in docs.columns if c != text_col]).alias("rest")] if rest else []
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), *others)
     if rows.schema["id"].dataType.typeName() in ("long", "integer"):
         if rows.select("id").where("id is null").isEmpty() and rows.groupBy("id").count().where("count > 1").isEmpty():
             return rows.withColumn("key", F.col("id").cast("long"))
