@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from shelfspark.plans.queries import ORACLE_SQL, QUERIES
+
 FLAGSHIP = "V-5"
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
