@@ -21,26 +21,17 @@ BROADCAST_ROWS = 2_000_000
 BROADCAST_IDS = 1_000_000
 
 
-def words(text: Column) -> Column:
-    """Lower-case runs of letters and digits."""
-    return F.array_remove(F.split(F.lower(text), SPLIT), "")
-
-
-def shingle_hashes(ws: Column, width: int) -> Column:
-    hashes = F.transform(ws, lambda w: F.xxhash64(w))
-    # the words' hashes are made once: an array that transform() then reads from
-    one = F.transform(F.array(hashes), lambda h: F.transform(F.sequence(F.lit(1), F.size(h) - (width - 1)), lambda i: F.xxhash64(*[F.get(h, i + (k - 1)) for k in range(width)])))
-    return F.when(F.size(ws) >= width, F.element_at(one, 1)).otherwise(F.array().cast("array<bigint>"))
-
-
-def shingle_texts(ws: Column, width: int) -> Column:
-    grams = F.transform(F.sequence(F.lit(1), F.size(ws) - (width - 1)), lambda i: F.array_join(F.slice(ws, i, width), " "))
-    return F.when(F.size(ws) >= width, grams).otherwise(F.array().cast("array<string>"))
+def shingles(text: Column, width: int) -> Column:
+    """Runs of `width` words (lower-case letters and digits), one from each word on: the pattern looks ahead at a
+    shingle and takes its first word."""
+    word = "[^ ]++"
+    plain = F.regexp_replace(F.lower(text), SPLIT, " ")
+    return F.regexp_extract_all(plain, F.lit(f"(?=({' '.join([word] * width)})){word}"), F.lit(1))
 
 
 def sketches(items: DataFrame, width: int, threshold: float, item_col: str, text_col: str) -> DataFrame:
     """item, h: the bottom sketch of each item, as large as its size partition asks for."""
-    rows = items.select(F.col(item_col).alias("item_id"), F.explode(F.array_distinct(shingle_hashes(words(F.col(text_col)), width))).alias("h")).distinct()
+    rows = items.select(F.col(item_col).alias("item_id"), F.explode(shingles(F.col(text_col), width)).alias("gram")).select("item_id", F.xxhash64("gram").alias("h")).distinct()
     sizes = rows.groupBy("item_id").agg(F.count("*").alias("n")).withColumn("partition", F.ceil(F.log2("n")))
     least = F.floor(F.lit(1 - threshold) * F.pow(F.lit(2.0), F.col("partition")) + 1e-9) + 1
     ranked = rows.join(sizes, "item_id").withColumn("r", F.row_number().over(Window.partitionBy("item_id").orderBy("h")))
@@ -59,16 +50,16 @@ def contaminated(
     theirs = items.select(F.col(item_col).alias("item_id"), F.col(item_text_col).alias("text")).where("item_id is not null and text is not null")
     sketch = scratch(sketches(theirs, width, threshold, "item_id", "text"))
     held = F.broadcast(sketch) if sketch.count() <= BROADCAST_ROWS else sketch
-    probes = own.select("doc_id", F.explode(shingle_hashes(words(F.col("text")), width)).alias("h"))
+    probes = own.select("doc_id", F.explode(shingles(F.col("text"), width)).alias("gram")).select("doc_id", F.xxhash64("gram").alias("h"))
     pairs = scratch(probes.join(held, "h").select("doc_id", "item_id").distinct())
 
-    grams = scratch(theirs.select("item_id", F.explode(shingle_texts(words(F.col("text")), width)).alias("gram")).distinct())
+    grams = scratch(theirs.select("item_id", F.explode(shingles(F.col("text"), width)).alias("gram")).distinct())
     sizes = grams.groupBy("item_id").agg(F.count("*").alias("n_shingles"))
     named = pairs.select("doc_id").distinct()
     few = named.count() <= BROADCAST_IDS
     texts = own.join(F.broadcast(named) if few else named, "doc_id", "left_semi")
     full = F.broadcast(grams) if grams.count() <= BROADCAST_ROWS // 8 else grams
-    shared = texts.select("doc_id", F.explode(F.array_distinct(shingle_texts(words(F.col("text")), width))).alias("gram")).join(full, "gram")
+    shared = texts.select("doc_id", F.explode(F.array_distinct(shingles(F.col("text"), width))).alias("gram")).join(full, "gram")
     # an id's rows may share shingles: distinct before counting
     counts = shared.select("doc_id", "item_id", "gram").distinct().groupBy("doc_id", "item_id").agg(F.count("*").alias("n_shared"))
     verified = counts.join(pairs, ["doc_id", "item_id"], "left_semi").join(sizes, "item_id")
