@@ -19,6 +19,7 @@ where the text is read, which takes the hot keys out of the join; all other word
 from __future__ import annotations
 
 import math
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,6 +32,7 @@ from shelfspark.llm._common import crc_mod, prepare, scratch, table
 HOT = 200_000
 FLUSH = 500_000
 MARK = "▁"
+_worker: dict[str, tuple] = {}
 
 
 def split_words(text: str | None) -> list[str]:
@@ -76,6 +78,14 @@ class Lattice:
         return out
 
 
+def worker_state(model: str, shared) -> tuple[Lattice, dict]:
+    """This process's lattice, with its cache, and the terms of hot words seen so far; they last from task to task."""
+    if model not in _worker:
+        _worker.clear()
+        _worker[model] = Lattice(shared.value["pieces"]), {}
+    return _worker[model]
+
+
 def word_counts(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """word, n over all rows; each task sums up as it reads."""
 
@@ -155,31 +165,25 @@ def score_documents(docs: DataFrame, train: DataFrame, model_path: str, id_col:
         return c > 0, math.log10(c + 1) - denominator, full / math.log(10), lat / math.log(10)
 
     end = (int(ends > 0), math.log10(ends + 1) - denominator, math.log10(ends / room) if ends else -denominator, 0.0)
-    held: dict = {}
-
-    def of_worker():
-        if not held:
-            held["lattice"] = Lattice(shared.value["pieces"])
-            held["hot"] = {}
-        return held["lattice"], held["hot"], shared.value["hot"]
+    model = uuid.uuid4().hex
 
     local_schema = "n_tokens long, n_known long, base double, full double, lat double, rare array<struct<word:string,n:long>>"
-    rare_type = pa.list_(pa.struct([("word", pa.string()), ("n", pa.int64())]))
 
     def local(batches):
-        lattice, terms, hot_counts = of_worker()
+        lattice, terms = worker_state(model, shared)
+        hot_counts = shared.value["hot"]
         for b in batches:
-            rows, rare = [], []
+            rows, rare_words, rare_n, ends_at = [], [], [], [0]
             for t in b.column(1).to_pylist():
                 words = Counter(split_words(t))
                 n, known, base, full, lat = 1, end[0], end[1], end[2], 0.0
-                others = []
                 for w, k in words.items():
                     n += k
                     x = terms.get(w)
                     if x is None:
                         if (c := hot_counts.get(w)) is None:
-                            others.append({"word": w, "n": k})
+                            rare_words.append(w)
+                            rare_n.append(k)
                             continue
                         x = terms[w] = token(lattice, w, c)
                     known += k * x[0]
@@ -187,17 +191,18 @@ def score_documents(docs: DataFrame, train: DataFrame, model_path: str, id_col:
                     full += k * x[2]
                     lat += k * x[3]
                 rows.append((n, known, base, full, lat))
-                rare.append(others)
+                ends_at.append(len(rare_words))
+            rare = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare_words, pa.string()), pa.array(rare_n, pa.int64())], ["word", "n"]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], pa.array(rare, rare_type)], ["id", "n_tokens", "n_known", "base", "full", "lat", "rare"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], rare], ["id", "n_tokens", "n_known", "base", "full", "lat", "rare"])
 
     id_type = docs.schema[id_col].dataType.simpleString()
     read = docs.select(F.col(id_col).alias("id"), F.col(text_col)).mapInArrow(local, f"id {id_type}, {local_schema}")
     texts = scratch(read.withColumn("row", F.monotonically_increasing_id()))  # written once: a row keeps its number
 
     def joined(batches):
-        lattice, _, _ = of_worker()
+        lattice, _ = worker_state(model, shared)
         for b in batches:
             row, word, k, c = (b.column(i).to_pylist() for i in range(4))
             sums: dict[int, list] = {}
