@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfspark.functions.text import half_up
 
@@ -30,7 +31,7 @@ def size_score(a: Column, b: Column) -> Column:
     return F.when(b == 0, 0.0).when(dev == 0, 1.0).when(dev <= 0.05, 1.0 - dev / 0.05 * 0.2).when(dev <= 0.15, 0.5).otherwise(0.0)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """difflib's ratio of two strings, upper case and trimmed. Use it on distinct pairs."""
     from difflib import SequenceMatcher
@@ -81,7 +82,7 @@ def embed(model=None, dims: int = 384):
     """A column function text -> unit vector. model: an object with encode(list of texts); without one, hashed tokens."""
     import numpy as np
 
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def run(texts: pd.Series) -> pd.Series:
         import zlib
 

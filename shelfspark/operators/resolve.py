@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -73,10 +74,10 @@ def tier3(items: DataFrame, variants: DataFrame, embed, k: int = 5) -> DataFrame
 
 def resolve(items: DataFrame, variants: DataFrame, embed=None, mode: str = "levenshtein") -> DataFrame:
     """E-4: item_id, tier, method, candidate_id, confidence. Each tier sees only what the ones before left."""
-    one = tier1(items, variants)
+    one = tier1(items, variants).persist(StorageLevel.MEMORY_AND_DISK)  # read by every later tier; recomputed if lost
     done = one.where("variant_id is not null").select("item_id", F.lit("tier1").alias("tier"), "method", F.col("variant_id").alias("candidate_id"), F.lit(1.0).alias("confidence"))
     rest = one.where("variant_id is null").select("item_id", "title", "brand_name", "size_ml")
-    two = rest.join(tier2(rest, variants, mode=mode), "item_id", "left")
+    two = rest.join(tier2(rest, variants, mode=mode), "item_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
     if embed is None:
         two = two.withColumns({"t3_id": F.lit(None).cast("long"), "t3_score": F.lit(None).cast("double")})
     else:

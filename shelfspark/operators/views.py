@@ -62,7 +62,8 @@ def siblings(pages: DataFrame) -> DataFrame:
 def page_metadata(pages: DataFrame) -> DataFrame:
     """R-4"""
     links = siblings(pages).groupBy("url").agg(F.array_sort(F.collect_list(F.struct("locale", F.col("sibling").alias("url")))).alias("hreflang"))
-    return pages.select("url", robots(F.col("dcs_score"), F.col("indexable")).alias("robots")).join(links, "url", "left")
+    out = pages.select("url", robots(F.col("dcs_score"), F.col("indexable")).alias("robots")).join(links, "url", "left")
+    return out.withColumn("hreflang", F.coalesce("hreflang", F.array().cast(links.schema["hreflang"].dataType)))
 
 
 def fallback_only(fallback: DataFrame, live: DataFrame) -> DataFrame:

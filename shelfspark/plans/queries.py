@@ -320,7 +320,7 @@ def n3(s, d):
 
 @query("N-4", "SELECT kind, key, keys.ingredient_id, count(label_id) AS used FROM keys LEFT JOIN each ON c = key GROUP BY ALL", "keys", "each")
 def n4(s, d):
-    used = N.tokenize(A.labels(s, d)).select(F.upper(F.trim(F.explode("candidates"))).alias("key")).groupBy("key").agg(F.count("*").alias("used"))
+    used = N.tokenize(A.labels(s, d)).select(F.explode("candidates").alias("c")).groupBy(F.upper(F.trim("c")).alias("key")).agg(F.count("*").alias("used"))
     return N.dictionary_keys(A.ingredients(s)).join(used, "key", "left").select("kind", "key", "ingredient_id", F.coalesce("used", F.lit(0).cast("long")).alias("used"))
 
 
@@ -440,7 +440,7 @@ def j13(s, d):
 
 @query("J-14", f"SELECT DISTINCT c AS wanted, min(ingredient_id) AS ingredient_id FROM each JOIN ing ON {slug_a('c')} = {slug_a('inci_name')} GROUP BY c", "each", "ing")
 def j14(s, d):
-    wanted = N.tokenize(A.labels(s, d)).select(F.upper(F.trim(F.explode("candidates"))).alias("wanted")).distinct()
+    wanted = N.tokenize(A.labels(s, d)).select(F.explode("candidates").alias("c")).select(F.upper(F.trim("c")).alias("wanted")).distinct()
     return V.ingredient_by_slug(wanted, A.ingredients(s)).select("wanted", "ingredient_id")
 
 
@@ -637,9 +637,9 @@ def o3(s, d):
     return E.route(_resolved(s, d)).where("status = 'pending'").orderBy(F.desc("item_id")).limit(100).select("item_id", "tier", "confidence")
 
 
-@query("O-4", "SELECT product_id, retailer_id, per_ml, rank FROM (SELECT *, (row_number() OVER (PARTITION BY product_id ORDER BY per_ml, retailer_id))::INTEGER AS rank FROM (SELECT product_id, retailer_id, round(price / size_ml, 6) AS per_ml FROM best JOIN products USING (product_id))) WHERE rank <= 3", "best", "products")
+@query("O-4", f"SELECT product_id, retailer_id, per_ml, rank FROM (SELECT *, (row_number() OVER (PARTITION BY product_id ORDER BY per_ml, retailer_id))::INTEGER AS rank FROM (SELECT product_id, retailer_id, {half_up('(price / size_ml)', 6)} AS per_ml FROM best JOIN products USING (product_id))) WHERE rank <= 3", "best", "products")
 def o4(s, d):
-    rows = L.with_per_ml(L.best_per_retailer(A.offers(s, d), TIE), A.products(s, d)).withColumn("per_ml", F.round("per_ml", 6))
+    rows = L.with_per_ml(L.best_per_retailer(A.offers(s, d), TIE), A.products(s, d)).withColumn("per_ml", X.half_up(F.col("per_ml"), 6))
     return L.first_by(rows, ["product_id"], ["per_ml", "retailer_id"], 3).select("product_id", "retailer_id", "per_ml", "rank")
 
 
@@ -716,7 +716,7 @@ def v6(s, d):
     return _set_similarity(s, d)
 
 
-@query("V-7", "SELECT a.slug || '-vs-' || b.slug AS pair, side, name, round(price / size_ml, 4) AS per_ml, price / size_ml = least(xa, xb) AS cheaper FROM (SELECT *, oa.price / pa.size_ml AS xa, ob.price / pb.size_ml AS xb FROM edges JOIN products pa ON pa.product_id = a JOIN products pb ON pb.product_id = b JOIN lowest oa ON oa.product_id = a JOIN lowest ob ON ob.product_id = b) e JOIN products a ON a.product_id = e.a JOIN products b ON b.product_id = e.b JOIN (SELECT 'a' AS side UNION ALL SELECT 'b') ON true JOIN (SELECT l.product_id AS pid, price, size_ml, name FROM lowest l JOIN products USING (product_id)) z ON z.pid = CASE side WHEN 'a' THEN e.a ELSE e.b END", "edges", "lowest", "products")
+@query("V-7", "SELECT a.slug || '-vs-' || b.slug AS pair, side, z.name, round(z.price / z.size_ml, 4) AS per_ml, z.price / z.size_ml = least(xa, xb) AS cheaper FROM (SELECT *, oa.price / pa.size_ml AS xa, ob.price / pb.size_ml AS xb FROM edges JOIN products pa ON pa.product_id = a JOIN products pb ON pb.product_id = b JOIN lowest oa ON oa.product_id = a JOIN lowest ob ON ob.product_id = b) e JOIN products a ON a.product_id = e.a JOIN products b ON b.product_id = e.b JOIN (SELECT 'a' AS side UNION ALL SELECT 'b') ON true JOIN (SELECT l.product_id AS pid, price, size_ml, name FROM lowest l JOIN products USING (product_id)) z ON z.pid = CASE side WHEN 'a' THEN e.a ELSE e.b END", "edges", "lowest", "products")
 def v7(s, d):
     p = A.products(s, d)
     slug = {x: p.select(F.col("product_id").alias(x), F.col("slug").alias(f"slug_{x}")) for x in "ab"}
