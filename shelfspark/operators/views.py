@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scores import per_ml
@@ -113,15 +113,13 @@ def sitemap_columns(pages: DataFrame) -> DataFrame:
 
 
 def sitemap(pages: DataFrame, size: int = 1000) -> DataFrame:
-    """O-1: all shards of all archetypes. Ranks within an archetype are counts of range partitions: see shard_numbers."""
+    """O-1: all shards of all archetypes."""
     return shard_numbers(pages.where("indexable and dcs_score >= 70"), "archetype", [F.desc_nulls_last("first_indexed_at"), F.col("url")], size)
 
 
 def shard_numbers(df: DataFrame, key: str, order: list, size: int) -> DataFrame:
-    """shard = rank // size within a key. Ranks come from salted parts of the order (a coarse prefix of the sort key's hash
-    would break the order, so parts are days), then part offsets are added: no key is sorted in one task."""
-    from pyspark.sql import Window
-
+    """shard = rank // size within a key. Rows are ranked within parts of the order (days of first indexing), and the counts
+    of the parts before are added: no key is sorted in one task."""
     parted = df.withColumn("_part", F.to_date("first_indexed_at"))
     counts = parted.groupBy(key, "_part").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(key).orderBy(F.desc_nulls_last("_part")).rowsBetween(Window.unboundedPreceding, -1)
