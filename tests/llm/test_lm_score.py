@@ -65,6 +65,32 @@ def test_against_brute_force(spark, monkeypatch, hot):
     assert sorted((r.doc_id or -1, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in got) == sorted(want)
 
 
+@pytest.mark.parametrize("groups", [2, 8])
+def test_groups_against_brute_force(spark, monkeypatch, groups):
+    monkeypatch.setattr(lm_score, "GROUPS", groups)
+    rows = [(0, "the cat", "en"), (1, "the dog sat", "en"), (2, "die katze", "de"), (3, "le chat the", None), (4, None, "de"), (5, "the katze qq", "en"), (6, "die die", "fr")]
+    docs = spark.createDataFrame(rows, DOCS + ", lang string")
+    train = [r for r in rows if r[0] < 5]
+    kinds = ["en", "de", None] if groups == 8 else ["de", "rest"]  # two texts each of de and en: the first by name is told apart
+    name = lambda g: g if groups == 8 or g == "de" else "rest"
+    every = Counter(w for r in train for w in words(r[1]))
+    lattice = lm_score.Lattice(lm_score.piece_scores(spark.createDataFrame(list(every.items()), "word string, n long"), MODEL))
+    want = {}
+    for i, t, _ in rows:
+        p = 0.0
+        for g in kinds:
+            mine = [r for r in train if name(r[2]) == g]
+            c = Counter(w for r in mine for w in words(r[1]))
+            v, n = len(c) + 1, sum(c.values()) + len(mine)
+            q = len(mine) / len(train) * len(mine) / (n + v)
+            for w in words(t):
+                q *= c[w] / (n + v) + v / (n + v) * math.exp(lattice.score(w))
+            p += q
+        want[i] = round(math.log10(p), 6)
+    got = lm_score.score_documents(docs, docs.where("doc_id < 5"), MODEL, group_col="lang").collect()
+    assert {r.doc_id: round(r.score, 6) for r in got} == want
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], DOCS)
     assert lm_score.score_documents(empty, empty, MODEL).count() == 0
