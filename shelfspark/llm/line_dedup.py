@@ -62,13 +62,14 @@ def repeated_lines(rows: DataFrame, run: int, long_line: int) -> DataFrame:
 
     schema = T.StructType([rows.schema["id"], *T.StructType.fromDDL("key long, fp long, start int, size int, around array<long>").fields])
     marks = scratch(rows.select("id", "key", "text").mapInArrow(winnow, schema))
-    again = marks.groupBy("fp", "size").agg(F.count("*").alias("k")).where("k > 1").select("fp", "size")
+    # small sides are written first: both sides of each join are then shuffles that Spark can split at a hot key
+    again = scratch(marks.groupBy("fp", "size").agg(F.count("*").alias("k")).where("k > 1").select("fp", "size"))
     joined = marks.join(again, ["fp", "size"], "left_semi")
     shift = F.explode(F.sequence(F.lit(0), F.size("around") - F.col("size"))).alias("o")
     windows = joined.select("id", "key", "start", "size", "around", shift).select("id", "key", (F.col("start") + F.col("o")).alias("start"), "size", F.xxhash64(F.slice("around", F.col("o") + 1, F.col("size"))).alias("w"), F.element_at("around", F.col("o") + 1).alias("l"))
     windows = scratch(windows)
     place = F.struct("id", "key", "start")
-    first = windows.groupBy("w", "l", "size").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k")
+    first = scratch(windows.groupBy("w", "l", "size").agg(F.min(place).alias("first"), F.count("*").alias("k")).where("k > 1").drop("k"))
     return windows.join(first, ["w", "l", "size"]).where(place > F.col("first")).select("key", "start", F.col("size").alias("n"))
 
 
