@@ -153,7 +153,8 @@ def repeated_spans(rows: DataFrame, depth: int = 200, group_cap: int = 20_000) -
 
     first = scratch(rows.select("key", "text").where(F.octet_length("text") >= depth).mapInArrow(sample, "key long, start long, n int, at int, h long, c long"))
     # pass 1: grams that occur again
-    again = first.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("mixed")).where("k > 1").select("h", "mixed")
+    # written first, so that both sides of the join are shuffles that Spark can split at a hot gram
+    again = scratch(first.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("mixed")).where("k > 1").select("h", "mixed"))
     second = scratch(first.join(again, "h"))
     # pass 2: contexts that occur again; of each context one row goes on where its gram has several
     groups = second.groupBy("h", "c").agg(F.count("*").alias("k"), F.first("mixed").alias("mixed"), F.min(F.struct("key", "start", "n", "at")).alias("one"))
