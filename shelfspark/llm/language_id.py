@@ -47,7 +47,7 @@ def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return code
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_table_mb: int = 64) -> PpmModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_table_mb: int = 24) -> PpmModel:
     """Rows with a null or empty text or a null language teach nothing. Without any row the model knows no language."""
     named = labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).where("_l is not null and length(_t) > 0")
     # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group.
@@ -68,7 +68,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
     return build(got.column("lang").to_pylist(), got.column("code").to_numpy(), got.column("n").to_numpy(), max_table_mb)
 
 
-def build(langs: list[str], codes: np.ndarray, n: np.ndarray, max_table_mb: int = 64) -> PpmModel:
+def build(langs: list[str], codes: np.ndarray, n: np.ndarray, max_table_mb: int = 24) -> PpmModel:
     """The frozen trees from counts of (language, three bytes of context and a byte)."""
     languages = sorted(set(langs))
     if not languages:
