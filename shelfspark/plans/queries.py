@@ -716,12 +716,12 @@ def v6(s, d):
     return _set_similarity(s, d)
 
 
-@query("V-7", "SELECT a.slug || '-vs-' || b.slug AS pair, side, z.name, round(z.price / z.size_ml, 4) AS per_ml, z.price / z.size_ml = least(xa, xb) AS cheaper FROM (SELECT *, oa.price / pa.size_ml AS xa, ob.price / pb.size_ml AS xb FROM edges JOIN products pa ON pa.product_id = a JOIN products pb ON pb.product_id = b JOIN lowest oa ON oa.product_id = a JOIN lowest ob ON ob.product_id = b) e JOIN products a ON a.product_id = e.a JOIN products b ON b.product_id = e.b JOIN (SELECT 'a' AS side UNION ALL SELECT 'b') ON true JOIN (SELECT l.product_id AS pid, price, size_ml, name FROM lowest l JOIN products USING (product_id)) z ON z.pid = CASE side WHEN 'a' THEN e.a ELSE e.b END", "edges", "lowest", "products")
+@query("V-7", f"SELECT a.slug || '-vs-' || b.slug AS pair, side, z.name, {half_up('(z.price / z.size_ml)', 4)} AS per_ml, z.price / z.size_ml = least(xa, xb) AS cheaper FROM (SELECT *, oa.price / pa.size_ml AS xa, ob.price / pb.size_ml AS xb FROM edges JOIN products pa ON pa.product_id = a JOIN products pb ON pb.product_id = b JOIN lowest oa ON oa.product_id = a JOIN lowest ob ON ob.product_id = b) e JOIN products a ON a.product_id = e.a JOIN products b ON b.product_id = e.b JOIN (SELECT 'a' AS side UNION ALL SELECT 'b') ON true JOIN (SELECT l.product_id AS pid, price, size_ml, name FROM lowest l JOIN products USING (product_id)) z ON z.pid = CASE side WHEN 'a' THEN e.a ELSE e.b END", "edges", "lowest", "products")
 def v7(s, d):
     p = A.products(s, d)
     slug = {x: p.select(F.col("product_id").alias(x), F.col("slug").alias(f"slug_{x}")) for x in "ab"}
     pairs = _edges(s, d).select("a", "b").join(slug["a"], "a").join(slug["b"], "b").select(F.concat("slug_a", F.lit("-vs-"), "slug_b").alias("pair"))
-    return V.compare(pairs, p, L.lowest_offer(A.offers(s, d), TIE)).select("pair", "side", "name", F.round("per_ml", 4).alias("per_ml"), "cheaper")
+    return V.compare(pairs, p, L.lowest_offer(A.offers(s, d), TIE)).select("pair", "side", "name", X.half_up(F.col("per_ml"), 4).alias("per_ml"), "cheaper")
 
 
 @query("E-1", f"SELECT item_id, CASE WHEN variant_id IS NOT NULL THEN 'gtin' WHEN slug_variant IS NOT NULL THEN 'brand_slug_size' END AS method, coalesce(variant_id, slug_variant) AS variant_id FROM feed_ok JOIN {_SLUGGED} USING (item_id)", "feed_ok", "products")
