@@ -17,12 +17,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from shelfspark.llm._common import connected_components, partitions, prepare, scratch, table, text_bytes
+from shelfspark.llm.near_copies import near_copies, shingle_hashes
 
 LEAVES = 16
 ALL = (1 << 64) - 1
@@ -30,17 +30,10 @@ ALL = (1 << 64) - 1
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     """The SimHash of a text's word shingles; zero without words."""
-    words = text.lower().split()
-    if not words:
-        return 0
-    if len(words) < width:
-        return xxhash.xxh64_intdigest(b" ".join(words), seed)
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-    begins = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1].tolist()
-    ends = (ends[width - 1 :] - 1).tolist()
-    h64 = xxhash.xxh64_intdigest
-    hashes = np.fromiter((h64(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), ">u8", len(begins))
+    hashes = shingle_hashes(text, width, seed)
+    if len(hashes) < 2:
+        return int(hashes.sum())
+    hashes = hashes.astype(">u8")
     ones = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 1 << 16):
         part = hashes[at : at + (1 << 16)]
@@ -256,8 +249,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component: the one with the smallest id. Rows with a null id stay."""
+    """Keeps one document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more): the one
+    with the smallest id. Rows with a null id stay. 64 bits cannot find such pairs, so the links are near_copies'."""
     prepare(spark)
-    found = near_duplicates(docs)
+    found = near_copies(docs)
     gone = found.where("doc_id > component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
