@@ -2,7 +2,7 @@
 
 Vectors become integers, floor(scale * x). For any pivot p the distance of a query and a candidate is at least
 |d(q, p) - d(c, p)|; the largest such value over many pivots, with the two norms, gives the highest score that the
-candidate can have: (|q|^2 + |c|^2 - bound^2) / 2. In each block of candidates, every query evaluates them in the order
+candidate can have: (|q|^2 + |c|^2 - bound^2) / 2 (without pivots the bound is 0). In each block of candidates, every query evaluates them in the order
 of these bounds and stops when the next bound is below its k-th score so far.
 
 Pivots are picked far from each other in a bounded sample (PIVOT_SAMPLE rows). Queries are a stated set; they go out in
@@ -110,8 +110,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         ids = block.column("id").to_numpy()
         by_dim = {}
         for d, (at, m) in _matrix(block.column("v").combine_chunks()).items():
-            if d in tables:
-                by_dim[d] = (m, ids[at], distances(m, tables[d]), tables[d])
+            p = tables.get(d, np.zeros((0, d), np.int64))  # without pivots the norms alone bound the scores
+            by_dim[d] = (m, ids[at], distances(m, p), p)
         held = spark.sparkContext.broadcast(by_dim)
 
         def search(batches, held=held):

@@ -36,3 +36,20 @@ def test_edges(spark):
     got = [tuple(r) for r in ps.top_k(v, v.where("vec_id in (0, 50, 7)")).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 9, -65536)]
     assert ps.top_k(v.where("false"), v.where("false")).count() == 0
+
+
+def brute(rows, k=5):
+    v = [(i, [int(np.floor(256 * x)) for x in e]) for i, e in rows]
+    out = []
+    for i, q in v:
+        best = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), j) for j, c in v if j != i and len(c) == len(q))[:k]
+        out += [(i, r + 1, j, -s) for r, (s, j) in enumerate(best)]
+    return sorted(out)
+
+
+def test_lengths_outside_the_sample(spark, monkeypatch):
+    monkeypatch.setattr(ps, "PIVOT_SAMPLE", 2)
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=2 + i % 4).tolist()) for i in range(40)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ps.top_k(v, v).collect())) == brute(rows)
