@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors become integers, floor(scale * x). For any pivot p the distance of a query and a candidate is at least
+Vectors become whole numbers, floor(scale * x); those with a component beyond FAST are scored by search_large. For any pivot p the distance of a query and a candidate is at least
 |d(q, p) - d(c, p)|; the largest such value over many pivots, with the two norms, gives the highest score that the
 candidate can have: (|q|^2 + |c|^2 - bound^2) / 2 (without pivots the bound is 0). In each block of candidates, every query evaluates them in the order
 of these bounds and stops when the next bound is below its k-th score so far.
@@ -22,14 +22,45 @@ PIVOTS = 32
 PIVOT_SAMPLE = 2048
 QUERY_BLOCK = 4096
 STEP = 64
+#: Largest component, once scaled, of the vectors that are scored in int64.
+FAST = 1 << 24
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
-    """id, v (array<long>): floor(scale * component). Null vectors and those with a component that is null, not finite or
-    over 2**24 once scaled (whose products might overflow) take no part, nor do rows with a null id."""
-    x = F.transform(F.col(vec_col), lambda c: F.floor(F.lit(scale) * c.cast("double")))
-    fit = F.forall(F.col(vec_col), lambda c: F.coalesce(F.abs(c.cast("double")) * scale <= float(1 << 24), F.lit(False)) & ~F.isnan(c))
-    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fit).select(F.col(id_col).cast("long").alias("id"), x.alias("v"))
+    """id, v (array<double> of whole numbers): floor(scale * component). Null vectors and those with a component that is
+    null or not finite take no part, nor do rows with a null id."""
+
+    def whole(c):
+        y = F.lit(scale) * c.cast("double")
+        return F.when(F.abs(y) < float(1 << 53), F.floor(y).cast("double")).otherwise(y)  # larger doubles are whole
+
+    fit = F.forall(F.col(vec_col), lambda c: F.coalesce(F.abs(c.cast("double")) < float("inf"), F.lit(False)) & ~F.isnan(c))
+    return vectors.where(F.col(id_col).isNotNull() & F.col(vec_col).isNotNull() & fit).select(F.col(id_col).cast("long").alias("id"), F.transform(F.col(vec_col), whole).alias("v"))
+
+
+def _fast(m: np.ndarray) -> np.ndarray:
+    """Rows whose products cannot overflow a long."""
+    return (np.abs(m) <= FAST).all(1)
+
+
+def search_large(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
+    """query id, candidate id, score of each query's k best, for components of any size: products in floating point with a
+    bound of their error choose the candidates that Python's integers then score. A score beyond a long is an error."""
+    out: list[tuple[int, int, int]] = []
+    size = np.sqrt((c**2).sum(1))
+    for v, i in zip(q, q_ids.tolist(), strict=True):
+        with np.errstate(all="ignore"):
+            near = c @ v
+            off = 4 * (len(v) + 4) * 2.0**-52 * size * np.sqrt((v**2).sum())
+            low = np.where(c_ids == i, -np.inf, np.nan_to_num(near - off, nan=-np.inf))
+            least = np.sort(low)[-k:][0] if len(low) else -np.inf
+            at = np.flatnonzero(~(near + off < least) & (c_ids != i))
+        mine = [int(x) for x in v]
+        scored = sorted((-sum(int(x) * y for x, y in zip(c[j].tolist(), mine, strict=True)), int(c_ids[j])) for j in at)[:k]
+        out += [(i, j, -s) for s, j in scored]
+    if any(not -(1 << 63) <= s < 1 << 63 for *_, s in out):
+        raise OverflowError("a score does not fit a long")
+    return tuple(map(list, zip(*out, strict=True))) if out else ([], [], [])
 
 
 def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
@@ -85,7 +116,7 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
     out = {}
     for d in np.unique(sizes).tolist():
         rows = np.flatnonzero(sizes == d)
-        out[d] = rows, flat[begin[rows][:, None] + np.arange(d)[None, :]].astype(np.int64)
+        out[d] = rows, flat[begin[rows][:, None] + np.arange(d)[None, :]]
     return out
 
 
@@ -99,7 +130,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
     rows = scratch(usable(vectors, id_col, vec_col))
     asked = usable(queries, id_col, vec_col)
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).toArrow()
-    tables = {d: pick_pivots(m, pivots) for d, (_, m) in _matrix(sample.column("v").combine_chunks()).items()} if sample.num_rows else {}
+    tables = {d: pick_pivots(m[_fast(m)].astype(np.int64), pivots) for d, (_, m) in _matrix(sample.column("v").combine_chunks()).items()} if sample.num_rows else {}
     marked = scratch(asked.withColumn("n", F.monotonically_increasing_id()))
     found = None
     for part in range(-(-marked.count() // QUERY_BLOCK)):
@@ -111,7 +142,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
         by_dim = {}
         for d, (at, m) in _matrix(block.column("v").combine_chunks()).items():
             p = tables.get(d, np.zeros((0, d), np.int64))  # without pivots the norms alone bound the scores
-            by_dim[d] = (m, ids[at], distances(m, p), p)
+            few = _fast(m)
+            fast = m[few].astype(np.int64)
+            by_dim[d] = (fast, ids[at][few], distances(fast, p), p, m[few], m[~few], ids[at][~few])
         held = spark.sparkContext.broadcast(by_dim)
 
         def search(batches, held=held):
@@ -119,11 +152,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec
                 c_ids = b.column(0).to_numpy()
                 for d, (at, m) in _matrix(b.column(1)).items():
                     if d in held.value:
-                        q, q_ids, q_dist, p = held.value[d]
+                        q, q_ids, q_dist, p, q_real, large, large_ids = held.value[d]
+                        few, near = _fast(m), c_ids[at]
+                        for found in (search_large(large, large_ids, m, near, k), search_large(q_real, q_ids, m[~few], near[~few], k) if not few.all() else ([], [], [])):
+                            if found[0]:
+                                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
+                        m, near = m[few].astype(np.int64), near[few]
                         for lo in range(0, len(q), 512):
                             hi = lo + 512
-                            row, cand, score, n = search_block(q[lo:hi], q_ids[lo:hi], q_dist[lo:hi], m, c_ids[at], p, k)
-                            yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo:hi][row]), pa.array(c_ids[at][cand]), pa.array(score)], ["query_id", "vec_id", "score"])
+                            row, cand, score, n = search_block(q[lo:hi], q_ids[lo:hi], q_dist[lo:hi], m, near, p, k)
+                            yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo:hi][row]), pa.array(near[cand]), pa.array(score)], ["query_id", "vec_id", "score"])
 
         here = rows.mapInArrow(search, "query_id long, vec_id long, score long")
         found = here if found is None else found.union(here)

@@ -53,3 +53,11 @@ def test_lengths_outside_the_sample(spark, monkeypatch):
     rows = [(i, rng.normal(size=2 + i % 4).tolist()) for i in range(40)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     assert sorted(map(tuple, ps.top_k(v, v).collect())) == brute(rows)
+
+
+def test_large_components(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** (i % 7)).tolist()) for i in range(60)]
+    rows += [(60, [1e6 + 1 / 256, 0.0, 0.0]), (61, [1e6, 0.0, 0.0]), (62, [1e6, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert sorted(map(tuple, ps.top_k(v, v).collect())) == brute(rows)
