@@ -6,38 +6,50 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from shelfspark.llm._common import release_scratch, shared_dir
+from shelfspark.llm._common import delete_paths, scratch_scope, shared_dir
 from shelfspark.llm.decontaminate import decontamination_stage
 from shelfspark.llm.language_id import language_stage
 from shelfspark.llm.line_dedup import line_stage
+from shelfspark.llm.near_copies import simhash_stage
 from shelfspark.llm.packing import packing_stage
-from shelfspark.llm.simhash import simhash_stage
+
+#: Scratch tables of stages that were called one by one, by input folder.
+_written: dict[str, list[str]] = {}
 
 
 def _stage(function):
+    """The stage as it is called by itself: what earlier stages on this input wrote to scratch goes, as they have been written by now."""
+
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        release_scratch(spark)  # the stage before has been written by now
-        return function(spark, docs, sf_dir)
+        delete_paths(spark, _written.setdefault(sf_dir, []))
+        with scratch_scope() as tables:
+            out = function(spark, docs, sf_dir)
+        _written[sf_dir] += tables
+        return out
 
     return run_stage
 
 
-STAGES = [
-    ("language_id", _stage(language_stage)),
-    ("line_dedup", _stage(line_stage)),
-    ("simhash", _stage(simhash_stage)),
-    ("decontamination", _stage(decontamination_stage)),
-    ("packing", _stage(packing_stage)),
+FUNCTIONS = [
+    ("language_id", language_stage),
+    ("line_dedup", line_stage),
+    ("simhash", simhash_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
 ]
+STAGES = [(name, _stage(function)) for name, function in FUNCTIONS]
 
 #: Language ID and packing are not SQL; tests/llm holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scratch tables are this run's own, and go when their stage has been written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
-    for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+    for name, function in FUNCTIONS:
+        with scratch_scope() as tables:
+            function(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        delete_paths(spark, tables)
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs

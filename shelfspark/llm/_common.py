@@ -5,13 +5,17 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_SCRATCH: list[str] = []
+#: The paths written inside the innermost scratch_scope; outside of one, tables last until the session ends.
+_scope: ContextVar[list[str] | None] = ContextVar("scratch_scope", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,14 +49,34 @@ def scratch(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
-    _SCRATCH.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if (tables := _scope.get()) is not None:
+        tables.append(path)
+    table_ = spark.read.schema(df.schema).parquet(path)
+    table_._scratch_path = path
+    return table_
 
 
-def release_scratch(spark: SparkSession) -> None:
-    """Deletes the scratch tables written so far; call it only when what was built on them has been written."""
-    while _SCRATCH:
-        fs, path = _filesystem(spark, _SCRATCH.pop())
+def discard(*tables: DataFrame) -> None:
+    """Deletes scratch tables that nothing reads any more (what was built on them has been written)."""
+    for t in tables:
+        fs, path = _filesystem(t.sparkSession, t._scratch_path)
+        fs.delete(path, True)
+
+
+@contextmanager
+def scratch_scope():
+    """Collects the paths of the scratch tables written inside, for delete_paths once their results have been written."""
+    tables: list[str] = []
+    token = _scope.set(tables)
+    try:
+        yield tables
+    finally:
+        _scope.reset(token)
+
+
+def delete_paths(spark: SparkSession, paths: list[str]) -> None:
+    while paths:
+        fs, path = _filesystem(spark, paths.pop())
         fs.delete(path, True)
 
 
@@ -70,6 +94,11 @@ def crc_mod(col: str, mod: int):
     return F.pmod(F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")), F.lit(mod))
 
 
+def row_key(id_col: str = "doc_id", text_col: str = "text"):
+    """Names a row by id and text, also where ids are null or repeated; rows that agree in both share it."""
+    return F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.hex(F.xxhash64(text_col)), F.coalesce(F.length(text_col), F.lit(-1)).cast("string"))
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of an Arrow string column as one array, and n+1 offsets; nulls are empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -87,6 +116,21 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, offs - offs[0]
 
 
+def shingle_hashes(text: bytes, width: int, seed: int = 42) -> np.ndarray:
+    """The hash of each run of `width` words; of all words if they are fewer; none without words."""
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    h64 = xxhash.xxh64_intdigest
+    if len(words) < width:
+        return np.array([h64(b" ".join(words), seed)], np.uint64)
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+    begins = np.concatenate([[0], ends[:-1]])[: len(words) - width + 1].tolist()
+    ends = (ends[width - 1 :] - 1).tolist()
+    return np.fromiter((h64(joined[a:b], seed) for a, b in zip(begins, ends, strict=True)), np.uint64, len(begins))
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, edges (a long, b long) with a <> b -> (node, component = smallest node).
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm._common import prepare, scratch, table
+from shelfspark.llm._common import prepare, row_key, scratch, table
 
 SPLIT = r"[^\p{L}\p{N}]+"
 #: Most rows of the items' side that are broadcast (about 16 bytes each); beyond, the joins shuffle.
@@ -74,10 +74,12 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops every document that holds a benchmark item."""
+    """Drops every document that holds a benchmark item. Rows are judged one by one, also where ids are null or repeated; so
+    are items without an id."""
     prepare(spark)
-    found = contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark").select(row_key("item_id").alias("item_id"), "text")
+    found = contaminated(docs.select(row_key().alias("_key"), "text"), items, id_col="_key").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.withColumn("_key", row_key()).join(found, "_key", "left_anti").select(*docs.columns)
 
 
 def _grams_sql(source: str, key: str) -> str:

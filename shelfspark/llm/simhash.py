@@ -21,8 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm._common import connected_components, partitions, prepare, scratch, table, text_bytes
-from shelfspark.llm.near_copies import near_copies, shingle_hashes
+from shelfspark.llm._common import connected_components, partitions, prepare, scratch, shingle_hashes, table, text_bytes
 
 LEAVES = 16
 ALL = (1 << 64) - 1
@@ -30,7 +29,11 @@ ALL = (1 << 64) - 1
 
 def fingerprint(text: bytes, width: int = 4, seed: int = 42) -> int:
     """The SimHash of a text's word shingles; zero without words."""
-    hashes = shingle_hashes(text, width, seed)
+    return majority(shingle_hashes(text, width, seed))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have set."""
     if len(hashes) < 2:
         return int(hashes.sum())
     hashes = hashes.astype(">u8")
@@ -246,12 +249,3 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     prepare(spark)
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near copies (five-word shingles, Jaccard similarity 0.8 or more): the one
-    with the smallest id. Rows with a null id stay. 64 bits cannot find such pairs, so the links are near_copies'."""
-    prepare(spark)
-    found = near_copies(docs)
-    gone = found.where("doc_id > component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -3,7 +3,6 @@ import random
 import pytest
 
 from shelfspark.llm import near_copies as nc
-from shelfspark.llm import simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -47,14 +46,16 @@ def texts():
     return [*out, None, "", " \t\n", "One", "one", "one two", "x " * 500, "x " * 900]
 
 
-@pytest.mark.parametrize("hot_rows", [16, 2])
-def test_stage_against_brute_force_jaccard(spark, monkeypatch, hot_rows):
+@pytest.mark.parametrize(("hot_rows", "rate", "together"), [(16, 16, 256), (2, 1, 1)])
+def test_stage_against_brute_force_jaccard(spark, monkeypatch, hot_rows, rate, together):
     monkeypatch.setattr(nc, "HOT_ROWS", hot_rows)
+    monkeypatch.setattr(nc, "SAMPLE_RATE", rate)
+    monkeypatch.setattr(nc, "TOGETHER", together)
     rows = list(enumerate(texts()))
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
     want = brute(rows)
     assert {r.doc_id: r.component_id for r in nc.near_copies(docs).collect()} == want
-    assert {r.doc_id for r in simhash.simhash_stage(spark, docs, "").collect()} == {i for i in want if want[i] == i}
+    assert {r.doc_id for r in nc.simhash_stage(spark, docs, "").collect()} == {i for i in want if want[i] == i}
 
 
 def test_repeated_and_null_ids(spark):
@@ -62,3 +63,22 @@ def test_repeated_and_null_ids(spark):
     docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in [(None, a), (3, a), (3, b), (5, b), (7, a)]], DOCS)
     assert sorted((r.doc_id or 0, r.component_id) for r in nc.near_copies(docs).collect()) == [(0, 3), (3, 3), (3, 3), (5, 3), (7, 3)]
     assert nc.near_copies(docs.where("false")).count() == 0
+
+
+def test_stage_on_repeated_and_null_ids(spark):
+    a, b, c = "a b c d e f g h", "p q r s t", "k l m n o p q"
+    rows = [(None, a), (3, a), (3, b), (5, b), (7, a), (None, c), (None, c), (9, None), (9, None)]
+    docs = spark.createDataFrame([(i, t, None, "s", 1) for i, t in rows], DOCS)
+    kept = nc.simhash_stage(spark, docs, "")
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, c), (3, a), (3, b), (9, "")]
+
+
+def test_signature_bounds_the_difference():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (0, 5, 300, 5000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: n // 2], rng.integers(0, 1 << 63, n // 3, dtype=np.uint64)]))
+        assert np.bitwise_count((nc.signature(a) ^ nc.signature(b)).view(np.uint64)).sum() <= len(np.setxor1d(a, b))

@@ -2,8 +2,8 @@ import random
 
 import numpy as np
 from test_line_dedup import brute as brute_lines
+from test_near_copies import brute as brute_copies
 from test_packing import check
-from test_simhash import brute_components, brute_fingerprint
 
 import corpus_pipeline
 from shelfspark.llm import language_id
@@ -57,7 +57,7 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
             want = {i: t for i, t in brute_lines(list(kept.items()), 3, 200).items() if t == kept[i] or t.strip()}
             assert {r.doc_id: r.n_chars for r in out.collect()} == {i: len(t) for i, t in want.items()}
         elif name == "simhash":
-            parts = brute_components([(i, brute_fingerprint(t)) for i, t in kept.items()])
+            parts = brute_copies(list(kept.items()))
             want = {i: t for i, t in kept.items() if parts[i] == i}
         elif name == "decontamination":
             tests = [shingles(t) for _, t in items]
@@ -73,3 +73,22 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
 def test_run(spark, tmp_path):
     make(spark, tmp_path)
     assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def test_a_run_leaves_other_results_alone(spark, tmp_path):
+    """Scratch tables of a result that has not been read yet outlive a whole run."""
+    from shelfspark.llm.line_dedup import op5_line_dedup
+
+    rows, _ = make(spark, tmp_path)
+    lazy = op5_line_dedup(spark, str(tmp_path))
+    corpus_pipeline.run(spark, str(tmp_path))
+    corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path)).count()
+    assert lazy.count() == len(rows)
+
+
+def test_decontamination_sees_rows_without_an_id(spark, tmp_path):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    spark.createDataFrame([(1, words)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, "x " + words, None, "s", 1), (None, "clean text of some words here", None, "s", 1), (4, words, None, "s", 1), (4, "other words", None, "s", 1)], DOCS)
+    kept = dict(corpus_pipeline.STAGES)["decontamination"](spark, docs, str(tmp_path))
+    assert sorted(r.text for r in kept.collect()) == ["clean text of some words here", "other words"]
