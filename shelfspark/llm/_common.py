@@ -11,7 +11,7 @@ from contextvars import ContextVar
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The paths written inside the innermost scratch_scope; outside of one, tables last until the session ends.
@@ -43,19 +43,28 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
-def scratch(df: DataFrame) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it back: cuts the lineage, survives lost executors."""
+def scratch(df: DataFrame, **sums) -> DataFrame:
+    """Writes df as a Parquet table in the shared folder and reads it back: cuts the lineage, survives lost executors.
+
+    sums: aggregates that are taken while df is written; see observed().
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/scratch-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    seen = Observation() if sums else None
+    (df.observe(seen, *[c.alias(k) for k, c in sums.items()]) if sums else df).write.parquet(path)
     _filesystem(spark, path)[0].deleteOnExit(_filesystem(spark, path)[1])
     if (tables := _scope.get()) is not None:
         tables.append(path)
     table_ = spark.read.schema(df.schema).parquet(path)
-    table_._scratch_path = path
+    table_._scratch_path, table_._sums = path, seen.get if sums else {}
     return table_
 
 
+def observed(table_: DataFrame) -> dict:
+    """What scratch(df, name=aggregate) has seen, by name."""
+    return table_._sums
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes scratch tables that nothing reads any more (what was built on them has been written)."""
     for t in tables:
@@ -138,6 +147,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     joined back, so that no neighbourhood is ever gathered in one task. Each round is written to scratch.
     """
     e = scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    state = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))}
     before = None
     for _ in range(max_rounds):
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -146,11 +156,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         # every edge now has a > b; small star: link all lower neighbours of a node to the least of them
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = scratch(small.union(least.select("a", F.col("m").alias("b"))).distinct())
-        now = e.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("s")).first()
-        if before == now:
+        old, e = e, scratch(small.union(least.select("a", F.col("m").alias("b"))).distinct(), **state)
+        discard(old)
+        if before == observed(e):
             break
-        before = now
+        before = observed(e)
     else:
         raise RuntimeError("components did not settle")
     leaves = e.select(F.col("a").alias("node"), F.col("b").alias("component"))

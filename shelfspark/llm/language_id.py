@@ -3,12 +3,14 @@
 One variable-order byte context tree per language, orders 3 to 0 and a uniform order below. A symbol that a
 context has not seen costs the context's escape (method C: distinct / (count + distinct)) and then its share of the
 shorter context's distribution over the symbols that the longer one has not seen. The statistics are frozen after
-training, so the cost of a byte depends on the three bytes before it alone: the trees of all languages become
-one table (context state x byte class x language) and a text's exact code length is a sum of table rows.
-
-Training reads about max_docs labelled rows a language (all of them where there are no more), chosen by a hash of the
-row, whole texts; the counts are aggregated by Spark. max_table_mb bounds the table and so the broadcast; beyond it the rarest
-order-3 contexts fall back to order 2.
+training, so the cost of a byte depends on the three bytes before it alone.
+
+The trees are kept sparsely: for each order a row of costs (one a language) for each string of bytes that any language
+has seen, and a row of escapes for each context. A string that no language has seen costs its context's escape and then
+what the shorter string costs. Nothing is left out: G seen strings and L languages take 4 * G * L bytes and 16 to 32 * G of
+hash table, on the driver and on each worker. G follows the sample: training reads about max_docs labelled rows a
+language (all of them where there are no more), chosen by a hash of the row, whole texts; the counts are aggregated by
+Spark. With very many languages, lower max_docs.
 """
 
 from __future__ import annotations
@@ -27,12 +29,59 @@ START, BASE = 256, 257
 CHUNK = 1 << 20
 
 
+class _Places:
+    """key -> place in a sorted array of distinct keys, -1 for others: a hash table with linear probing."""
+
+    def __init__(self, keys: np.ndarray):
+        self.mask = (1 << max(4, int(2 * len(keys)).bit_length())) - 1
+        self.keys, self.at = np.full(self.mask + 1, -1, np.int64), np.full(self.mask + 1, -1, np.int32)
+        left, slot = np.arange(len(keys)), self._slot(keys)
+        while len(left):
+            free = np.flatnonzero(self.keys[slot] == -1)
+            _, first = np.unique(slot[free], return_index=True)
+            placed = free[first]
+            self.keys[slot[placed]], self.at[slot[placed]] = keys[left[placed]], left[placed]
+            stay = np.ones(len(left), bool)
+            stay[placed] = False
+            left, slot = left[stay], (slot[stay] + 1) & self.mask
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20)).astype(np.int64) & self.mask
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = self._slot(keys)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.at[slot], -1)
+        left = np.flatnonzero((there != keys) & (there != -1))
+        while len(left):
+            slot[left] = (slot[left] + 1) & self.mask
+            there = self.keys[slot[left]]
+            same = there == keys[left]
+            out[left[same]] = self.at[slot[left[same]]]
+            left = left[~same & (there != -1)]
+        return out
+
+
 @dataclass
 class PpmModel:
     languages: list[str]
-    klass: np.ndarray  # byte (and START) -> class; 0 is every byte not seen in training
-    states: np.ndarray  # (class, class, class) -> row of costs
-    costs: np.ndarray  # (row, class, language) -> nats, float32
+    grams: list[_Places]  # by order: strings of order + 1 bytes
+    costs: list[np.ndarray]  # by order: (string, language) -> nats, float32
+    contexts: list[_Places]  # by order: strings of order bytes
+    escapes: list[np.ndarray]  # by order: (context, language) -> nats, zero where the language does not know the context
+
+    def cost(self, codes: np.ndarray, order: int = 3) -> np.ndarray:
+        """Nats of the last byte of each string of order + 1 bytes, for each language."""
+        if order < 0:
+            return np.full((len(codes), len(self.languages)), np.log(256))
+        at = self.grams[order].find(codes)
+        out = self.costs[order][at]
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            rest = self.cost(codes[new] % BASE**order if order else codes[new], order - 1)
+            known = self.contexts[order].find(codes[new] // BASE)
+            out[new] = rest + np.where(known[:, None] >= 0, self.escapes[order][known], 0)
+        return out
 
 
 def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -47,7 +96,7 @@ def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return code
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_table_mb: int = 24) -> PpmModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000) -> PpmModel:
     """Rows with a null or empty text or a null language teach nothing. Without any row the model knows no language."""
     named = labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).where("_l is not null and length(_t) > 0")
     # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group.
@@ -65,84 +114,52 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = counts.toArrow()  # bounded by max_docs texts a language
-    return build(got.column("lang").to_pylist(), got.column("code").to_numpy(), got.column("n").to_numpy(), max_table_mb)
-
-
-def build(langs: list[str], codes: np.ndarray, n: np.ndarray, max_table_mb: int = 24) -> PpmModel:
-    """The frozen trees from counts of (language, three bytes of context and a byte)."""
-    languages = sorted(set(langs))
-    if not languages:
-        return PpmModel([], np.zeros(BASE, np.int64), np.zeros((1, 1, 1), np.int32), np.zeros((1, 1, 0), np.float32))
-    li = np.array([languages.index(x) for x in langs])
-    sym = np.stack([codes // BASE**3, codes // BASE**2 % BASE, codes // BASE % BASE, codes % BASE], 1)
-    seen = np.unique(sym[:, 3])
-    klass = np.zeros(BASE, np.int64)
-    klass[seen] = np.arange(1, len(seen) + 1)
-    klass[START] = len(seen) + 1
-    k, nl = len(seen) + 2, len(languages)
-    c = klass[sym]
-    # order -1: uniform over the 256 bytes; class 0 stands for one byte that no training text has
-    uniform = np.full(k, 1 / 256)
-    uniform[-1] = 1e-12
-    probs = np.broadcast_to(uniform, (1, nl, k)).copy()
-    keys = np.zeros(1, np.int64)  # contexts of the order built last, and where each one's row is
-    tables, lookup = [], []
-    for order in range(4):
-        ctx = np.zeros(len(c), np.int64)
-        for j in range(3 - order, 3):
-            ctx = ctx * k + c[:, j]
-        own = np.unique(ctx)
-        if order == 3 and len(own) > (room := max(1, (max_table_mb << 20) // (k * nl * 4))):
-            weight = np.bincount(np.searchsorted(own, ctx), weights=n)
-            own = np.sort(own[np.argsort(-weight, kind="stable")[:room]])
-            keep = np.isin(ctx, own)
-            ctx, c, li, n = ctx[keep], c[keep], li[keep], n[keep]
-        cnt = np.zeros((len(own), nl, k), np.float32)
-        np.add.at(cnt, (np.searchsorted(own, ctx), li, c[:, 3]), n)
-        lower = probs[np.searchsorted(keys, own % k ** max(order - 1, 0))] if order else np.broadcast_to(probs, (len(own), nl, k))
-        total, distinct = cnt.sum(2, keepdims=True), (cnt > 0).sum(2, keepdims=True)
-        unseen = np.where(cnt > 0, 0, lower)
-        left = np.maximum(unseen.sum(2, keepdims=True), 1e-30)
+    named = got.column("lang").combine_chunks().dictionary_encode()
+    return build(named.dictionary.to_pylist(), named.indices.to_numpy(), got.column("code").to_numpy(), got.column("n").to_numpy())
+
+
+def build(names: list[str], which: np.ndarray, codes: np.ndarray, n: np.ndarray) -> PpmModel:
+    """The frozen trees from counts n of (place of the language in names, three bytes of context and a byte)."""
+    languages = sorted(names)
+    model, nl = PpmModel(languages, [], [], [], []), len(languages)
+    li = np.array([languages.index(x) for x in names], np.int64)[which]
+    for order in range(4 if nl else 0):
+        pairs, where = np.unique(codes % BASE ** (order + 1) * nl + li, return_inverse=True)
+        count = np.bincount(where, n)
+        gram, lang = pairs // nl, pairs % nl
+        grams, g = np.unique(gram, return_inverse=True)
+        contexts, c = np.unique(gram // BASE, return_inverse=True)
+        lower = model.cost(grams % BASE**order if order else grams, order - 1)
+        total, distinct, covered = np.zeros((3, len(contexts), nl))
+        np.add.at(total, (c, lang), count)
+        np.add.at(distinct, (c, lang), 1)
+        np.add.at(covered, (c, lang), np.exp(-lower[g, lang]))
         with np.errstate(divide="ignore", invalid="ignore"):
-            mixed = np.where(cnt > 0, cnt / (total + distinct), distinct / (total + distinct) * unseen / left)
-        probs, keys = np.where(total > 0, mixed, lower).astype(np.float32), own
-        tables.append(probs)
-        lookup.append(own)
-    starts = np.cumsum([0, *[len(t) for t in tables]])
-    full = np.arange(k**3)
-    states = np.zeros(k**3, np.int32)
-    for order in range(4):  # the longest context that is known wins
-        tail, own = full % k**order, lookup[order]
-        at = np.minimum(np.searchsorted(own, tail), len(own) - 1)
-        states = np.where(own[at] == tail, starts[order] + at, states).astype(np.int32)
-    costs = -np.log(np.maximum(np.concatenate(tables), 1e-12)).transpose(0, 2, 1)
-    return PpmModel(languages, klass, states.reshape(k, k, k), np.ascontiguousarray(costs, np.float32))
+            # the shorter context's share of what this one has not seen
+            escape = np.where(total > 0, -np.log(distinct / (total + distinct)) + np.log(np.maximum(1 - covered, 1e-12)), 0)
+        costs = lower + escape[np.searchsorted(contexts, grams // BASE)]
+        costs[g, lang] = -np.log(count / (total + distinct)[c, lang])
+        model.grams.append(_Places(grams))
+        model.costs.append(costs)
+        model.contexts.append(_Places(contexts))
+        model.escapes.append(escape)
+    model.costs, model.escapes = [x.astype(np.float32) for x in model.costs], [x.astype(np.float32) for x in model.escapes]
+    return model
 
 
 def code_lengths(model: PpmModel, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Nats of each text under each language; works through the bytes in chunks, whatever a text's length."""
-    k, n_docs = model.costs.shape[1], len(offs) - 1
+    n_docs = len(offs) - 1
     out = np.zeros((n_docs, len(model.languages)))
-    flat, states = model.costs.reshape(-1, len(model.languages)), model.states.reshape(-1)
     for a in range(0, len(raw), CHUNK):
         b = min(a + CHUNK, len(raw))
         lo = max(0, a - 3)
-        cls = model.klass[raw[lo:b]]
-        pad = np.concatenate([np.full(3 - (a - lo), model.klass[START]), cls])
-        c3, c2, c1, sym = pad[:-3].copy(), pad[1:-2].copy(), pad[2:-1].copy(), pad[3:]
         first, last = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
-        heads = offs[max(first, 0) : last]
-        for back, prev in ((1, (c1, c2, c3)), (2, (c2, c3)), (3, (c3,))):
-            at = heads + back - 1 - a
-            at = at[(at >= 0) & (at < b - a)]
-            for p in prev:
-                p[at] = model.klass[START]
-        # a text shorter than the context reaches: the marks of its own head come first, so a later head wins as well
-        rows = flat[states[(c3 * k + c2) * k + c1].astype(np.int64) * k + sym]
+        own = np.clip(offs[np.searchsorted(offs, lo, "right") - 1 : last + 1], lo, b) - lo
+        rows = model.cost(_ngram_codes(raw[lo:b], own)[a - lo :])  # the first codes lack what is before lo
         docs = np.arange(first, last)
         docs = docs[np.diff(offs)[docs] > 0]
-        begin = np.maximum(offs[docs] - a, 0)
-        out[docs] += np.add.reduceat(rows, begin, axis=0, dtype=np.float64)
+        out[docs] += np.add.reduceat(rows, np.maximum(offs[docs] - a, 0), axis=0, dtype=np.float64)
     return out
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm._common import connected_components, discard, partitions, prepare, row_key, scratch, shingle_hashes, text_bytes
+from shelfspark.llm._common import connected_components, discard, observed, partitions, prepare, row_key, scratch, shingle_hashes, text_bytes
 from shelfspark.llm.simhash import links as simhash_links
 from shelfspark.llm.simhash import majority
 
@@ -87,9 +87,11 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, text_col: str,
     part = F.pmod(F.xxhash64("b"), F.ceil(F.coalesce("k", F.lit(1)) / TOGETHER))
     dealt = scratch(near.join(many, "a", "left").select("a", part.alias("part"), "b"))
     sent = dealt.select("a", "part", F.col("b").alias("key")).union(dealt.select("a", "part", F.col("a").alias("key")).distinct())
-    sent = scratch(sent.join(sets.select("key", "x"), "key").select("x", "a", "part", "key"))
+    sent = scratch(sent.join(sets.select("key", "x"), "key").select("x", "a", "part", "key"), n=F.count(F.lit(1)))
     discard(pairs, near)
-    held = F.broadcast(sent) if sent.count() <= BROADCAST_ROWS else sent
+    if not observed(sent)["n"]:
+        return sent.select("a", F.col("key").alias("b"))
+    held = F.broadcast(sent) if observed(sent)["n"] <= BROADCAST_ROWS else sent
 
     def pack(batches):
         for b in batches:
@@ -130,6 +132,11 @@ def _simhash_pairs(sets: DataFrame) -> DataFrame:
     return same.union(across)
 
 
+def _forest(parts: DataFrame) -> DataFrame:
+    """Links with the components of parts (node, component)."""
+    return parts.where("node <> component").select(F.col("component").alias("a"), F.col("node").alias("b"))
+
+
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5) -> DataFrame:
     """docs -> id, component_id: the smallest id that links of Jaccard similarity 0.8 or more reach, one row per row.
 
@@ -171,13 +178,12 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     first_round = labelled(parts)
     least = scratch(first_round.groupBy("h").agg(F.min(F.struct("label", "key", "n", "at")).alias("m"))).select("h", "m.key", "m.n", "m.at", "m.label")
     more = _verified(pairs(first_round, least), docs, sets, text_col, width)
-    links = links.union(more)
-    parts = scratch(connected_components(links))
+    parts = scratch(connected_components(_forest(parts).union(more)))
     second_round = labelled(parts)
     mixed = scratch(second_round.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h"))
     left = scratch(second_round.join(mixed, "h"))
     more = _verified(pairs(left, left), docs, sets, text_col, width)
-    parts = connected_components(links.union(more)) if not more.isEmpty() else parts
+    parts = connected_components(_forest(parts).union(more)) if not more.isEmpty() else parts
 
     first = rows.groupBy("key").agg(F.min("id").alias("first"))
     label = first.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))

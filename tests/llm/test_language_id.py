@@ -1,3 +1,6 @@
+import random
+import zlib
+
 import numpy as np
 
 from shelfspark.llm import language_id as li
@@ -5,7 +8,7 @@ from shelfspark.llm import language_id as li
 DOCS = "doc_id long, text string, lang string"
 
 
-def brute_nats(model_texts, text, k_seen):
+def brute_nats(model_texts, text):
     """PPM (orders 3 to 0, method C, exclusion) from the definition; the start of a text is a symbol of contexts."""
     counts = {}
     for t in model_texts:
@@ -17,7 +20,7 @@ def brute_nats(model_texts, text, k_seen):
 
     def dist(ctx):
         if ctx is None:
-            return {b: 1 / 256 for b in k_seen} | {"other": 1 / 256}
+            return {b: 1 / 256 for b in range(256)}
         lower = dist(ctx[1:] if ctx else None)
         own = counts.get(ctx)
         if not own:
@@ -28,8 +31,7 @@ def brute_nats(model_texts, text, k_seen):
 
     s, total = [li.START] * 3 + list(text), 0.0
     for i in range(3, len(s)):
-        d = dist(tuple(s[i - 3 : i]))
-        total -= np.log(d.get(s[i], d["other"]))
+        total -= np.log(dist(tuple(s[i - 3 : i]))[s[i]])
     return total
 
 
@@ -37,18 +39,54 @@ def test_code_lengths_follow_the_definition(spark, monkeypatch):
     train = {"aa": [b"abracadabra", b"abab cab", b"a"], "bb": [b"xyz abx zyx", b"zz yx"]}
     rows = [(i, t.decode(), lang) for lang, ts in train.items() for i, t in enumerate(ts)]
     model = li.train(spark.createDataFrame(rows, DOCS))
-    seen = {b for ts in train.values() for t in ts for b in t}
     texts = [b"abra", b"", b"q", b"zyx\xc3\xa9 abra", b"x", b"y", b"abcxyz" * 9]
     raw = np.frombuffer(b"".join(texts), np.uint8)
     offs = np.cumsum([0, *map(len, texts)])
     for chunk in (1 << 20, 5, 1):
         monkeypatch.setattr(li, "CHUNK", chunk)
         got = li.code_lengths(model, raw, offs)
-        want = [[brute_nats(train[x], t, seen) for x in ("aa", "bb")] for t in texts]
-        # the reserved class of text starts takes 1e-12 of the lowest order
+        want = [[brute_nats(train[x], t) for x in ("aa", "bb")] for t in texts]
         assert np.allclose(got, want, rtol=1e-4, atol=1e-4)
 
 
+def test_query_against_brute_force(spark, tmp_path):
+    """lang_pred and score of whole texts, learned from the rows that are not held out."""
+    rng = random.Random(4)
+    sounds = {"en": "the ing and ver wh ough", "de": "sch ein ung ich über", "fr": "eau oui ça ent les"}
+    rows = []
+    for i in range(120):
+        lang = rng.choice(list(sounds))
+        text = "".join(rng.choice(sounds[lang].split()) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 60)))
+        rows.append((i if i % 30 else None, text, lang if i % 5 else None))
+    rows += [(200, None, "en"), (201, "", "en"), (202, "1 2 3", "de"), (203, "QZ 1", None), (204, "это", None), (1, "the the", "fr")]
+    spark.createDataFrame(rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    held = [zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2 for i, *_ in rows]
+    names = sorted(sounds)
+    taught = {x: [t.encode() for (_, t, lang), h in zip(rows, held, strict=True) if lang == x and t and not h] for x in names}
+    want = []
+    for (i, t, _), h in zip(rows, held, strict=True):
+        nats = np.array([brute_nats(taught[x], (t or "").encode()) for x in names])
+        letters = any(c.isalpha() for c in t or "")
+        best = int(nats.argmin())
+        want.append((-1 if i is None else i, h, names[best] if letters else "und", round(1 / np.exp(nats.min() - nats).sum(), 3) if letters else 0.0))
+    got = [(-1 if r.doc_id is None else r.doc_id, r.held_out, r.lang_pred, round(r.score, 3)) for r in li.op2_language_id(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+
+
+def test_many_languages_keep_all_contexts(spark):
+    """No context of the sample is given up, however many languages there are."""
+    rng = random.Random(8)
+    texts = {f"l{k}": ["".join(rng.choice("abcdefghijklmnop" if k % 2 else "ijklmnopqrstuvwxyz") for _ in range(400)) for _ in range(3)] for k in range(40)}
+    rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
+    model = li.train(spark.createDataFrame(rows, DOCS))
+    seen = {tuple(s[i - 3 : i + 1]) for ts in texts.values() for t in ts for s in [[li.START] * 3 + list(t.encode())] for i in range(3, len(s))}
+    assert len(model.costs[3]) == len(seen)
+    some = [ts[0].encode() for ts in texts.values()]
+    got = li.code_lengths(model, np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
+    assert got.argmin(1).tolist() == [model.languages.index(x) for x in texts]
+    assert np.allclose(got[3, 7], brute_nats([t.encode() for t in texts[model.languages[7]]], some[3]), rtol=1e-4)
+
+
 def test_held_out_accuracy(spark):
     docs = li.op2_language_id(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "lang"), "doc_id")
     rows = docs.where("held_out").collect()
