@@ -1,16 +1,18 @@
 """Chat formatting in budgeted windows.
 
 A conversation's turns are written as `<|im_start|>role`, a line feed, the text, `<|im_end|>` and a line feed. Prefix
-sums of the turns' tokens choose the windows: each takes the system turn, up to `history` tokens of turns that earlier
-windows held, and then as many new turns as the budget has room for (one at least). Every assistant turn is a target in
-the one window that first holds it; there its text is under the loss mask, and where it comes back as history it is
-masked out.
+sums of the tokens of the written turns choose the windows: each takes the system turn, up to `history` tokens of turns
+that earlier windows held, and then as many new turns as the budget has room for (one at least). History goes, oldest
+first, and then the system turn, where else the first new turn would not fit; so only a turn that alone exceeds the budget
+exceeds it. Every assistant turn is a target in the one window that first holds it; there its text is under the loss mask,
+and where it comes back as history it is masked out.
 
 Control strings inside texts and roles are escaped reversibly: `<`, any number of backslashes and `|` get one
 backslash more, so that no `<|` is left; in roles, backslash and line feed are escaped as well.
 
 Rows are dealt by conversation and sorted by turn, and a task reads them as a stream: it holds one window at a
-time, not a whole conversation.
+time, not a whole conversation. As each window follows from the one before, one conversation is one task's work, however
+long it is: that is a limit in time, not in memory.
 """
 
 from __future__ import annotations
@@ -66,28 +68,34 @@ class Windows:
         self.past: list[tuple] = []  # turns kept as history
         self.turns: list[tuple] = []  # new turns of the open window: (rendered, tokens, head, text length, target)
         self.prefix = [0]  # sums of their tokens
-        self.number = 0
+        self.number, self.with_system = 0, True
 
-    def add(self, index: int, role: str, text: str, tokens: int):
-        """Takes a turn; returns a finished window if the turn does not fit into the open one."""
-        head = f"{START}{escape_role(role)}\n"
-        body = escape(text)
-        turn = (f"{head}{body}{END}\n", tokens, len(head), len(body), role == "assistant")
+    def add(self, index: int, role: str, rendered: str, head: int, tokens: int):
+        """Takes a written turn (its first `head` characters come before the text); returns a finished window if the turn does not
+        fit into the open one."""
+        turn = (rendered, tokens, head, len(rendered) - head - len(END) - 1, role == "assistant")
         out = None
         if self.turns and self.carried() + self.prefix[-1] + tokens > self.budget:
             out = self.close()
+        if not self.turns:
+            while self.past and self.carried() + tokens > self.budget:
+                self.past.pop(0)
+            self.with_system = self.carried() + tokens <= self.budget
         self.turns.append(turn)
         self.prefix.append(self.prefix[-1] + tokens)
         if index == 0 and role == "system":
             self.system = turn
         return out
 
+    def repeated(self) -> list[tuple]:
+        return [*([self.system] if self.system and self.number and self.with_system else []), *self.past]
+
     def carried(self) -> int:
-        return sum(t[1] for t in self.past) + (self.system[1] if self.system and self.number else 0)
+        return sum(t[1] for t in self.repeated())
 
     def close(self):
         """(number, text, repeated turns, loss spans) of the open window."""
-        old = [*([self.system] if self.system and self.number else []), *self.past]
+        old = self.repeated()
         text, spans, at = [], [], 0
         for i, (rendered, _, head, size, target) in enumerate([*old, *self.turns]):
             if target and i >= len(old):
@@ -101,7 +109,7 @@ class Windows:
         sums = np.cumsum([t[1] for t in pool[::-1]])
         keep = int(np.searchsorted(sums, room, "right"))
         self.past = pool[len(pool) - keep :]
-        self.turns, self.prefix, self.number = [], [0], self.number + 1
+        self.turns, self.prefix, self.number, self.with_system = [], [0], self.number + 1, True
         return out
 
 
@@ -127,13 +135,14 @@ def format_chats(turns: DataFrame, tokenizer_path: str, budget: int = 1024, hist
         for b in batches:
             ids, _, roles, texts = (b.column(i).to_pylist() for i in range(4))
             out = []
-            tokens = count([f"{START}{r}\n{t}{END}\n" for r, t in zip(roles, texts, strict=True)])
-            for c, role, text, n in zip(ids, roles, texts, tokens, strict=True):
+            heads = [f"{START}{escape_role(r)}\n" for r in roles]
+            written = [f"{h}{escape(t)}{END}\n" for h, t in zip(heads, texts, strict=True)]
+            for c, role, text, head, n in zip(ids, roles, written, heads, count(written), strict=True):
                 if (c,) != conv:
                     if windows:
                         out.append((*conv, *windows.close()))
                     conv, windows, index = (c,), Windows(budget, history), 0
-                if done := windows.add(index, role, text, n):
+                if done := windows.add(index, role, text, len(head), n):
                     out.append((c, *done))
                 index += 1
             if out:

@@ -48,6 +48,7 @@ def test_windows(spark):
     formatted = cf.format_chats(turns, PATH, 300, 80)
     got = {r.conv_id: tuple(r)[1:5] for r in cf.digest(formatted).collect()}
     assert got == brute(rows)
+    chars = {r.conv_id: r.formatted_chars for r in cf.digest(formatted).collect()}
     count = cf.worker_encoder(PATH)
     by_conv = {}
     for w in formatted.collect():
@@ -58,13 +59,21 @@ def test_windows(spark):
     for c, ws in by_conv.items():
         for w in sorted(ws, key=lambda w: w.window):
             parts = cf.parse(w.text)
-            size = sum(count([f"{cf.START}{r}\n{t}{cf.END}\n" for r, t, _ in parts]))
-            assert size <= 300 or len(parts) - w.n_repeated == 1
-            if c in first and first[c][0] == "system":
-                assert parts[0][:2] == first[c]
+            sizes = count([f"{cf.START}{cf.escape_role(r)}\n{cf.escape(t)}{cf.END}\n" for r, t, _ in parts])
+            assert sum(sizes) <= 300 or len(sizes) == 1
+            if c in first and first[c][0] == "system" and parts[0][:2] != first[c]:  # no room for it beside the first new turn
+                assert w.n_repeated == 0 and sizes[0] + count([f"{cf.START}system\n{cf.escape(first[c][1])}{cf.END}\n"])[0] > 300
+        assert chars[c] == sum(len(w.text) for w in ws)
     assert any(w.n_repeated for ws in by_conv.values() for w in ws)
 
 
+def test_history_gives_way_to_the_budget():
+    w = cf.Windows(300, 80)
+    done = [w.add(i, r, "x" * 20, 5, n) for i, (r, n) in enumerate([("system", 20), ("user", 200), ("assistant", 70), ("user", 280), ("user", 60), ("assistant", 290)])]
+    done = [*filter(None, done), w.close()]
+    assert [d[2] for d in done] == [0, 1, 1, 0]  # 70 carried tokens go for 280 new ones; 290 leave no room for the system turn
+
+
 def test_query_and_empty(spark):
     got = {r.conv_id: r for r in cf.op4_chat_format(spark, "/root/testdata/sf0.01").collect()}
     rows = [tuple(r) for r in spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text").collect()]
