@@ -8,7 +8,8 @@ to repeat, so that only few suffixes are ever written out:
    for 85 windows. Grams that occur once in the corpus end the sort for all of their windows.
 2. The second digit is all that the windows of one gram cover. If it occurs again, so does each of these windows.
 3. What is left (windows near the ends of a repeat) is sorted by quarters of the window, in memory for groups of
-   up to `group_cap` different contexts, and as a distributed aggregate for larger ones.
+   up to `group_cap` different contexts. Larger ones are told apart before they are dealt, and are a distributed aggregate
+   over their windows instead.
 
 Groups that reach full depth are exactly the repeated windows. Digits are compared by 64-bit hashes.
 """
@@ -24,9 +25,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm._common import partitions, prepare, scratch, table, text_bytes
+from shelfspark.llm._common import discard, observed, partitions, prepare, scratch, table, text_bytes
 
 GRAM = 32
+#: Contexts of one gram that are sorted in one task.
+GROUP_CAP = 1000
+#: Bytes of contexts in an Arrow batch.
+BATCH = 8 << 20
 CHUNK = 1 << 20
 DIGITS = 4
 _powers: dict[str, np.ndarray] = {}
@@ -140,7 +145,7 @@ def _unpack(z: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(z)
 
 
-def repeated_spans(rows: DataFrame, depth: int = 200, group_cap: int = 20_000) -> DataFrame:
+def repeated_spans(rows: DataFrame, depth: int = 200, group_cap: int = GROUP_CAP) -> DataFrame:
     """rows (key, text) -> key, start, n: windows start .. start + n - 1 of a text occur elsewhere as well."""
 
     def sample(batches):
@@ -156,38 +161,51 @@ def repeated_spans(rows: DataFrame, depth: int = 200, group_cap: int = 20_000) -
     # written first, so that both sides of the join are shuffles that Spark can split at a hot gram
     again = scratch(first.groupBy("h").agg(F.count("*").alias("k"), (F.min("c") != F.max("c")).alias("mixed")).where("k > 1").select("h", "mixed"))
     second = scratch(first.join(again, "h"))
+    discard(first, again)
     # pass 2: contexts that occur again; of each context one row goes on where its gram has several
     groups = second.groupBy("h", "c").agg(F.count("*").alias("k"), F.first("mixed").alias("mixed"), F.min(F.struct("key", "start", "n", "at")).alias("one"))
     groups = scratch(groups)
     whole = second.join(groups.where("k > 1").select("h", "c"), ["h", "c"], "left_semi").select("key", "start", F.col("n").cast("long").alias("n"))
     open_ = groups.where("mixed").select("h", F.least("k", F.lit(2)).cast("int").alias("k"), "one.*")
-    # pass 3: the texts of these contexts, and their windows
+    # pass 3: the windows of these contexts. Grams with many contexts are named first: no task gets one of them whole
+    many = scratch(open_.groupBy("h").agg(F.count("*").alias("contexts")).where(F.col("contexts") > group_cap).select("h"), n=F.count(F.lit(1)))
+    some_large = observed(many)["n"] > 0
+    small = open_.join(many, "h", "left_anti") if some_large else open_
+    dealt = _context_texts(rows, small, depth).repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h")
+    spans = whole.union(scratch(dealt.mapInArrow(_small_groups(depth), "key long, start long, n long")))
+    if some_large:
+        texts = _context_texts(rows, open_.join(many, "h", "left_semi"), depth)
+        windows = scratch(texts.mapInArrow(_window_rows(depth), "w long, k int, key long, start long"))
+        twice = scratch(windows.groupBy("w").agg(F.sum("k").alias("s")).where("s > 1").select("w"))
+        spans = spans.union(windows.where("k = 1").join(twice, "w", "left_semi").select("key", "start", F.lit(1).cast("long").alias("n")))
+    return spans
+
+
+def _context_texts(rows: DataFrame, open_: DataFrame, depth: int) -> DataFrame:
+    """The bytes of each context in open_ (h, k, key, start, n, at)."""
     wanted = open_.groupBy("key").agg(F.collect_list(F.struct("h", "k", "start", "n", "at")).alias("open"))
     held = _packed(rows.where(F.octet_length("text") >= depth), "key").join(wanted, "key")
+    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
 
     def contexts(batches):
+        out, size = [], 0
+
+        def batch():
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "k", "key", "start", "n", "at", "text"])
+
         for b in batches:
-            for piece in range(0, b.num_rows, 50):
-                out = []
-                for key, z, some in zip(*(b.slice(piece, 50).column(i).to_pylist() for i in range(3)), strict=True):
-                    text = _unpack(z)
-                    out += [(x["h"], x["k"], key, x["start"], x["n"], x["at"], text[x["start"] : x["start"] + x["n"] + depth - 1]) for x in some]
-                if out:
-                    kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["h", "k", "key", "start", "n", "at", "text"])
-
-    schema = "h long, k int, key long, start long, n int, at int, text binary"
-    spread = held.select("key", "z", "open").mapInArrow(contexts, schema)
-    dealt = spread.repartition(partitions(rows.sparkSession), "h").sortWithinPartitions("h")
-    sorted_ = scratch(dealt.mapInArrow(_small_groups(depth, group_cap), schema))
-    parts = sorted_.where("text is null").select("key", "start", F.col("n").cast("long").alias("n"))
-    spans = whole.union(parts)
-    large = sorted_.where("text is not null")
-    if not large.isEmpty():
-        windows = scratch(large.mapInArrow(_window_rows(depth), "w long, k int, key long, start long"))
-        twice = windows.groupBy("w").agg(F.sum("k").alias("s")).where("s > 1").select("w")
-        spans = spans.union(windows.where("k = 1").join(twice, "w", "left_semi").select("key", "start", F.lit(1).cast("long").alias("n")))
-    return spans
+            for key, z, some in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist(), strict=True):
+                text = _unpack(z.as_py())
+                for x in some:
+                    out.append((x["h"], x["k"], key, x["start"], x["n"], x["at"], text[x["start"] : x["start"] + x["n"] + depth - 1]))
+                    size += x["n"] + depth
+                    if size > BATCH:
+                        yield batch()
+                        out, size = [], 0
+        if out:
+            yield batch()
+
+    return held.select("key", "z", "open").mapInArrow(contexts, "h long, k int, key long, start long, n int, at int, text binary")
 
 
 def _columns(table_: pa.Table):
@@ -196,9 +214,8 @@ def _columns(table_: pa.Table):
     return raw, offs[:-1], n, at, table_.column("h").to_numpy(), table_.column("k").to_numpy()
 
 
-def _small_groups(depth: int, cap: int):
-    """Sorted by h: groups of up to cap contexts are sorted here, and runs of windows come out (text null); the rows of
-    larger groups come out as they are."""
+def _small_groups(depth: int):
+    """Sorts the contexts of each gram (rows come sorted by h); runs of windows come out."""
 
     def solved(rows: pa.Table):
         raw, begin, n, at, h, k = _columns(rows)
@@ -210,21 +227,11 @@ def _small_groups(depth: int, cap: int):
         head = np.flatnonzero(np.concatenate([[True], (np.diff(row) != 0) | (np.diff(win) != 1)])) if len(row) else np.zeros(0, int)
         size = np.diff(np.concatenate([head, [len(row)]]))
         r, w = row[head], win[head]
-        zero = pa.array(np.zeros(len(r), np.int32))
-        cols = [pa.array(h[r]), zero, pa.array(rows.column("key").to_numpy()[r]), pa.array(rows.column("start").to_numpy()[r] + w), pa.array(size.astype(np.int32)), zero, pa.nulls(len(r), pa.binary())]
-        return pa.RecordBatch.from_arrays(cols, ["h", "k", "key", "start", "n", "at", "text"])
+        return pa.RecordBatch.from_arrays([pa.array(rows.column("key").to_numpy()[r]), pa.array(rows.column("start").to_numpy()[r] + w), pa.array(size.astype(np.int64))], ["key", "start", "n"])
 
     def run(batches):
-        held, held_rows, large = [], 0, None  # rows not sorted yet; the h of a group that is too large
+        held, held_rows = [], 0
         for b in batches:
-            if large is not None:
-                same = int(np.searchsorted(b.column(0).to_numpy(), large, "right"))
-                if same:
-                    yield b.slice(0, same)
-                b = b.slice(same)
-                if not b.num_rows:
-                    continue
-                large = None
             held.append(b)
             held_rows += b.num_rows
             if held_rows < 4000:
@@ -233,23 +240,11 @@ def _small_groups(depth: int, cap: int):
             h = rows.column("h").to_numpy()
             cut = int(np.searchsorted(h, h[-1], "left"))  # the last group may go on
             if cut:
-                yield from by_size(rows.slice(0, cut))
+                yield solved(rows.slice(0, cut).combine_chunks())
             rest = rows.slice(cut).combine_chunks()
             held, held_rows = rest.to_batches(), rest.num_rows
-            if held_rows > cap:
-                yield from held
-                held, held_rows, large = [], 0, h[-1]
         if held_rows:
-            yield from by_size(pa.Table.from_batches(held).combine_chunks())
-
-    def by_size(rows: pa.Table):
-        _, where, size = np.unique(rows.column("h").to_numpy(), return_inverse=True, return_counts=True)
-        small = size[where] <= cap
-        if not small.all():
-            yield from rows.filter(pa.array(~small)).combine_chunks().to_batches()
-            rows = rows.filter(pa.array(small)).combine_chunks()
-        if rows.num_rows:
-            yield solved(rows)
+            yield solved(pa.Table.from_batches(held).combine_chunks())
 
     return run
 
@@ -268,7 +263,7 @@ def _window_rows(depth: int):
     return run
 
 
-def drop_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, group_cap: int = 20_000) -> DataFrame:
+def drop_repeats(docs: DataFrame, depth: int = 200, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False, group_cap: int = GROUP_CAP) -> DataFrame:
     """docs -> id, n_bytes, n_removed, n_spans, kept_sha256 (and kept, binary): one row per row.
 
     Each byte goes that lies in a string of `depth` bytes which also starts anywhere else, same text included. A null
