@@ -2,10 +2,12 @@
 
 The lines of a text that are not blank (compared without blanks around them) are hashed. In each window of `run`
 lines the least hash is a fingerprint: a run of that many lines that occurs twice has the same fingerprint at the
-same place in both. Lines of `long_line` characters or more are fingerprints by themselves. Fingerprints that occur
-once end the search. The others' places are joined, and matches are extended both ways: the up to 2 * run - 1
-lines around a fingerprint hold every window that it stands for. Of equal windows the first in the order of
-(id, line) stays and the lines of all later ones are deleted.
+same place in both. Runs of fewer lines that reach `words` words or, for one line, `long_line` characters are windows too, and
+the least hash of each is its fingerprint: so a passage of that many words is found however it is broken into lines.
+Fingerprints that occur once end the search. The others' places are joined, and matches are extended both ways: the up to
+2 * run - 1 lines around a fingerprint hold every window that it stands for, each is compared whole, and adjoining
+windows add up to the longest match. Of equal windows the first in the order of (id, line) stays and the lines of all
+later ones are deleted.
 """
 
 from __future__ import annotations
@@ -44,7 +46,20 @@ def fingerprints(hashes: np.ndarray, run: int) -> list[tuple[int, int, int]]:
     return list(zip(low[head].tolist(), head.tolist(), np.diff([*head, n]).tolist(), strict=True))
 
 
-def repeated_lines(rows: DataFrame, run: int, long_line: int) -> DataFrame:
+def short_windows(words: list[int], run: int, least: int) -> list[tuple[int, int]]:
+    """(first line, lines) of the shortest windows of under `run` lines from each line on that reach `least` words."""
+    out = []
+    for p in range(len(words)):
+        n = 0
+        for q in range(p, min(p + run - 1, len(words))):
+            n += words[q]
+            if n >= least:
+                out.append((p, q - p + 1))
+                break
+    return out
+
+
+def repeated_lines(rows: DataFrame, run: int, long_line: int, words: int) -> DataFrame:
     """rows (id, key, text) -> key, start, n: lines (counting those not blank) that repeat an earlier window."""
 
     def winnow(batches):
@@ -55,7 +70,10 @@ def repeated_lines(rows: DataFrame, run: int, long_line: int) -> DataFrame:
                 h = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass")) for x in bare], np.uint64)
                 signed = h.view(np.int64).tolist()
                 out += [(i, key, signed[p], s, run, signed[s : s + n + run - 1]) for p, s, n in fingerprints(h, run)]
-                out += [(i, key, signed[p], p, 1, signed[p : p + 1]) for p, x in enumerate(bare) if len(x) >= long_line]
+                some = short_windows([len(x.encode("utf-8", "surrogatepass").split()) for x in bare], run, words)
+                have = set(some)
+                some += [(p, 1) for p, x in enumerate(bare) if len(x) >= long_line and (p, 1) not in have]
+                out += [(i, key, int(h[p : p + n].min().view(np.int64)), p, n, signed[p : p + n]) for p, n in some]
             at, *cols = zip(*out, strict=True) if out else [()] * 6
             kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(at, pa.int64())), *[pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]], ["id", "key", "fp", "start", "size", "around"])
@@ -73,7 +91,7 @@ def repeated_lines(rows: DataFrame, run: int, long_line: int) -> DataFrame:
     return windows.join(first, ["w", "l", "size"]).where(place > F.col("first")).select("key", "start", F.col("size").alias("n"))
 
 
-def drop_repeated_lines(docs: DataFrame, run: int = 3, long_line: int = 200, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, run: int = 3, long_line: int = 200, words: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs -> docs with n_lines, n_removed and, in text_col, what is left: one row per row.
 
     Null texts stay null, blank lines stay. Rows that agree in id and text count as one document, so that neither
@@ -81,7 +99,7 @@ def drop_repeated_lines(docs: DataFrame, run: int = 3, long_line: int = 200, id_
     """
     docs = docs.drop("n_lines", "n_removed")
     rows = _keyed(docs.where(F.col(text_col).isNotNull()), id_col, text_col, rest=True)
-    gone = repeated_lines(rows, run, long_line).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
+    gone = repeated_lines(rows, run, long_line, words).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("gone"))
     held = _packed(rows, "rest", "key").join(gone, "key", "left").select("rest", "z", "gone")
 
     def delete(batches):
@@ -119,8 +137,10 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 OP5_SQL = """
 WITH l AS (SELECT doc_id, unnest(range(len(a))) AS i, unnest(a) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS a FROM documents)),
 nb AS (SELECT doc_id, i, trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS s, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l WHERE trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12)) <> ''),
+c AS (SELECT *, len(string_split_regex(s, '[ \t\n\r\x0B\x0C]+')) AS n FROM nb),
 w AS (SELECT doc_id, p, 3 AS size, s || chr(10) || lead(s, 1) OVER o || chr(10) || lead(s, 2) OVER o AS k FROM nb WINDOW o AS (PARTITION BY doc_id ORDER BY p)
-  UNION ALL SELECT doc_id, p, 1, s FROM nb WHERE length(s) >= 200),
+  UNION ALL SELECT doc_id, p, 1, s FROM c WHERE length(s) >= 200 OR n >= 50
+  UNION ALL SELECT doc_id, p, 2, s || chr(10) || s2 FROM (SELECT *, lead(s) OVER o AS s2, n + lead(n) OVER o AS n2 FROM c WINDOW o AS (PARTITION BY doc_id ORDER BY p)) WHERE n < 50 AND n2 >= 50),
 r AS (SELECT doc_id, p, size, row_number() OVER (PARTITION BY size, k ORDER BY doc_id, p) AS nth FROM w WHERE k IS NOT NULL),
 gone AS (SELECT DISTINCT doc_id, p + o AS p FROM r, (SELECT unnest([0, 1, 2]) AS o) WHERE nth > 1 AND o < size),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l WHERE NOT EXISTS (SELECT 1 FROM nb JOIN gone USING (doc_id, p) WHERE nb.doc_id = l.doc_id AND nb.i = l.i) GROUP BY doc_id)

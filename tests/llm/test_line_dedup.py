@@ -1,4 +1,5 @@
 import random
+import re
 
 import duckdb
 
@@ -8,7 +9,7 @@ DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
 
 
-def brute(rows, run, long_line):
+def brute(rows, run, long_line, words=50):
     units, seen = {}, {}
     for i, t in rows:
         if t is not None:
@@ -19,9 +20,11 @@ def brute(rows, run, long_line):
     for i in sorted(units):
         _, at, bare = units[i]
         for p in range(len(bare)):
-            for n in (run, 1):
+            for n in range(1, run + 1):
                 w = tuple(bare[p : p + n])
-                if len(w) < n or n == 1 and len(w[0]) < long_line:
+                size = [len(re.split("[ \t-\r]+", x)) for x in w]
+                reaches = sum(size) >= words > sum(size[:-1])
+                if len(w) < n or n < run and not reaches and not (n == 1 and len(w[0]) >= long_line):
                     continue
                 if seen.setdefault((n, w), (i, p)) < (i, p):
                     gone[i] |= {at[q] for q in range(p, p + n)}
@@ -41,9 +44,16 @@ def test_against_brute_force(spark):
         rows.append((i, "\n".join(lines)))
     rows += [(80, None), (81, ""), (82, "q\n" * 20000), (83, "a\nb\nc")]
     docs = spark.createDataFrame([(i, t, None, None, 1) for i, t in rows], DOCS).selectExpr("*", "1 as key", "2 as fp", "3 as id", "4 as start")
-    for run, long_line in ((3, 45), (2, 10**6), (5, 20)):
-        got = {r.doc_id: r.text for r in ld.drop_repeated_lines(docs, run, long_line).collect()}
-        assert got == brute(rows, run, long_line) | {80: None}
+    for run, long_line, words in ((3, 45, 50), (2, 10**6, 3), (5, 20, 9), (4, 10**6, 6)):
+        got = {r.doc_id: r.text for r in ld.drop_repeated_lines(docs, run, long_line, words).collect()}
+        assert got == brute(rows, run, long_line, words) | {80: None}
+
+
+def test_a_passage_of_fifty_words_in_two_lines(spark):
+    a, b = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(25))
+    rows = [(1, f"x\n{a}\n{b}\ny"), (2, f"p\n{a}\n\n {b}\nq"), (3, f"{a}\nother\n{b}")]
+    got = {r.doc_id: r.text for r in ld.drop_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: rows[0][1], 2: "p\n\nq", 3: rows[2][1]}
 
 
 def test_against_sql(spark):
