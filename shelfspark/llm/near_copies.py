@@ -186,9 +186,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = connected_components(_forest(parts).union(more)) if not more.isEmpty() else parts
 
     first = rows.groupBy("key").agg(F.min("id").alias("first"))
-    label = first.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label"))
-    component = label.groupBy("label").agg(F.min("first").alias("component_id"))
-    return rows.join(label.join(component, "label").select("key", "component_id"), "key").select(F.col("id").alias(id_col), "component_id")
+    label = scratch(first.join(parts, F.col("key") == F.col("node"), "left").select("key", "first", F.coalesce("component", "key").alias("label")))
+    component = scratch(label.groupBy("label").agg(F.min("first").alias("component_id")))
+    classes = scratch(label.join(component, "label").select("key", "component_id"))
+    return rows.join(classes, "key").select(F.col("id").alias(id_col), "component_id")
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,21 +61,35 @@ def fingerprints(docs: DataFrame, text_col: str = "text", width: int = 4) -> Dat
 
 
 class _Forest:
-    """Components of the members of one group, as one label for each."""
+    """Components of the members of one group, by union and find."""
 
     def __init__(self, fps: np.ndarray):
-        self.fps, self.label, self.links = fps, np.arange(len(fps)), []
+        self.fps, self.parent, self.links = fps, np.arange(len(fps)), []
+
+    def roots(self, at: np.ndarray) -> np.ndarray:
+        up = self.parent[at]
+        while (over := self.parent[up] != up).any():
+            up = np.where(over, self.parent[up], up)
+        self.parent[at] = up
+        return up
+
+    def root(self, i: int) -> int:
+        parent = self.parent
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = int(parent[i])
+        return i
 
     def link(self, i: int, j: int) -> None:
-        a, b = self.label[i], self.label[j]
+        a, b = self.root(i), self.root(j)
         if a != b:
-            self.label[self.label == max(a, b)] = min(a, b)
+            self.parent[max(a, b)] = min(a, b)
             self.links.append((int(self.fps[i]), int(self.fps[j])))
 
     def close(self, ai: np.ndarray, bi: np.ndarray, bits: int) -> None:
         """Compares two small sets of leaves."""
         near = np.bitwise_count(self.fps[ai][:, None] ^ self.fps[bi][None, :]) <= bits
-        near &= self.label[ai][:, None] != self.label[bi][None, :]
+        near &= self.roots(ai)[:, None] != self.roots(bi)[None, :]
         for x, y in zip(*np.nonzero(near), strict=True):
             self.link(int(ai[x]), int(bi[y]))
 
@@ -86,7 +100,6 @@ def trie_join(fps: np.ndarray, bits: int, sides: tuple[np.ndarray, np.ndarray] |
     sides: None, or the members of two nodes, of which only pairs across count.
     """
     forest = _Forest(fps)
-    label = forest.label
 
     def depth(node: np.ndarray) -> int:
         return 64 - int(fps[node[0]] ^ fps[node[-1]]).bit_length()
@@ -109,7 +122,7 @@ def trie_join(fps: np.ndarray, bits: int, sides: tuple[np.ndarray, np.ndarray] |
         shared = min(da, db)
         if shared and (int(fps[a[0]] ^ fps[b[0]]) >> (64 - shared)).bit_count() > bits:
             continue
-        la, lb = label[a], label[b]
+        la, lb = forest.roots(a), forest.roots(b)
         if la[0] == lb[0] and (la == la[0]).all() and (lb == lb[0]).all():
             continue
         if len(a) * len(b) <= LEAVES * LEAVES:
@@ -238,9 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fp = scratch(fingerprints(docs.select(F.col(id_col), F.col(text_col)), text_col, width))
     first = fp.groupBy("fp").agg(F.min(id_col).alias("first"))
     parts = connected_components(links(fp.select("fp").distinct(), bits, group_cap))
-    named = first.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("label"))
-    least = named.groupBy("label").agg(F.min("first").alias("component_id"))
-    classes = named.join(least, "label").select("fp", "component_id")
+    # written: both sides of the joins on a component's label and on a fingerprint are then shuffles that Spark can split
+    named = scratch(first.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("label")))
+    least = scratch(named.groupBy("label").agg(F.min("first").alias("component_id")))
+    classes = scratch(named.join(least, "label").select("fp", "component_id"))
     return fp.join(classes, "fp").select(id_col, "fp", "component_id")
 
 

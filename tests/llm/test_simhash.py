@@ -103,4 +103,3 @@ def test_edges(spark):
     assert got == [(-1, 3), (3, 3), (3, 3)]
     clash = docs.selectExpr("*", "1 as fp", "2 as component_id", "3 as a", "4 as t")
     assert simhash.near_duplicates(clash).count() == 3
-    assert simhash.simhash_stage(spark, docs, "").columns == docs.columns
