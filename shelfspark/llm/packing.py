@@ -1,11 +1,14 @@
 """Harmonic packing of token sequences.
 
-Piece lengths come in reciprocal classes of the capacity C: class j takes floor(C / j) tokens a piece and exactly j
-pieces a bin. Documents may be cut, so a document gives whole bins first and its rest is cut greedily to class sizes
-(the largest that fits, then the next): what is left over shrinks about quadratically, a few pieces a document, and a
-full bin of class j wastes C - j * floor(C / j) < min(j, C / j) tokens. Bins of a class need nothing but the running
-number of a piece in its class. The number is found in two steps, independently in salted parts of each class and
-then by adding up the parts' counts, so no class is gathered anywhere and each class has at most one bin not full.
+Piece lengths come in reciprocal classes of the capacity C: class j holds lengths in (C / (j + 1), C / j], and exactly j
+pieces fill a bin of it. A document over C gives whole bins first. What is left of it, as any shorter document, goes whole into
+its class if its slot of floor(C / j) tokens wastes no more than the share `slack`; else it is cut once to the slot of
+the next class, and the rest goes on. Rests are short, and short classes lie close together, so most documents stay whole or
+give two pieces; padding is under `slack` in each full bin (slack 1 never cuts within a bin, slack 0 leaves next to
+no padding). Bins of a class need nothing but the running number of a piece in its class. The number is found in two steps,
+independently in salted parts of each class and then by adding up the parts' counts, so no class is gathered anywhere.
+Each class has at most one bin that is not full (fewer than 2 * sqrt(C) in all, however large the table); these are put
+together, first fit, the fullest first.
 """
 
 from __future__ import annotations
@@ -25,6 +28,8 @@ from shelfspark.llm._common import partitions, prepare, scratch, table
 
 CAPACITY = 4096
 END_ID = 2
+#: Most of a slot that a piece may leave empty.
+SLACK = 1 / 16
 #: Most cached strings in a worker; the cache starts anew beyond.
 CACHE = 800_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -115,14 +120,17 @@ def worker_tokenizer(path: str) -> ChunkTokenizer:
     return _tokenizers[path]
 
 
-def cut(n: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
+def cut(n: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int]]:
     """(class j, length) of the pieces of a document of n tokens, in order."""
     out = [(1, capacity)] * (n // capacity)
     n %= capacity
     while n:
-        j = -(-capacity // n)
-        size = capacity // j
-        # floor(C / j) has a largest j for each size: more pieces of the size fit
+        j = capacity // n
+        slot = capacity // j
+        if slot - n <= slack * slot:
+            out.append((j, n))
+            break
+        size = capacity // (j + 1)
         out.append((capacity // size, size))
         n -= size
     return out
@@ -160,7 +168,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
 
 def place(cut_pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACITY, salts: int | None = None) -> DataFrame:
     """Adds sequence_id and offset to pieces (which must not change when read twice: a written table)."""
-    salts = salts or max(64, partitions(cut_pieces.sparkSession))
+    spark = cut_pieces.sparkSession
+    salts = salts or max(64, partitions(spark))
     salted = cut_pieces.withColumn("_salt", F.pmod(F.xxhash64(id_col, "start", "ids_crc32"), F.lit(salts)))
     counts = salted.groupBy("class", "_salt").agg(F.count("*").alias("_n"))  # at most classes x salts rows
     before = Window.partitionBy("class").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
@@ -168,13 +177,30 @@ def place(cut_pieces: DataFrame, id_col: str = "doc_id", capacity: int = CAPACIT
     rank = Window.partitionBy("class", "_salt").orderBy(id_col, "start", "ids_crc32")
     numbered = salted.withColumn("_rank", F.row_number().over(rank) - 1).join(F.broadcast(offsets), ["class", "_salt"])
     number = F.col("_rank") + F.col("_before")
-    size = F.floor(F.lit(capacity) / F.col("class"))
-    return numbered.withColumns(
-        {
-            "sequence_id": F.floor(number / F.col("class")) * (capacity + 1) + F.col("class"),
-            "offset": (number % F.col("class")) * size,
-        }
-    ).drop("_salt", "_rank", "_before")
+    placed = numbered.withColumn("_number", number).withColumn("sequence_id", F.floor(number / F.col("class")) * (capacity + 1) + F.col("class"))
+    inside = Window.partitionBy("sequence_id").orderBy("_number").rowsBetween(Window.unboundedPreceding, -1)  # a bin: as many rows as its class says
+    placed = scratch(placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0))).drop("_salt", "_rank", "_before", "_number"))
+    # at most one bin a class: a few rows
+    sizes = {r["class"]: r["n"] for r in counts.groupBy("class").agg(F.sum("_n").alias("n")).collect()}
+    last = [(n // j) * (capacity + 1) + j for j, n in sizes.items() if n % j]
+    if not last:
+        return placed
+    filled = placed.where(F.col("sequence_id").isin(last)).groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
+    moved = spark.createDataFrame(first_fit([(r["sequence_id"], r["n"]) for r in filled], capacity), "sequence_id long, _to long, _base long")
+    joined = placed.join(F.broadcast(moved), "sequence_id", "left")
+    return joined.withColumns({"sequence_id": F.coalesce("_to", "sequence_id"), "offset": F.col("offset") + F.coalesce("_base", F.lit(0))}).select(*placed.columns)
+
+
+def first_fit(bins: list[tuple[int, int]], capacity: int) -> list[tuple[int, int, int]]:
+    """(bin, tokens) -> (bin, bin that takes its pieces, tokens before them), the fullest first."""
+    out, hosts = [], []
+    for name, n in sorted(bins, key=lambda b: (-b[1], b[0])):
+        host = next((h for h in hosts if h[1] + n <= capacity), None)
+        if host is None:
+            hosts.append(host := [name, 0])
+        out.append((name, host[0], host[1]))
+        host[1] += n
+    return out
 
 
 def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
