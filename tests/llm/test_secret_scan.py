@@ -7,7 +7,9 @@ from shelfspark.llm import secret_scan as ss
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 SF = "/root/testdata/sf0.01"
-COLS = ["doc_id", "n_assign", "n_access", "n_hex", "n_owned", "base_sha256", "spans", "n_live", "n_copied"]
+COLS = ["doc_id", "n_assign", "n_access", "n_hex", "n_owned", "base_sha256", "spans", "n_live", "n_copied", "most_owners", "most_repos"]
+#: The patterns of the definition, told apart from the module's.
+PATTERNS = [(r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 1, 12), (r"AKIA[A-Z0-9]+", 0, 18), (r"[0-9a-f]+", 0, 16), (r"[A-Za-z0-9+/_-]+", 0, 20)]
 LONG = "Ab3Cd4Ef5Gh6Ij7Kl8Mn9"
 
 
@@ -15,7 +17,7 @@ def brute(rows):
     cand = []
     for i, (_, t, _, owner, _) in enumerate(rows):
         mine = []
-        for k, (_, p, g, least, _) in enumerate(ss.KINDS):
+        for k, (p, g, least) in enumerate(PATTERNS):
             for m in re.finditer(p, t or "", re.A):
                 v = m[g]
                 if len(v) < least or k == 3 and not (re.search("[0-9]", v) and re.search("[A-Za-z]", v)):
@@ -24,17 +26,19 @@ def brute(rows):
                     continue
                 mine.append((m.start(), k, m.end(), v))
         cand.append((owner or "", sorted(mine)))
-    owners = {}
-    for o, mine in cand:
+    owners, repos = {}, {}
+    for i, (o, mine) in enumerate(cand):
         for *_, v in mine:
             owners.setdefault(v, set()).add(o)
+            repos.setdefault(v, set()).add(i)
+    live_ = {v: len(owners[v]) < 3 and len(repos[v]) < 50 for v in owners}
     out = []
     for (_, mine), r in zip(cand, rows, strict=True):
-        shown = [(s, k, e, len(owners[v]) < 3) for s, k, e, v in mine if k < 3 or len(owners[v]) < 3]
-        text = lambda some: ",".join(f"{ss.KINDS[k][0]}:{s}:{e}" for s, k, e, _ in some)
-        n = [sum(k == x for _, k, _, _ in shown) for x in range(4)]
+        shown = [(s, k, e, live_[v], v) for s, k, e, v in mine if k < 3 or live_[v]]
+        text = lambda some: ",".join(f"{ss.KINDS[k][0]}:{s}:{e}" for s, k, e, *_ in some)
+        n = [sum(k == x for _, k, *_ in shown) for x in range(4)]
         live = sum(x[3] for x in shown)
-        out.append((r[0], *n, hashlib.sha256(text([x for x in shown if x[1] < 3]).encode()).hexdigest(), text(shown), live, len(shown) - live))
+        out.append((r[0], *n, hashlib.sha256(text([x for x in shown if x[1] < 3]).encode()).hexdigest(), text(shown), live, len(shown) - live, *(max((len(c[x[4]]) for x in shown), default=0) for c in (owners, repos))))
     return out
 
 
@@ -49,6 +53,7 @@ def test_against_brute_force(spark, tmp_path):
         "token = token = abcdefghijklmnopq", "deadbeefdeadbee deadbeefdeadbeef", "password=" + "a1" * 20000, "hex " + "0123456789abcdef0 " * 300,
     ]
     rows = [(i, t, "en", None if i % 4 == 3 else f"s{i % 3}", None) for i, t in enumerate(texts)]
+    rows += [(100 + i, f"copy {LONG}Q7 {i}", "en", "one owner", None) for i in range(55)]  # one owner, many repositories
     rows += [(None, texts[2], None, "s9", None), (4, texts[4], None, "s8", None)]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as row", "2 as found", "3 as owner", "4 as t")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
@@ -62,5 +67,15 @@ def test_against_sql(spark):
     assert got == order(con.execute(f"select {', '.join(COLS)} from ({ss.OP3_SQL})").fetchall())
 
 
-def test_empty(spark):
+def test_a_text_of_many_matches(spark):
+    many = " ".join(f"{i:08x}{i * 7 % 99991:012x} Key{i:05d}{'Zz9' * 6}" for i in range(50_000))
+    docs = spark.createDataFrame([(1, many, "en", "s", 1)], DOCS)
+    (r,) = ss.scan(docs).collect()
+    assert [sum(s["kind"] == k for s in r.found) for k in range(4)] == [0, 0, 50_000, 50_000]
+    assert [(s["start"], s["end"]) for s in r.found[:3] + r.found[-3:]] == [(m.start(), m.end()) for m in [*re.finditer(r"\S+", many)][:3] + [*re.finditer(r"\S+", many)][-3:]]
+
+
+def test_empty(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    assert ss.op3_secret_scan(spark, str(tmp_path)).count() == 0
     assert ss.scan(spark.createDataFrame([], DOCS)).count() == 0
