@@ -1,12 +1,19 @@
 """Exact top-k search by inner product with a pivot table.
 
-Vectors become whole numbers, floor(scale * x); those with a component beyond FAST are scored by search_large. For any pivot p the distance of a query and a candidate is at least
-|d(q, p) - d(c, p)|; the largest such value over many pivots, with the two norms, gives the highest score that the
-candidate can have: (|q|^2 + |c|^2 - bound^2) / 2 (without pivots the bound is 0). In each block of candidates, every query evaluates them in the order
-of these bounds and stops when the next bound is below its k-th score so far.
+Vectors become whole numbers, floor(scale * x). For any pivot p the distance of a query and a candidate is at least
+|d(q, p) - d(c, p)|; the largest such value over many pivots, with the two norms, bounds the score that the candidate can
+have: (|q|^2 + |c|^2 - bound^2) / 2 (without pivots the bound is 0).
 
-Pivots are picked far from each other in a bounded sample (PIVOT_SAMPLE rows). Queries are a stated set; they go out in
-broadcast blocks of QUERY_BLOCK rows, each of which passes over all candidates.
+Candidates are dealt to tiles, and each tile is a task that gets all queries as a stream. A tile sorts its candidates by
+their nearest pivot into blocks of BLOCK neighbours; the table has each block's least and greatest distance to every
+pivot. A query takes its blocks in the order of their bounds: its best ones first, which set its k-th score, then the
+others as long as their bound is not below that score, which rises from block to block through the whole tile.
+
+Blocks are matrix products of doubles. Those are exact: whole numbers whose norms are under 2^26 have products and partial
+sums under 2^53. Vectors with larger norms are scored with Python's integers (search_large).
+
+Pivots are picked far from each other in a bounded sample (PIVOT_SAMPLE rows). Queries are a stated set; each goes to every
+tile, so for N rows of which a share are queries the shuffle is N / tile rows times that share of the table.
 """
 
 from __future__ import annotations
@@ -16,14 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfspark.llm._common import prepare, scratch, table
+from shelfspark.llm._common import observed, partitions, prepare, scratch, table
 
 PIVOTS = 32
 PIVOT_SAMPLE = 2048
-QUERY_BLOCK = 4096
-STEP = 64
-#: Largest component, once scaled, of the vectors that are scored in int64.
-FAST = 1 << 24
+#: Components of the candidates of a tile, and the fewest rows that are worth a tile of their own.
+TILE, LEAST_TILE = 1 << 23, 4096
+BLOCK = 64
+#: Queries that pass over a tile together.
+QUERIES = 256
+#: Blocks that every query evaluates first.
+FIRST = 4
+#: Squared norm, once scaled, below which products are exact in doubles.
+FAST = float(1 << 52)
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 256.0) -> DataFrame:
@@ -39,8 +51,9 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str, scale: float = 256.0)
 
 
 def _fast(m: np.ndarray) -> np.ndarray:
-    """Rows whose products cannot overflow a long."""
-    return (np.abs(m) <= FAST).all(1)
+    """Rows whose products are exact in doubles."""
+    with np.errstate(over="ignore"):
+        return (m**2).sum(1) < FAST
 
 
 def search_large(q: np.ndarray, q_ids: np.ndarray, c: np.ndarray, c_ids: np.ndarray, k: int) -> tuple[list[int], list[int], list[int]]:
@@ -75,38 +88,61 @@ def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
 
 
 def distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T), 0).astype(np.float64))
-
-
-def search_block(q: np.ndarray, q_ids: np.ndarray, q_dist: np.ndarray, c: np.ndarray, c_ids: np.ndarray, pivots: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """(query row, candidate row, score) of each query's k best in a block, ties to the smaller id; and evaluations."""
-    c_dist = distances(c, pivots)
-    bound = np.zeros((len(q), len(c)))
-    for p in range(len(pivots)):
-        np.maximum(bound, np.abs(q_dist[:, p, None] - c_dist[None, :, p]), out=bound)
-    upper = ((q**2).sum(1)[:, None] + (c**2).sum(1)[None, :] - bound**2) / 2
-    upper += 1e-9 * np.abs(upper) + 1e-6  # the bounds are rounded
-    upper[q_ids[:, None] == c_ids[None, :]] = -np.inf  # a query's own row
-    order = np.argsort(-upper, axis=1)
-    best = [np.zeros((0, 2), np.int64)] * len(q)
-    active, evaluated = np.arange(len(q)), 0
-    for at in range(0, len(c), STEP):
-        cand = order[active, at : at + STEP]
-        scores = np.einsum("qmd,qd->qm", c[cand], q[active])
-        evaluated += cand.size
-        stay = []
-        for j, i in enumerate(active.tolist()):
-            fine = upper[i, cand[j]] > -np.inf
-            pool = np.concatenate([best[i], np.stack([scores[j][fine], cand[j][fine]], 1)])
-            best[i] = pool = pool[np.lexsort((c_ids[pool[:, 1]], -pool[:, 0]))[:k]]
-            if at + STEP < len(c) and (len(pool) < k or upper[i, order[i, at + STEP]] >= pool[-1, 0]):
-                stay.append(i)
-        active = np.array(stay, np.int64)
-        if not len(active):
-            break
-    rows = np.repeat(np.arange(len(q)), [len(b) for b in best])
-    found = np.concatenate(best) if best else np.zeros((0, 2), np.int64)
-    return rows, found[:, 1], found[:, 0], evaluated
+    return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None, :] - 2 * (x @ pivots.T), 0))
+
+
+class Tile:
+    """The candidates of one tile, of one dimension, with their pivot table. evaluated counts scored pairs."""
+
+    def __init__(self, c: np.ndarray, ids: np.ndarray, pivots: np.ndarray):
+        far, self.pivots, self.evaluated = distances(c, pivots), pivots, 0
+        near = far.argmin(1) if len(pivots) else np.zeros(len(c), np.int64)
+        order = np.lexsort((far[np.arange(len(c)), near], near)) if len(pivots) else np.argsort((c**2).sum(1), kind="stable")
+        self.c, self.ids, far = c[order], ids[order], far[order]
+        self.starts = np.arange(0, len(c), BLOCK)
+        self.low, self.high = np.minimum.reduceat(far, self.starts), np.maximum.reduceat(far, self.starts)
+        self.norm = np.maximum.reduceat((self.c**2).sum(1), self.starts)
+
+    def bounds(self, q: np.ndarray) -> np.ndarray:
+        """The highest score that each query can have in each block."""
+        far = distances(q, self.pivots)
+        least = np.zeros((len(q), len(self.starts)))
+        for p in range(far.shape[1]):
+            np.maximum(least, self.low[None, :, p] - far[:, p, None], out=least)
+            np.maximum(least, far[:, p, None] - self.high[None, :, p], out=least)
+        terms = (q**2).sum(1)[:, None] + self.norm[None, :]
+        return (terms - least**2) / 2 + 1e-9 * terms + 1  # distances are rounded: relative to the terms, not to what is left
+
+    def search(self, q: np.ndarray, q_ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Scores and ids of each query's k best, ties to the smaller id; -inf where there are fewer."""
+        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), np.iinfo(np.int64).max)
+        upper = self.bounds(q)
+        done = np.zeros(upper.shape, bool)
+
+        def evaluate(block: int, some: np.ndarray) -> None:
+            part = slice(self.starts[block], self.starts[block] + BLOCK)
+            scores = q[some] @ self.c[part].T
+            scores[q_ids[some][:, None] == self.ids[part][None, :]] = -np.inf
+            self.evaluated += scores.size
+            done[some, block] = True
+            better = np.flatnonzero((scores >= best[some, -1:]).any(1) & (scores.max(1) > -np.inf))
+            if len(better):
+                rows = some[better]
+                values = np.concatenate([best[rows], scores[better]], 1)
+                names = np.concatenate([who[rows], np.broadcast_to(self.ids[part], (len(rows), scores.shape[1]))], 1)
+                names = np.where(values > -np.inf, names, np.iinfo(np.int64).max)
+                at = np.lexsort((names, -values), axis=1)[:, :k]
+                best[rows], who[rows] = np.take_along_axis(values, at, 1), np.take_along_axis(names, at, 1)
+
+        first = np.argsort(-upper, axis=1)[:, :FIRST]
+        for r in range(first.shape[1]):
+            for block in np.unique(first[:, r]).tolist():
+                evaluate(block, np.flatnonzero(first[:, r] == block))
+        for block in np.argsort(-upper.max(0)).tolist():
+            some = np.flatnonzero((upper[:, block] >= best[:, -1]) & ~done[:, block])
+            if len(some):
+                evaluate(block, some)
+        return best, who
 
 
 def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
@@ -123,50 +159,73 @@ def _matrix(column: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, id_col: str = "vec_id", vec_col: str = "embedding", pivots: int = PIVOTS) -> DataFrame:
     """query_id, rank, vec_id, score: the k highest inner products of each query with rows of other ids.
 
-    Only vectors of the query's length are compared. Of rows that repeat an id each counts; a query id that repeats is
+    Only vectors of the query's length are compared; an empty vector scores 0 with the others. Of rows that repeat an id each counts; a query id that repeats is
     asked once for each row, and the best k of all its rows are returned.
     """
-    spark = vectors.sparkSession
-    rows = scratch(usable(vectors, id_col, vec_col))
-    asked = usable(queries, id_col, vec_col)
+    rows = scratch(usable(vectors, id_col, vec_col), n=F.count(F.lit(1)), size=F.sum(F.size("v")))
+    n, size = observed(rows)["n"], observed(rows)["size"] or 0
+    tiles = max(1, -(-size // TILE), min(n // LEAST_TILE, partitions(vectors.sparkSession)))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(PIVOT_SAMPLE).toArrow()
-    tables = {d: pick_pivots(m[_fast(m)].astype(np.int64), pivots) for d, (_, m) in _matrix(sample.column("v").combine_chunks()).items()} if sample.num_rows else {}
-    marked = scratch(asked.withColumn("n", F.monotonically_increasing_id()))
-    found = None
-    for part in range(-(-marked.count() // QUERY_BLOCK)):
-        # blocks by hash, so that each has about QUERY_BLOCK rows wherever they come from
-        block = marked.where(F.pmod(F.xxhash64("n"), F.lit(-(-marked.count() // QUERY_BLOCK))) == part).toArrow()
-        if not block.num_rows:
-            continue
-        ids = block.column("id").to_numpy()
-        by_dim = {}
-        for d, (at, m) in _matrix(block.column("v").combine_chunks()).items():
-            p = tables.get(d, np.zeros((0, d), np.int64))  # without pivots the norms alone bound the scores
-            few = _fast(m)
-            fast = m[few].astype(np.int64)
-            by_dim[d] = (fast, ids[at][few], distances(fast, p), p, m[few], m[~few], ids[at][~few])
-        held = spark.sparkContext.broadcast(by_dim)
-
-        def search(batches, held=held):
-            for b in batches:
-                c_ids = b.column(0).to_numpy()
-                for d, (at, m) in _matrix(b.column(1)).items():
-                    if d in held.value:
-                        q, q_ids, q_dist, p, q_real, large, large_ids = held.value[d]
-                        few, near = _fast(m), c_ids[at]
-                        for found in (search_large(large, large_ids, m, near, k), search_large(q_real, q_ids, m[~few], near[~few], k) if not few.all() else ([], [], [])):
-                            if found[0]:
-                                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["query_id", "vec_id", "score"])
-                        m, near = m[few].astype(np.int64), near[few]
-                        for lo in range(0, len(q), 512):
-                            hi = lo + 512
-                            row, cand, score, n = search_block(q[lo:hi], q_ids[lo:hi], q_dist[lo:hi], m, near, p, k)
-                            yield pa.RecordBatch.from_arrays([pa.array(q_ids[lo:hi][row]), pa.array(near[cand]), pa.array(score)], ["query_id", "vec_id", "score"])
-
-        here = rows.mapInArrow(search, "query_id long, vec_id long, score long")
-        found = here if found is None else found.union(here)
-    if found is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    tables = {d: pick_pivots(m[_fast(m)], pivots) for d, (_, m) in _matrix(sample.column("v").combine_chunks()).items()} if sample.num_rows else {}
+
+    def search(batches):
+        tile, held, made, asked, waiting = None, [], None, [], 0
+
+        def build():
+            out = {}
+            if held:
+                ids = np.concatenate([b.column(2).to_numpy() for b in held])
+                for d, (at, m) in _matrix(pa.chunked_array([b.column(3) for b in held]).combine_chunks()).items():
+                    few = _fast(m)
+                    fast = Tile(m[few], ids[at][few], tables.get(d, np.zeros((0, d)))) if few.any() else None
+                    out[d] = fast, m, ids[at], few
+            return out
+
+        def answer():
+            ids = np.concatenate([b.column(2).to_numpy() for b in asked])
+            for d, (at, q) in _matrix(pa.chunked_array([b.column(3) for b in asked]).combine_chunks()).items():
+                if d not in made:
+                    continue
+                fast, m, c_ids, few = made[d]
+                q_ids, mine = ids[at], _fast(q)
+                found = [search_large(q[~mine], q_ids[~mine], m, c_ids, k)] if not mine.all() else []
+                if not few.all():
+                    found.append(search_large(q[mine], q_ids[mine], m[~few], c_ids[~few], k))
+                if fast is not None and mine.any():
+                    best, who = fast.search(q[mine], q_ids[mine], k)
+                    real = best > -np.inf
+                    found.append((np.repeat(q_ids[mine], real.sum(1)), who[real], best[real].astype(np.int64)))
+                for part in found:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in part], ["query_id", "vec_id", "score"])
+
+        for whole in batches:
+            keys = whole.column(0).to_numpy() * 2 + whole.column(1).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                b, key = whole.slice(lo, hi - lo), int(keys[lo])
+                if key // 2 != tile or key % 2 == 0 and made is not None:
+                    if asked:
+                        yield from answer()
+                    tile, held, made, asked, waiting = key // 2, [], None, [], 0
+                if key % 2 == 0:
+                    held.append(b)
+                    continue
+                if made is None:
+                    made, held = build(), []
+                asked.append(b)
+                waiting += b.num_rows
+                if waiting >= QUERIES:
+                    yield from answer()
+                    asked, waiting = [], 0
+        if asked:
+            yield from answer()
+
+    own = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(tiles)).cast("int").alias("tile"), F.lit(0).alias("side"), "id", "v")
+    every = usable(queries, id_col, vec_col).select(F.explode(F.sequence(F.lit(0), F.lit(tiles - 1))).alias("tile"), F.lit(1).alias("side"), "id", "v")
+    dealt = own.union(every).repartition(tiles, "tile").sortWithinPartitions("tile", "side")
+    found = dealt.mapInArrow(search, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

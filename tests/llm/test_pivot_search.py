@@ -6,26 +6,38 @@ from shelfspark.llm import pivot_search as ps
 SF = "/root/testdata/sf0.01"
 
 
-def test_block_prunes_and_is_exact():
-    rng = np.random.default_rng(0)
-    centres = rng.integers(-900, 900, (20, 8))
-    c = centres[rng.integers(0, 20, 3000)] + rng.integers(-5, 5, (3000, 8))
-    ids = rng.permutation(3000)
+def evaluated(c, k=5):
+    ids = np.random.default_rng(1).permutation(len(c))
     q, q_ids = c[:40], ids[:40]
-    pivots = ps.pick_pivots(c[:500], 16)
-    row, cand, score, evaluated = ps.search_block(q, q_ids, ps.distances(q, pivots), c, ids, pivots, 5)
+    tile = ps.Tile(c, ids, ps.pick_pivots(c[:500], 16))
+    best, who = tile.search(q, q_ids, k)
     for i in range(40):
-        all_ = sorted((-int(s), int(x)) for s, x in zip(c @ q[i], ids, strict=True) if x != q_ids[i])[:5]
-        assert all_ == [(-int(s), int(ids[x])) for r, x, s in zip(row, cand, score, strict=True) if r == i]
-    assert evaluated < 0.5 * 40 * 3000
+        want = sorted((-int(s), int(x)) for s, x in zip(c @ q[i], ids, strict=True) if x != q_ids[i])[:k]
+        assert want == [(-int(s), int(x)) for s, x in zip(best[i], who[i], strict=True)]
+    return tile.evaluated / (40 * len(c))
+
+
+def test_tile_prunes_and_is_exact():
+    rng = np.random.default_rng(0)
+    centres = rng.integers(-900, 900, (60, 8)).astype(float)
+    clustered = centres[rng.integers(0, 60, 6000)] + rng.integers(-5, 5, (6000, 8))
+    assert evaluated(clustered) < 0.25
+    assert evaluated(rng.integers(-90, 90, (6000, 64)).astype(float)) <= 1
+
+
+def test_bounds_hold_where_terms_cancel():
+    rng = np.random.default_rng(4)
+    c = 3e7 + rng.integers(-3, 3, (300, 1)).astype(float)  # large terms, small differences
+    evaluated(np.concatenate([c, np.full((300, 1), 5.0)], 1))
 
 
 def test_against_sql(spark, monkeypatch):
     con = duckdb.connect()
     con.execute(f"create view embeddings as select * from '{SF}/embeddings.parquet'")
     want = sorted(con.execute(f"select query_id, rank, vec_id, score from ({ps.OP6_SQL})").fetchall())
-    for block in (4096, 4):
-        monkeypatch.setattr(ps, "QUERY_BLOCK", block)
+    for least, queries in ((4096, 256), (50, 3)):
+        monkeypatch.setattr(ps, "LEAST_TILE", least)
+        monkeypatch.setattr(ps, "QUERIES", queries)
         assert sorted(map(tuple, ps.op6_topk(spark, SF).collect())) == want
 
 
