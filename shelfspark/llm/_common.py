@@ -26,9 +26,14 @@ def prepare(spark: SparkSession) -> None:
     """Session settings the operators want: small Arrow batches (texts can be very long) and importable workers."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
+    workers = spark.sparkContext.environment
+    paths = workers.get("PYTHONPATH", "").split(":")
     if root not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = ":".join([root, *[p for p in paths if p]])
+        workers["PYTHONPATH"] = ":".join([root, *[p for p in paths if p]])
+    # workers last from task to task: what they free goes back to the system
+    workers.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
+    workers.setdefault("MALLOC_ARENA_MAX", "2")
+    workers.setdefault("MALLOC_TRIM_THRESHOLD_", "1000000")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -31,7 +31,7 @@ END_ID = 2
 #: Most of a slot that a piece may leave empty.
 SLACK = 1 / 16
 #: Most cached strings in a worker; the cache starts anew beyond.
-CACHE = 800_000
+CACHE = 250_000
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Printable ASCII and the precomposed Latin letters, whose lower case and normal form are the same everywhere.
 LATIN = re.compile("[!-~À-įı-ſ]*")
