@@ -45,10 +45,15 @@ def size_band(items: DataFrame, variants: DataFrame, band: float = BAND, **extra
 
 
 def tier2(items: DataFrame, variants: DataFrame, most: int = 50, mode: str = "levenshtein") -> DataFrame:
-    """E-2: the best of the `most` variants nearest in size, by name and size. Distinct titles are paired and scored."""
+    """E-2: the best of the `most` variants nearest in size, by name and size. Distinct titles are paired and scored.
+
+    Nearness is (difference, id), so of one size only the `most` smallest ids can be among the nearest: variants are cut to
+    those before the join, which then grows with the sizes in the band and not with the catalog.
+    """
     titled = items.select("item_id", "size_ml", clean_title(F.col("title"), F.col("brand_name")).alias("clean"))
     kinds = titled.select("clean", "size_ml").distinct()
-    near = size_band(kinds, variants).withColumn("diff", F.abs(F.col("cand_size") - F.col("size_ml")))
+    possible = first_by(variants.where("size_ml > 0"), ["size_ml"], ["product_id"], most).drop("rank")
+    near = size_band(kinds, possible).withColumn("diff", F.abs(F.col("cand_size") - F.col("size_ml")))
     few = first_by(near, ["clean", "size_ml"], ["diff", "cand_id"], most).drop("rank")
     pairs = few.select("clean", "cand_name").distinct().withColumn("name_score", name_score(F.col("clean"), F.col("cand_name"), mode))
     scored = few.join(pairs, ["clean", "cand_name"]).withColumn("score", combined_score(F.col("name_score"), size_score(F.col("size_ml"), F.col("cand_size"))))

@@ -143,11 +143,17 @@ def global_sitemap(pages: DataFrame, locale: str | None = None, limit: int = 50_
     return sitemap_columns(rows.orderBy(F.desc_nulls_last("first_indexed_at"), "url").limit(limit))
 
 
-def retailers_like(retailers: DataFrame, wanted: DataFrame) -> DataFrame:
-    """I-2: retailers whose name holds a part, case ignored. Only a schedule's few parts are joined, after a size check."""
-    if wanted.count() > 10_000:
-        raise ValueError("too many names for a substring search")
-    return retailers.join(F.broadcast(wanted), F.contains(F.lower("s_name"), F.lower("part"))).select("slug", F.col("s_suppkey").alias("retailer_id"))
+def retailers_like(retailers: DataFrame, wanted: DataFrame, n: int = 3) -> DataFrame:
+    """I-2: retailers whose name holds a part, case ignored. Names are joined by their substrings of up to n characters, a part by
+    its first n (an empty part is in every name), and then compared whole."""
+    name, part = F.lower("s_name"), F.lower("part")
+
+    def substrings(k):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - k + 1, F.lit(1))), lambda i: F.substring(name, i, F.lit(k)))
+
+    grams = [substrings(k) for k in range(1, n + 1)]
+    named = retailers.withColumn("_g", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), *grams))))
+    return named.join(wanted.withColumn("_g", F.left(part, F.lit(n))), "_g").where(F.contains(name, part)).select("slug", F.col("s_suppkey").alias("retailer_id"))
 
 
 def compare(pairs: DataFrame, products: DataFrame, lowest: DataFrame) -> DataFrame:

@@ -89,8 +89,13 @@ def s5(s, d):
 
 @query("S-6", "SELECT seen_at::DATE AS seen_date, count(*) AS n, round(sum(price), 2) AS total FROM offers GROUP BY 1", "offers")
 def s6(s, d):
-    """What the append-only sink writes, by its partition."""
-    return A.offers(s, d).withColumn("seen_date", F.to_date("seen_at")).groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+    """Appends the offers in two runs and reads the ledger back, by its partition."""
+    from shelfspark.streaming.ingest import new_folder
+
+    ledger, offers = new_folder(s), A.offers(s, d)
+    for half in (0, 1):
+        feeds.append_offers(offers.where(F.col("l_orderkey") % 2 == half), ledger)
+    return s.read.parquet(ledger).groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
 @query("S-7", "SELECT p_brand AS brand, count(*) AS products FROM part GROUP BY 1 UNION ALL SELECT inci_name, 0 FROM ing WHERE inci_name NOT IN (SELECT p_brand FROM part)", "ing")
@@ -142,9 +147,9 @@ def f1(s, d):
     return A.feed_items(s, d).select("item_id", "raw_size", X.volume_ml(F.col("raw_size")).alias("ml"))
 
 
-@query("F-2", f"SELECT page_id, {slug_a('url')} AS slug, {slug_a('left(html, 300)')} AS html_slug FROM pages")
+@query("F-2", f"SELECT page_id, {slug_a('url')} AS slug, {slug_a('html')} AS html_slug FROM pages")
 def f2(s, d):
-    return A.table(s, d, "pages").select("page_id", X.slug_a(F.col("url")).alias("slug"), X.slug_a(F.left("html", F.lit(300))).alias("html_slug"))
+    return A.table(s, d, "pages").select("page_id", X.slug_a(F.col("url")).alias("slug"), X.slug_a(F.col("html")).alias("html_slug"))
 
 
 @query("F-3", f"SELECT page_id, {slug_b('url')} AS slug FROM pages")
@@ -388,10 +393,14 @@ def j4(s, d):
     return E.slug_lookup(_sized(s, d), A.products(s, d)).select("item_id", "slug_variant")
 
 
-@query("J-5", "SELECT a.product_id AS item, b.product_id AS cand FROM products a JOIN products b ON b.size_ml BETWEEN a.size_ml * 0.85 AND a.size_ml * 1.15 WHERE a.product_id % 20 = 0", "products")
+_SIZES = "(SELECT size_ml, min(product_id) AS product_id, count(*) AS n FROM products GROUP BY 1)"
+
+
+@query("J-5", f"SELECT a.size_ml, a.n AS items, b.size_ml AS cand_size, b.product_id AS cand, b.n AS cands FROM {_SIZES} a JOIN {_SIZES} b ON b.size_ml BETWEEN a.size_ml * 0.85 AND a.size_ml * 1.15", "products")
 def j5(s, d):
-    p = A.products(s, d)
-    return E.size_band(p.where("product_id % 20 = 0").select(F.col("product_id").alias("item"), "size_ml"), p).select("item", F.col("cand_id").alias("cand"))
+    """Every item and candidate, by distinct size: a product belongs to the class of its size, and the classes are joined."""
+    sizes = A.products(s, d).groupBy("size_ml").agg(F.min("product_id").alias("product_id"), F.count("*").alias("n")).withColumn("name", F.lit(None).cast("string"))
+    return E.size_band(sizes.select("size_ml", F.col("n").alias("items")), sizes, cands="n").select("size_ml", "items", "cand_size", F.col("cand_id").alias("cand"), "cands")
 
 
 @query("J-6", f"SELECT a, b, {half_up('similarity', 6)} AS similarity FROM cos WHERE similarity >= 0.3", "cos")
@@ -596,8 +605,13 @@ def w6(s, d):
 
 @query("W-7", "SELECT ingredient_id, (row_number() OVER (ORDER BY ingredient_id) - 1)::INTEGER AS dim FROM (SELECT DISTINCT ingredient_id FROM pi)", "pi")
 def w7(s, d):
-    """Only a dictionary of ingredients is numbered, never the fact table."""
-    return A.product_ingredients(s, d).select("ingredient_id").distinct().select("ingredient_id", (F.row_number().over(Window.orderBy("ingredient_id")) - 1).alias("dim"))
+    """Numbered by parts of 1024 ids: no task gets all ids, and only one row a part is added up in order."""
+    part = F.floor(F.col("ingredient_id") / 1024)
+    ids = A.product_ingredients(s, d).select("ingredient_id").distinct().withColumn("part", part)
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = ids.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("part").orderBy("ingredient_id")) - 1
+    return ids.withColumn("rank", rank).join(offsets, "part").select("ingredient_id", (F.col("rank") + F.col("before")).cast("int").alias("dim"))
 
 
 @query("W-8", "SELECT product_id, ingredient_id, max(position) AS position FROM pi GROUP BY 1, 2", "pi")
@@ -771,7 +785,9 @@ def e6(s, d):
 
 @query("E-7")
 def e7(s, d):
-    return A.products(s, d).select("product_id", S.embed()(F.col("name")).alias("v")).select("product_id", F.size("v").alias("dims"))
+    p = A.products(s, d)
+    names = p.select("name").distinct().withColumn("v", S.embed()(F.col("name")))
+    return p.select("product_id", "name").join(names, "name").select("product_id", F.size("v").alias("dims"))
 
 
 @query("E-8", f"SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN item_id % 3 = 0 THEN candidate_id END AS variant_id, CASE WHEN item_id % 3 < 2 THEN 'ann' END AS reviewed_by FROM {_RES} WHERE confidence < 0.85", "feed_ok", "products")
@@ -842,14 +858,15 @@ def r5(s, d):
     return V.manual_load(A.labels(s, d), A.ingredients(s))
 
 
-@query("ST-1")
+@query("ST-1", "SELECT item_id, outcome, CASE WHEN outcome = 'inserted' THEN variant_id END AS variant_id, size_ml FROM feed_ok", "feed_ok")
 def st1(s, d):
     from shelfspark.streaming.ingest import replay_feed
 
-    return replay_feed(s, A.feed_items(s, d), A.products(s, d))
+    out = replay_feed(s, A.feed_items(s, d), A.products(s, d))
+    return out.withColumn("variant_id", F.when(F.col("outcome") == "inserted", F.col("variant_id")))
 
 
-@query("ST-2")
+@query("ST-2", "SELECT event_id % 500 AS offer_id, ts AS clicked_at, NULL::VARCHAR AS referrer, NULL::VARCHAR AS user_agent, left(sha256(user_id::VARCHAR), 32) AS ip_hash FROM events WHERE event_type = 'click' AND event_id % 500 IN (SELECT p_partkey FROM part)")
 def st2(s, d):
     from shelfspark.streaming.ingest import replay_clicks
 

@@ -63,8 +63,9 @@ def flatten_search_rows(raw: DataFrame, date: Column) -> DataFrame:
 
 
 def append_offers(offers: DataFrame, path: str) -> None:
-    """S-6: one new row per observation, by date; nothing is ever updated."""
-    offers.withColumn("seen_date", F.to_date("seen_at")).write.mode("append").partitionBy("seen_date").parquet(path)
+    """S-6: one new row per observation, by date; nothing is ever updated. Rows are brought together by date first, so that an
+    append adds few files a date; a large date is split again."""
+    offers.withColumn("seen_date", F.to_date("seen_at")).hint("rebalance", "seen_date").write.mode("append").partitionBy("seen_date").parquet(path)
 
 
 def click_rows(clicks: DataFrame, offers: DataFrame) -> DataFrame:

@@ -1,11 +1,18 @@
 """Every query against its SQL at a small size."""
 
 import datetime
+import difflib
 import math
 
 import duckdb
 import pytest
 
+from pyspark.sql import functions as F
+
+from shelfspark.functions.scores import name_score
+from shelfspark.functions.text import clean_title
+from shelfspark.operators import resolve
+from shelfspark.operators.views import retailers_like
 from shelfspark.plans.registry import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.01"
@@ -45,3 +52,35 @@ def test_query(spark, con, name):
         want = rows(names, cur.fetchall())
         assert len(got) == len(want)
         assert got == want
+
+
+def test_difflib_scores_are_those_of_the_definition(spark):
+    for r in QUERIES["F-11_difflib"](spark, SF).collect():
+        want = difflib.SequenceMatcher(None, r.na.strip().upper(), r.nb.strip().upper()).ratio()
+        assert abs(r.score - want) < 1e-9
+
+
+def test_the_cut_by_size_loses_no_candidate(spark):
+    """E-2 over three sizes with more variants than are compared, against every variant."""
+    items = spark.createDataFrame([(i, f"brand name {i % 7}", "brand", float(s)) for i, s in enumerate([30, 31, 33] * 4)], "item_id long, title string, brand_name string, size_ml double")
+    shop = spark.createDataFrame([(i, f"name {i % 9}", "brand", float([30, 31, 33][i % 3])) for i in range(60)], "product_id long, name string, brand string, size_ml double")
+    got = {r.item_id: (r.t2_id, r.t2_score) for r in resolve.tier2(items, shop, most=4).collect()}
+    variants, want = shop.collect(), {}
+    scores = {(r.a, r.b): r.s for r in items.selectExpr("title a").distinct().crossJoin(shop.selectExpr("name b").distinct()).select("a", "b", name_score(clean_title(F.col("a"), F.lit("brand")), F.col("b")).alias("s")).collect()}
+    for i in items.collect():
+        near = sorted((abs(v.size_ml - i.size_ml), v.product_id, v) for v in variants if 0.85 * i.size_ml <= v.size_ml <= 1.15 * i.size_ml)[:4]
+        best = max(near, key=lambda n: (round(0.7 * scores[i.title, n[2].name] + 0.3 * size(i.size_ml, n[2].size_ml), 4), -n[0], -n[1]))
+        want[i.item_id] = best[1]
+    assert {k: v[0] for k, v in got.items()} == want
+
+
+def size(a, b):
+    off = abs(a - b) / b
+    return 1.0 if off == 0 else 1 - off / 0.05 * 0.2 if off <= 0.05 else 0.5 if off <= 0.15 else 0.0
+
+
+def test_retailers_by_any_part(spark):
+    shops = spark.createDataFrame([(1, "Alpha Beta"), (2, "beta"), (3, ""), (4, "B")], "s_suppkey long, s_name string")
+    parts = spark.createDataFrame([("a", "BETA"), ("b", "b"), ("c", ""), ("d", "ha be"), ("e", "zz")], "slug string, part string")
+    got = sorted((r.slug, r.retailer_id) for r in retailers_like(shops, parts).collect())
+    assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 4), *[("c", i) for i in (1, 2, 3, 4)], ("d", 1)]
