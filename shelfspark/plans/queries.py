@@ -94,7 +94,7 @@ def s6(s, d):
 
     ledger, offers = new_folder(s), A.offers(s, d)
     for half in (0, 1):
-        feeds.append_offers(offers.where(F.col("l_orderkey") % 2 == half), ledger)
+        feeds.append_offers(offers.where(F.col("l_orderkey") % 2 == half), ledger, "month")
     return s.read.parquet(ledger).groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 

@@ -62,10 +62,12 @@ def flatten_search_rows(raw: DataFrame, date: Column) -> DataFrame:
     )
 
 
-def append_offers(offers: DataFrame, path: str) -> None:
-    """S-6: one new row per observation, by date; nothing is ever updated. Rows are brought together by date first, so that an
-    append adds few files a date; a large date is split again."""
-    offers.withColumn("seen_date", F.to_date("seen_at")).hint("rebalance", "seen_date").write.mode("append").partitionBy("seen_date").parquet(path)
+def append_offers(offers: DataFrame, path: str, unit: str = "day") -> None:
+    """S-6: one new row per observation, in folders by date (or by the first day of its month or year: `unit`); nothing is ever
+    updated. Rows are brought together by folder first, so that an append adds few files; a large folder is split again."""
+    name = "seen_date" if unit == "day" else f"seen_{unit}"
+    dated = offers.withColumn("seen_date", F.to_date("seen_at")).withColumn(name, F.to_date(F.date_trunc(unit, "seen_at")))
+    dated.hint("rebalance", name).write.mode("append").partitionBy(name).parquet(path)
 
 
 def click_rows(clicks: DataFrame, offers: DataFrame) -> DataFrame:
