@@ -29,7 +29,7 @@ from shelfspark.llm._common import discard, observed, partitions, prepare, scrat
 
 GRAM = 32
 #: Contexts of one gram that are sorted in one task.
-GROUP_CAP = 1000
+GROUP_CAP = 20_000
 #: Bytes of contexts in an Arrow batch.
 BATCH = 8 << 20
 CHUNK = 1 << 20
