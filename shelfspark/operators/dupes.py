@@ -31,6 +31,35 @@ def pairwise_cosine(vectors: DataFrame, block: str) -> DataFrame:
     return dots.select("a", "b", F.greatest(F.least("dot", F.lit(1.0)), F.lit(-1.0)).alias("similarity"))
 
 
+def similar_pairs(vectors: DataFrame, block: str, min_similarity: float) -> DataFrame:
+    """The rows of pairwise_cosine with at least min_similarity (above 0); vectors have length 1.
+
+    A product is looked up by its key ingredients only: the others, those that most products of the block share for what they
+    weigh, together are shorter than min_similarity, so a pair that shares none of a's key ingredients is below it. Common
+    ingredients are thus seldom join keys. A pair goes on to the exact sum only while what is not yet summed can still lift it there.
+    Labels are gathered once, behind an exchange that every use shares; a label's length bounds its arrays."""
+    slack, entry, square = 1e-9, F.struct("ingredient_id", "weight"), F.col("weight") * F.col("weight")
+    labels = vectors.groupBy(F.col(block).alias("block"), "product_id").agg(F.collect_list(entry).alias("label")).repartition("product_id")
+    rows = labels.select("block", "product_id", F.inline("label"))
+    shared_by = rows.groupBy("block", "ingredient_id").agg(F.count("*").alias("shared_by"))
+    costly = Window.partitionBy("block", "product_id").orderBy(F.desc(F.col("shared_by") / square), "ingredient_id")
+    length = F.sum(square).over(costly.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.join(shared_by, ["block", "ingredient_id"]).withColumn("key", length >= min_similarity**2 - slack)
+    split = ranked.groupBy("block", F.col("product_id").alias("a")).agg(F.collect_list(F.when(F.col("key"), entry)).alias("keys"), F.collect_list(F.when(~F.col("key"), entry)).alias("others"))
+    rest = F.aggregate("others", F.lit(0.0), lambda x, o: x + o["weight"] * o["weight"])
+    keys = split.withColumn("rest", rest).select("block", "a", "rest", F.inline("keys")).withColumnRenamed("weight", "wa")
+    right = rows.select("block", "ingredient_id", F.col("product_id").alias("b"), F.col("weight").alias("wb"))
+    wa, wb = F.col("wa"), F.col("wb")
+    met = keys.join(right, ["block", "ingredient_id"]).where("a < b").groupBy("block", "a", "b").agg(F.sum(wa * wb).alias("part"), F.sum(wb * wb).alias("used"), F.max("rest").alias("rest"))
+    most = F.col("part") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("used"), F.lit(0.0)))
+    open_ = met.where(most >= min_similarity - slack).select("block", "a", "b", "part")
+    whole = labels.select("block", F.col("product_id").alias("b"), F.map_from_entries("label").alias("whole"))
+    both = open_.join(split.select("block", "a", "others"), ["block", "a"]).join(whole, ["block", "b"])
+    added = F.aggregate("others", F.lit(0.0), lambda x, o: x + o["weight"] * F.coalesce(F.element_at(F.col("whole"), o["ingredient_id"]), F.lit(0.0)))
+    exact = both.select("a", "b", F.greatest(F.least(F.col("part") + added, F.lit(1.0)), F.lit(-1.0)).alias("similarity"))
+    return exact.where(F.col("similarity") >= min_similarity)
+
+
 def both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("product_id"), F.col("b").alias("other_id"), "similarity").union(pairs.select("b", "a", "similarity"))
 
@@ -38,7 +67,7 @@ def both_ways(pairs: DataFrame) -> DataFrame:
 def dupe_candidates(vectors: DataFrame, products: DataFrame, k: int = 20, min_similarity: float = 0.60) -> DataFrame:
     """V-3, W-4: each product's k most similar ones of its category. Filtering first changes nothing, as similarity is the sort key."""
     blocked = vectors.join(products.select("product_id", "category"), "product_id")
-    near = pairwise_cosine(blocked, "category").where(F.col("similarity") >= min_similarity)
+    near = similar_pairs(blocked, "category", min_similarity)
     return first_by(both_ways(near), ["product_id"], [F.desc(half_up(F.col("similarity"), 9)), "other_id"], k)
 
 

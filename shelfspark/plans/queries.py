@@ -406,7 +406,7 @@ def j5(s, d):
 @query("J-6", f"SELECT a, b, {half_up('similarity', 6)} AS similarity FROM cos WHERE similarity >= 0.3", "cos")
 def j6(s, d):
     blocked = D.formula_vectors(A.product_ingredients(s, d)).join(A.products(s, d).select("product_id", "category"), "product_id")
-    return D.pairwise_cosine(blocked, "category").where("similarity >= 0.3").select("a", "b", X.half_up(F.col("similarity"), 6).alias("similarity"))
+    return D.similar_pairs(blocked, "category", 0.3).select("a", "b", X.half_up(F.col("similarity"), 6).alias("similarity"))
 
 
 @query("J-7", f"""SELECT query_id, id, similarity, rank::INTEGER AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM (

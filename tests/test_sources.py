@@ -1,7 +1,9 @@
 """Sources, sinks and properties that must hold between runs."""
 
 import json
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from shelfspark.operators import completeness as C
@@ -68,6 +70,20 @@ def test_cosine(spark):
     assert abs(got[1, 2] - 1) < 1e-9 and (1, 3) not in got and all(0 <= x <= 1 for x in got.values())
 
 
+@pytest.mark.parametrize("least", [0.3, 0.6, 0.9])
+def test_similar_pairs(spark, least):
+    """Every product holds ingredient 0, at any position; some hold little else, some are copies, one has a block of its own."""
+    draw = random.Random(5)
+    labels = {p: draw.sample([0] * (p % 3 > 0) + list(range(1, 12)), draw.randint(1, 8)) for p in range(60)}
+    labels |= {60: [0], 61: [0], 62: labels[3], 63: labels[3], 64: labels[3]}
+    rows = [(p, i, k + 1, draw.random() < 0.3) for p, order in labels.items() for k, i in enumerate(order)]
+    vectors = D.formula_vectors(spark.createDataFrame(rows, "product_id long, ingredient_id long, position int, is_active boolean"))
+    vectors = vectors.withColumn("block", F.when(F.col("product_id") == 64, 9).otherwise(F.col("product_id") % 2))
+    want = {(r.a, r.b): r.similarity for r in D.pairwise_cosine(vectors, "block").where(F.col("similarity") >= least + 1e-9).collect()}
+    got = {(r.a, r.b): r.similarity for r in D.similar_pairs(vectors, "block", least).collect()}
+    assert want and got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+
+
 def test_gate(spark):
     rows = [("product", True, 3, 20, 45, True, True), ("product", True, 2, 15, 0, False, False), ("product", True, 2, 5, 35, False, False), ("product", False, 2, 25, 30, True, True), ("product", True, 1, 20, 35, True, True), ("ingredient", True, 2, 20, 30, False, False)]
     names = "archetype string, has_full_ingredient_list boolean, live_offer_count int, parsed_review_count int, price_history_days int, has_image_and_variant_coverage boolean, has_expert_annotation boolean"
