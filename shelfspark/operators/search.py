@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.text import archetype_from_path, half_up, relative_path
+from shelfspark.operators.upsert import upsert
+from shelfspark.sources.feeds import flatten_search_rows
 
 
 def attach_pages(metrics: DataFrame, pages: DataFrame) -> DataFrame:
@@ -18,6 +20,13 @@ def attach_pages(metrics: DataFrame, pages: DataFrame) -> DataFrame:
     return keyed.withColumns({"page_url": F.coalesce("p0", "p1", "p2"), "archetype": F.coalesce("a0", "a1", "a2", archetype_from_path(F.col("path")))}).drop("p0", "p1", "p2", "a0", "a1", "a2", "bare")
 
 
+def load_search(raw: DataFrame, pages: DataFrame, existing: DataFrame, as_of: str, date: str | None = None) -> DataFrame:
+    """G-1: a day's API rows into the table by url and date. The day is two days before as_of unless given, when its figures are final."""
+    day = F.date_sub(F.lit(as_of).cast("date"), 2) if date is None else F.lit(date).cast("date")
+    rows = attach_pages(flatten_search_rows(raw, day), pages)
+    return upsert(existing, rows, ["url", "date"], [F.desc("impressions"), F.desc("clicks"), F.col("position")])
+
+
 def page_stats(pages: DataFrame) -> DataFrame:
     """A-5"""
     return pages.groupBy("archetype").agg(F.count("*").alias("total_pages"), F.count_if("indexable").alias("indexed_pages"))

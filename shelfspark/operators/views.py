@@ -7,8 +7,15 @@ from pyspark.sql import functions as F
 
 from shelfspark.functions.scores import per_ml
 from shelfspark.functions.text import price_and_mrp, robots, sheet_size_ml, slug_a, slug_b
+from shelfspark.operators import completeness as C
+from shelfspark.operators import dupes as D
 from shelfspark.operators import labels as N
 from shelfspark.operators import ledger as L
+from shelfspark.operators import upsert as U
+
+# Skin types, and the sheet's tabs with their category and format.
+SKIN_TYPES = ["Oily", "Dry", "Sensitive"]
+TABS = {"Sunscreen": ("sunscreen", "sunscreen"), "Facewash": ("cleanser", "cleanser"), "Moisturizer": ("moisturizer", "cream")}
 
 
 def product_filter(products: DataFrame, category: str | None = None, brand: str | None = None, q: str | None = None, limit: int | None = 300, offset: int = 0) -> DataFrame:
@@ -40,6 +47,27 @@ def sheet_catalog(rows: DataFrame) -> DataFrame:
     return both.select("slug", "brand", "product", F.col("tab").alias("category"), sheet_size_ml(F.col("size")).alias("size_ml"), F.col("money.mrp").alias("mrp"), F.col("money.price").alias("price"), F.concat(F.lit("/p/"), "slug").alias("url"))
 
 
+def sheet_tables(rows: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """S-4: what a sheet adds to each table. Rows also have row_id (their order), spf_pa, dupe_edge and page. Brands, products and
+    pages are inserted where `old` (brand and product by slug, page by url) lacks them, the first row of a key counts;
+    each row is a variant and an offer. Tabs that are not in TABS are not loaded."""
+    tabs = F.create_map(*[x for tab, (category, kind) in TABS.items() for x in (F.lit(tab), F.struct(F.lit(category).alias("category"), F.lit(kind).alias("format")))])
+    text = {c: F.nullif(F.trim(c), F.lit("")) for c in ("spf_pa", "dupe_edge", "page")}
+    both = rows.where("brand <> '' and product <> ''").withColumns(text | {"money": price_and_mrp(F.col("price")), "brand_slug": slug_b(F.col("brand")), "kind": F.try_element_at(tabs, F.col("tab"))}).where("kind is not null")
+    c = both.withColumn("slug", F.concat_ws("-", "brand_slug", slug_b(F.col("product"))))
+    order, india = [F.col("row_id")], F.lit("IN")
+    claims = F.array_compact(F.array("spf_pa", F.left("dupe_edge", F.lit(150))))
+    brand = c.select(F.col("brand_slug").alias("slug"), F.col("brand").alias("name"), india.alias("country"), "row_id")
+    product = c.select("slug", "brand_slug", F.col("product").alias("name"), "kind.category", "kind.format", claims.alias("claims"), F.array(india).alias("markets"), F.lit(75).alias("dcs_score"), F.lit("provisional").alias("index_tier"), "row_id")
+    page = c.select(F.lit("product").alias("archetype"), F.concat(F.lit("/p/"), "slug").alias("url"), F.lit("en-in").alias("locale"), F.array("slug").alias("entity_refs"), F.lit(75).alias("dcs_score"), F.lit(True).alias("indexable"), "row_id")
+    link = F.coalesce("page", F.concat(F.lit("https://www.nykaa.com/search?q="), "slug"))
+    return {
+        "brand": U.insert_absent(old["brand"], brand, ["slug"], order), "product": U.insert_absent(old["product"], product, ["slug"], order), "page": U.insert_absent(old["page"], page, ["url"], order),
+        "variant": c.select("row_id", F.col("slug").alias("product_slug"), sheet_size_ml(F.col("size")).alias("size_ml"), F.col("money.mrp").alias("mrp")),
+        "offer": c.select("row_id", F.col("slug").alias("product_slug"), F.lit("Direct Brand Site").alias("retailer"), F.col("money.price").alias("price"), F.lit("INR").alias("currency"), F.lit(True).alias("in_stock"), link.alias("affiliate_url")),
+    }
+
+
 def brand_list(products: DataFrame) -> DataFrame:
     """A-3, J-2"""
     return products.groupBy("brand").agg(F.count("*").alias("products")).orderBy("brand")
@@ -156,17 +184,55 @@ def retailers_like(retailers: DataFrame, wanted: DataFrame, n: int = 3) -> DataF
     return named.join(wanted.withColumn("_g", F.left(part, F.lit(n))), "_g").where(F.contains(name, part)).select("slug", F.col("s_suppkey").alias("retailer_id"))
 
 
-def compare(pairs: DataFrame, products: DataFrame, lowest: DataFrame) -> DataFrame:
-    """V-7: pair slugs `a-vs-b` -> a row for each side with price per ml and which is cheaper."""
-    sides = pairs.withColumn("s", F.split("pair", "-vs-")).select("pair", F.posexplode("s").alias("at", "slug")).withColumn("side", F.when(F.col("at") == 0, "a").otherwise("b"))
-    priced = products.join(lowest.select("product_id", "price"), "product_id").select("slug", "name", per_ml(F.col("price"), F.col("size_ml")).alias("per_ml"))
-    rows = sides.join(priced, "slug")
-    low = rows.groupBy("pair").agg(F.min("per_ml").alias("low"))
-    return rows.join(low, "pair").select("pair", "side", "name", "per_ml", (F.col("per_ml") == F.col("low")).alias("cheaper"))
-
-
-def manual_load(labels: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """R-5: what loading new products' labels would write: rows, active ones, and slots for review."""
-    n = N.normalize_labels(labels, ingredients)
-    unknown = F.col("ingredient_id").isNull()
-    return n.groupBy("label_id").agg(F.count("*").alias("rows"), F.count_if(unknown).alias("review"), F.count_if(~unknown & (F.col("position") <= 4)).alias("active"))
+def compare(pairs: DataFrame, products: DataFrame, lowest: DataFrame, product_ingredients: DataFrame, scored: DataFrame) -> DataFrame:
+    """V-7: pair slugs `a-vs-b` (up to four products) -> a row for each side: price per ml and whether it is the cheapest, the
+    ingredients that all sides list and those that only this one does, its actives, skin fit and completeness.
+
+    A pair's sides are one small array, so that what they share is array work on it."""
+    first = product_ingredients.groupBy("product_id", "ingredient_id").agg(F.min("position").alias("position"), F.bool_or("is_active").alias("is_active"))
+    listed = first.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", "ingredient_id", "is_active"))).alias("l"))
+    dcs = scored.select(F.col("url").alias("_url"), "dcs_score")
+    spec = products.join(lowest.select("product_id", "price"), "product_id").join(listed, "product_id", "left").withColumn("_url", F.concat(F.lit("/p/"), "slug")).join(dcs, "_url", "left")
+    ids = F.coalesce(F.col("l.ingredient_id"), F.array().cast("array<long>"))
+    fit = F.array(*[F.when(F.array_contains(F.coalesce("skin_types", F.array().cast("array<string>")), t), 5).otherwise(2) for t in SKIN_TYPES])
+    columns = {"per_ml": per_ml(F.col("price"), F.col("size_ml")), "ids": ids, "actives": F.coalesce(F.filter("l", lambda x: x["is_active"])["ingredient_id"], F.array().cast("array<long>")), "skin_fit": fit, "dcs_score": F.coalesce("dcs_score", F.lit(0))}
+    spec = spec.select("slug", "name", "brand", *[c.alias(n) for n, c in columns.items()])
+    sides = pairs.select("pair", F.posexplode(F.split("pair", "-vs-")).alias("at", "slug")).where("at < 4").join(spec, "slug")
+    whole = sides.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("at", "slug", "name", "brand", *columns))).alias("sides"))
+    shared = F.aggregate(F.slice("sides", 2, 3)["ids"], F.get("sides", 0)["ids"], F.array_intersect)
+    rows = whole.select("pair", "sides", F.array_min(F.col("sides.per_ml")).alias("low"), shared.alias("shared"), F.explode("sides").alias("x"))
+    others = F.flatten(F.filter("sides", lambda y: y["at"] != F.col("x.at"))["ids"])
+    return rows.select(
+        "pair", F.get(F.array(*map(F.lit, "abcd")), F.col("x.at")).alias("side"), "x.slug", "x.name", "x.brand", "x.per_ml", (F.col("x.per_ml") <= F.col("low")).alias("cheaper"),
+        "shared", F.array_except("x.ids", others).alias("unique"), "x.actives", "x.skin_fit", "x.dcs_score",
+    )
+
+
+def create_products(requests: DataFrame, brands: DataFrame, products: DataFrame, retailers: DataFrame, ingredients: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """R-5: new products by hand, a batch at once, as the rows each table takes and a summary of every request.
+
+    Requests: request_id, brand_name, name, category, format, claims, raw_ingredients, size_ml, price, currency, retailer_name. A slug
+    that the catalog has, or that an earlier request of the batch takes, makes no product (`exists`). Label slots without an
+    ingredient go to review. Ids are hashes of natural keys, so a rerun writes the same rows."""
+    asked = requests.withColumn("brand_slug", slug_a(F.col("brand_name"), False)).withColumn("slug", F.concat_ws("-", "brand_slug", slug_a(F.col("name"), False)))
+    new = U.insert_absent(products.select("slug"), asked, ["slug"], [F.col("request_id")]).withColumn("product_id", F.left(F.sha2("slug", 256), F.lit(32)))
+    named = new.groupBy("brand_slug").agg(F.min_by("brand_name", "request_id").alias("name"))
+    brand = U.find_or_create(brands, new, "brand_slug", "brand_id").join(named, "brand_slug")
+    retailer = U.find_or_create(retailers, new, "retailer_name", "retailer_id")
+    slots = N.normalize_labels(new.select(F.col("product_id").alias("label_id"), F.col("raw_ingredients").alias("raw")), ingredients)
+    known, review = (x.withColumnRenamed("label_id", "product_id") for x in N.load_rows(slots))
+    new = new.join(brand.select("brand_slug", "brand_id", F.col("is_new").alias("brand_new")), "brand_slug", "left").join(retailer.select("retailer_name", "retailer_id", F.col("is_new").alias("retailer_new")), "retailer_name", "left")
+    variant = new.select(F.left(F.sha2(F.concat_ws("|", "product_id", F.col("size_ml").cast("string")), 256), F.lit(32)).alias("variant_id"), "product_id", "size_ml", F.col("price").alias("mrp"))
+    link = F.concat(F.lit("https://www."), F.lower("retailer_name"), F.lit(".com/p/"), "slug")
+    offer = new.join(variant.select("product_id", "variant_id"), "product_id").select("product_id", "variant_id", "retailer_id", "price", "currency", F.lit(True).alias("in_stock"), link.alias("affiliate_url"), F.lit(as_of).cast("timestamp").alias("seen_at"))
+    page = new.select(F.lit("product").alias("archetype"), F.concat(F.lit("/p/"), "brand_slug", F.lit("/"), "slug").alias("url"), F.lit("en-in").alias("locale"), F.array("product_id").alias("entity_refs"), F.lit(None).cast("timestamp").alias("first_indexed_at"))
+    scored = C.score(C.page_metrics(page, C.product_metrics(known, offer, new)))
+    page = C.promote(page, scored, as_of)
+    gate = page.select(F.get("entity_refs", 0).alias("product_id"), F.col("url").alias("page_url"), "dcs_score", "index_tier")
+    product = new.join(gate, "product_id").select("product_id", "brand_id", "name", "slug", "category", "format", "claims", F.array(F.lit("IN")).alias("markets"), "dcs_score", "index_tier")
+    counts = slots.groupBy(F.col("label_id").alias("product_id")).agg(F.count("*").alias("ingredients"), F.count_if(F.col("ingredient_id").isNull()).alias("review"))
+    zero = F.lit(0).cast("long")
+    made = new.join(gate, "product_id").join(counts, "product_id", "left").join(offer.select("product_id", "affiliate_url"), "product_id")
+    made = made.select("request_id", "brand_new", "retailer_new", "page_url", "affiliate_url", "dcs_score", "index_tier", F.lit(1).cast("long").alias("offers"), F.coalesce("ingredients", zero).alias("ingredients"), F.coalesce("review", zero).alias("review"), F.lit("created").alias("status"))
+    summary = asked.select("request_id", "slug", "name", "brand_name").join(made, "request_id", "left").withColumn("status", F.coalesce("status", F.lit("exists")))
+    return {"brand": brand, "retailer": retailer, "product": product, "product_ingredient": known, "review": review, "variant": variant, "offer": offer, "page": page, "vector": D.formula_vectors(known), "summary": summary}

@@ -39,8 +39,9 @@ def volume_ml(raw: str) -> str:
     return half_up(f"coalesce({n(multi, 1)} * {n(multi, 2)} * {f(multi, 3)}, {n(single, 1)} * {f(single, 2)})")
 
 
-def slug_a(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({x})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g'), '-+', '-', 'g'), '-')"
+def slug_a(x: str, collapse: bool = True) -> str:
+    out = rf"regexp_replace(regexp_replace(trim(lower({x})), '[^\p{{L}}\p{{N}}_\s-]', '', 'g'), '[\s_]+', '-', 'g')"
+    return f"trim(regexp_replace({out}, '-+', '-', 'g'), '-')" if collapse else f"trim({out}, '-')"
 
 
 def clean_title(title: str, brand: str) -> str:

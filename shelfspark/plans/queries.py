@@ -81,6 +81,51 @@ def s4(s, d):
     return V.sheet_catalog(_sheet(s, d)).select("slug", "brand", "product", "category", "size_ml", "mrp", "price", "url")
 
 
+def _tabbed(s, d):
+    k, p = F.col("p_partkey"), A.table(s, d, "part")
+    extra = p.select(k.alias("row_id"), F.col("p_name").alias("product"), F.when(k % 7 == 0, "Other").otherwise(F.get(F.array(*map(F.lit, V.TABS)), (k % 3).cast("int"))).alias("tab"), F.when(k % 2 == 0, "SPF 50").otherwise(" ").alias("spf_pa"), F.when(k % 3 == 0, F.repeat("p_name", 20)).alias("dupe_edge"), F.when(k % 4 == 0, F.concat(F.lit("https://shop.example/"), k.cast("string"))).alias("page"))
+    return _sheet(s, d).drop("product", "tab").join(extra, "row_id")
+
+
+def _sheet_tables(s, d):
+    seen = A.table(s, d, "part").where("p_size < 5").select(F.concat_ws("-", X.slug_b(F.col("p_brand")), X.slug_b(F.col("p_name"))).alias("slug"), X.slug_b(F.col("p_brand")).alias("b")).distinct()
+    old = {"brand": seen.where("b like 'brand-1%'").select(F.col("b").alias("slug")).distinct(), "product": seen.select("slug"), "page": seen.select(F.concat(F.lit("/p/"), "slug").alias("url"))}
+    return V.sheet_tables(_tabbed(s, d), old)
+
+
+_TABS = ", ".join(f"('{tab}', '{c}', '{f}')" for tab, (c, f) in V.TABS.items())
+_SLUG4 = f"{slug_b('p_brand')} || '-' || {slug_b('p_name')}"
+_TABBED = f"""(SELECT x.*, p_brand AS brand, p_name AS product, {slug_b('p_brand')} AS brand_slug, {_SLUG4} AS slug, price, mrp, size_ml, category, format, CASE WHEN x.row_id % 2 = 0 THEN 'SPF 50' END AS spf_pa, CASE WHEN x.row_id % 3 = 0 THEN left(repeat(p_name, 20), 150) END AS dupe_edge, CASE WHEN x.row_id % 4 = 0 THEN 'https://shop.example/' || x.row_id END AS page
+ FROM (SELECT *, p_partkey AS row_id, CASE WHEN p_partkey % 7 = 0 THEN 'Other' ELSE ['{"', '".join(V.TABS)}'][p_partkey % 3 + 1] END AS tab_ FROM part) x JOIN (SELECT row_id, price, mrp, size_ml FROM {_SHEET}) USING (row_id) JOIN (VALUES {_TABS}) v(tab_, category, format) USING (tab_))"""
+_SEEN4 = f"(SELECT {_SLUG4} FROM part WHERE p_size < 5)"
+_CLAIMS = "array_to_string(list_filter([spf_pa, dupe_edge], lambda c: c IS NOT NULL), '|')"
+
+
+@query("S-4_brand", f"SELECT brand_slug AS slug, arg_min(brand, row_id) AS name, 'IN' AS country, min(row_id) AS row_id FROM {_TABBED} WHERE brand_slug NOT IN (SELECT {slug_b('p_brand')} FROM part WHERE p_size < 5 AND {slug_b('p_brand')} LIKE 'brand-1%') GROUP BY 1")
+def s4_brand(s, d):
+    return _sheet_tables(s, d)["brand"]
+
+
+@query("S-4_product", f"SELECT slug, brand_slug, product AS name, category, format, {_CLAIMS} AS claims, 'IN' AS markets, 75 AS dcs_score, 'provisional' AS index_tier, row_id FROM {_TABBED} WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
+def s4_product(s, d):
+    return _sheet_tables(s, d)["product"].withColumns({"claims": joined("claims"), "markets": joined("markets")})
+
+
+@query("S-4_variant", f"SELECT row_id, slug AS product_slug, size_ml, mrp FROM {_TABBED}")
+def s4_variant(s, d):
+    return _sheet_tables(s, d)["variant"]
+
+
+@query("S-4_offer", f"SELECT row_id, slug AS product_slug, 'Direct Brand Site' AS retailer, price, 'INR' AS currency, true AS in_stock, coalesce(page, 'https://www.nykaa.com/search?q=' || slug) AS affiliate_url FROM {_TABBED}")
+def s4_offer(s, d):
+    return _sheet_tables(s, d)["offer"]
+
+
+@query("S-4_page", f"SELECT 'product' AS archetype, '/p/' || slug AS url, 'en-in' AS locale, slug AS entity_refs, 75 AS dcs_score, true AS indexable, row_id FROM {_TABBED} WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
+def s4_page(s, d):
+    return _sheet_tables(s, d)["page"].withColumn("entity_refs", joined("entity_refs"))
+
+
 @query("S-5", "SELECT url, date, clicks, impressions, ctr, position FROM search", "search")
 def s5(s, d):
     raw = A.search_rows(s, d).select(F.array("url").alias("keys"), F.col("clicks").cast("double").alias("clicks"), F.col("impressions").cast("double").alias("impressions"), "ctr", "position", "date")
@@ -730,12 +775,27 @@ def v6(s, d):
     return _set_similarity(s, d)
 
 
-@query("V-7", f"SELECT a.slug || '-vs-' || b.slug AS pair, side, z.name, {half_up('(z.price / z.size_ml)', 4)} AS per_ml, z.price / z.size_ml = least(xa, xb) AS cheaper FROM (SELECT *, oa.price / pa.size_ml AS xa, ob.price / pb.size_ml AS xb FROM edges JOIN products pa ON pa.product_id = a JOIN products pb ON pb.product_id = b JOIN lowest oa ON oa.product_id = a JOIN lowest ob ON ob.product_id = b) e JOIN products a ON a.product_id = e.a JOIN products b ON b.product_id = e.b JOIN (SELECT 'a' AS side UNION ALL SELECT 'b') ON true JOIN (SELECT l.product_id AS pid, price, size_ml, name FROM lowest l JOIN products USING (product_id)) z ON z.pid = CASE side WHEN 'a' THEN e.a ELSE e.b END", "edges", "lowest", "products")
+_LIST = "coalesce(list_transform({0}, lambda i: i::VARCHAR), [])"
+_V7 = f"""SELECT pair, side, z.slug, z.name, z.brand, {half_up('z.per_ml', 4)} AS per_ml, z.per_ml <= o.per_ml AS cheaper, array_to_string(list_filter(CASE side WHEN 'a' THEN z.ids ELSE o.ids END, lambda i: list_contains(CASE side WHEN 'a' THEN o.ids ELSE z.ids END, i)), '|') AS shared,
+ array_to_string(list_filter(z.ids, lambda i: NOT list_contains(o.ids, i)), '|') AS "unique", array_to_string(z.act, '|') AS actives, z.fit AS skin_fit, z.dcs_score
+ FROM (SELECT p.slug || '-vs-' || q.slug AS pair, x.side, CASE side WHEN 'a' THEN a ELSE b END AS pid, CASE side WHEN 'a' THEN b ELSE a END AS oid FROM edges JOIN products p ON p.product_id = a JOIN products q ON q.product_id = b JOIN (VALUES ('a'), ('b')) x(side) ON true) e
+ JOIN spec z ON z.product_id = pid JOIN spec o ON o.product_id = oid"""
+_SPEC = f"""spec AS (SELECT p.product_id, p.slug, p.name, p.brand, l.price / p.size_ml AS per_ml, {_LIST.format('ids')} AS ids, {_LIST.format('act')} AS act, dcs_score, concat_ws('|', CASE WHEN p.product_id % 2 = 0 THEN 5 ELSE 2 END, CASE WHEN p.product_id % 3 = 0 THEN 5 ELSE 2 END, CASE WHEN p.product_id % 5 = 0 THEN 5 ELSE 2 END) AS fit
+ FROM products p JOIN lowest l USING (product_id) JOIN scored ON scored.url = '/p/' || p.slug LEFT JOIN (SELECT product_id, list(ingredient_id ORDER BY position) AS ids, list(ingredient_id ORDER BY position) FILTER (WHERE act) AS act FROM (SELECT product_id, ingredient_id, min(position) AS position, bool_or(is_active) AS act FROM pi GROUP BY ALL) GROUP BY 1) USING (product_id))"""
+
+
+@query("V-7")
 def v7(s, d):
-    p = A.products(s, d)
+    k = F.col("product_id")
+    fits = F.array_compact(F.array(*[F.when(k % n == 0, t) for n, t in zip((2, 3, 5), V.SKIN_TYPES, strict=True)]))
+    p = A.products(s, d).withColumn("skin_types", fits)
     slug = {x: p.select(F.col("product_id").alias(x), F.col("slug").alias(f"slug_{x}")) for x in "ab"}
     pairs = _edges(s, d).select("a", "b").join(slug["a"], "a").join(slug["b"], "b").select(F.concat("slug_a", F.lit("-vs-"), "slug_b").alias("pair"))
-    return V.compare(pairs, p, L.lowest_offer(A.offers(s, d), TIE)).select("pair", "side", "name", X.half_up(F.col("per_ml"), 4).alias("per_ml"), "cheaper")
+    out = V.compare(pairs, p, L.lowest_offer(A.offers(s, d), TIE), A.product_ingredients(s, d), _scored(s, d))
+    return out.withColumns({"per_ml": X.half_up(F.col("per_ml"), 4)} | {c: joined(c) for c in ("shared", "unique", "actives", "skin_fit")})
+
+
+ORACLE_SQL["V-7"] = sql("", "edges", "lowest", "products", "pi", "scored").rstrip() + f", {_SPEC} {_V7}"
 
 
 @query("E-1", f"SELECT item_id, CASE WHEN variant_id IS NOT NULL THEN 'gtin' WHEN slug_variant IS NOT NULL THEN 'brand_slug_size' END AS method, coalesce(variant_id, slug_variant) AS variant_id FROM feed_ok JOIN {_SLUGGED} USING (item_id)", "feed_ok", "products")
@@ -824,10 +884,14 @@ def c3(s, d):
     return C.promote(old, _scored(s, d), A.AS_OF).select("url", "dcs_score", "indexable", "first_indexed_at")
 
 
-@query("G-1", f"SELECT search.url, date, clicks, impressions, archetype, date <> DATE '2024-01-10' AS is_new FROM search JOIN pages_ ON page_url = pages_.url", "search", "pages_")
+@query("G-1", f"SELECT search.url, date, clicks, impressions, ctr, CASE WHEN date = DATE '{A.SEARCH_AS_OF}' - 2 OR clicks = 0 THEN position ELSE 0 END AS position, archetype, pages_.url AS page_url, date = DATE '{A.SEARCH_AS_OF}' - 2 AND clicks = 0 AS is_new FROM search JOIN pages_ ON page_url = pages_.url", "search", "pages_")
 def g1(s, d):
-    rows = _loaded(s, d)
-    return U.upsert(rows.where("date = '2024-01-10'"), rows, ["url", "date"], [F.desc("impressions")]).select("url", "date", "clicks", "impressions", "archetype", "is_new")
+    """The table has all days, but of the loaded day only pages with clicks; their stale positions are 0 and are replaced."""
+    rows, target = A.search_rows(s, d), F.col("date") == F.date_sub(F.lit(A.SEARCH_AS_OF).cast("date"), 2)
+    zero = F.when(F.col("clicks") > 0, F.lit(0.0)).otherwise(F.col("position"))
+    existing = G.attach_pages(rows.where(~target | (F.col("clicks") > 0)).withColumn("position", zero), A.pages(s, d))
+    raw = rows.where(target).select(F.array("url").alias("keys"), F.col("clicks").cast("double").alias("clicks"), F.col("impressions").cast("double").alias("impressions"), "ctr", "position")
+    return G.load_search(raw, A.pages(s, d), existing, A.SEARCH_AS_OF).select("url", "date", "clicks", "impressions", "ctr", "position", "archetype", "page_url", "is_new")
 
 
 @query("R-1", "SELECT product_id, name, brand, slug, CASE WHEN dcs_score >= 70 AND indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots, (SELECT count(*) FROM pi WHERE pi.product_id = products.product_id) AS ingredients, (SELECT count(*) FROM best WHERE best.product_id = products.product_id) AS offers, (SELECT min(price) FROM best WHERE best.product_id = products.product_id) AS best_price FROM products JOIN scored ON scored.url = '/p/' || slug", "products", "scored", "pi", "best")
@@ -853,9 +917,38 @@ def r4(s, d):
     return out.select("url", "robots", F.array_join(F.transform("hreflang", lambda h: F.concat(h["locale"], F.lit("="), h["url"])), "|").alias("hreflang"))
 
 
-@query("R-5", "SELECT label_id, count(*) AS rows, count(*) FILTER (WHERE ingredient_id IS NULL) AS review, count(*) FILTER (WHERE position <= 4 AND ingredient_id IS NOT NULL) AS active FROM norm GROUP BY 1", "norm")
+def _created(s, d):
+    p, k = A.products(s, d), F.col("product_id")
+    name = F.concat_ws(" ", "name", F.col("size_ml").cast("int").cast("string"))
+    asked = p.select(k.alias("request_id"), F.col("brand").alias("brand_name"), name.alias("name"), "category", F.lit("cream").alias("format"), F.array().cast("array<string>").alias("claims"), "size_ml", F.col("mrp").alias("price"), F.lit("INR").alias("currency"), F.when(k % 2 == 0, "Nykaa").otherwise("Tira").alias("retailer_name"))
+    asked = asked.join(A.labels(s, d).select(F.col("label_id").alias("request_id"), F.col("raw").alias("raw_ingredients")), "request_id")
+    old = p.where("size_ml < 5").select(F.concat_ws("-", X.slug_a(F.col("brand"), False), X.slug_a(name, False)).alias("slug")).distinct()
+    brands = p.select(X.slug_a(F.col("brand"), False).alias("brand_slug")).where("brand_slug like 'brand1%'").distinct().withColumn("brand_id", F.col("brand_slug"))
+    shops = p.select(F.lit("Nykaa").alias("retailer_name"), F.lit("r1").alias("retailer_id")).distinct()
+    return V.create_products(asked, brands, old, shops, A.ingredients(s), A.AS_OF)
+
+
+_NAME5 = "p_name || ' ' || p_size"
+_NEW = f"""(SELECT *, s NOT IN (SELECT {slug_a('p_brand', False)} || '-' || {slug_a(_NAME5, False)} FROM part WHERE p_size < 5) AND row_number() OVER (PARTITION BY s ORDER BY p_partkey) = 1 AS ok FROM (SELECT *, {slug_a('p_brand', False)} AS bs, {slug_a('p_brand', False)} || '-' || {slug_a(_NAME5, False)} AS s, {_NAME5} AS n, CASE WHEN p_partkey % 2 = 0 THEN 'Nykaa' ELSE 'Tira' END AS shop FROM part))"""
+
+
+@query("R-5", f"""SELECT p_partkey AS request_id, s AS slug, n AS name, p_brand AS brand_name, CASE WHEN ok THEN 'created' ELSE 'exists' END AS status, CASE WHEN ok THEN bs NOT LIKE 'brand1%' END AS brand_new, CASE WHEN ok THEN shop <> 'Nykaa' END AS retailer_new, CASE WHEN ok THEN '/p/' || bs || '/' || s END AS page_url, CASE WHEN ok THEN 'https://www.' || lower(shop) || '.com/p/' || s END AS affiliate_url,
+ CASE WHEN ok THEN CASE WHEN known > 0 THEN 40 ELSE 10 END END AS dcs_score, CASE WHEN ok THEN 'provisional' END AS index_tier, CASE WHEN ok THEN 1 END::BIGINT AS offers, CASE WHEN ok THEN coalesce(slots, 0) END AS ingredients, CASE WHEN ok THEN coalesce(slots - known, 0) END AS review
+ FROM {_NEW} LEFT JOIN (SELECT label_id, count(*) AS slots, count(ingredient_id) AS known FROM norm GROUP BY 1) ON label_id = p_partkey""", "norm")
 def r5(s, d):
-    return V.manual_load(A.labels(s, d), A.ingredients(s))
+    return _created(s, d)["summary"]
+
+
+@query("R-5_rows", f"SELECT s AS slug, p_size::DOUBLE AS size_ml, p_retailprice AS mrp, CASE shop WHEN 'Nykaa' THEN 'r1' ELSE left(sha256('Tira'), 32) END AS retailer_id, CASE WHEN bs LIKE 'brand1%' THEN bs ELSE left(sha256(bs), 32) END AS brand_id, listed, vector FROM {_NEW} LEFT JOIN (SELECT label_id, string_agg(position || ':' || ingredient_id || ':' || (position <= 4), '|' ORDER BY position) AS listed FROM norm WHERE ingredient_id IS NOT NULL GROUP BY 1) a ON a.label_id = p_partkey LEFT JOIN (SELECT label_id, string_agg(ingredient_id || ':' || round(10000 * w / sqrt(t))::BIGINT, '|' ORDER BY ingredient_id) AS vector FROM (SELECT *, sum(w * w) OVER (PARTITION BY label_id) AS t FROM (SELECT label_id, ingredient_id, exp(-0.2 * (max(position) - 1)) * CASE WHEN max(position) <= 4 THEN 2.0 ELSE 1.0 END AS w FROM norm WHERE ingredient_id IS NOT NULL GROUP BY ALL)) GROUP BY 1) v ON v.label_id = p_partkey WHERE ok", "norm")
+def r5_rows(s, d):
+    """The rows that the batch adds, put together by product."""
+    t = _created(s, d)
+    slot = F.concat_ws(":", *[F.col(x).cast("string") for x in ("position", "ingredient_id", "is_active")])
+    listed = t["product_ingredient"].groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", slot.alias("t")))).alias("x")).select("product_id", joined("x.t").alias("listed"))
+    entry = F.concat_ws(":", F.col("ingredient_id").cast("string"), F.round(F.col("weight") * 10000).cast("long").cast("string"))
+    vector = t["vector"].groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("ingredient_id", entry.alias("t")))).alias("x")).select("product_id", joined("x.t").alias("vector"))
+    rows = t["product"].join(t["variant"], "product_id").join(t["offer"].select("product_id", "retailer_id"), "product_id").join(listed, "product_id", "left").join(vector, "product_id", "left")
+    return rows.select("slug", "size_ml", "mrp", "retailer_id", "brand_id", "listed", "vector")
 
 
 @query("ST-1", "SELECT item_id, outcome, CASE WHEN outcome = 'inserted' THEN variant_id END AS variant_id, size_ml FROM feed_ok", "feed_ok")
