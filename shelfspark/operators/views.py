@@ -107,32 +107,41 @@ def ingredient_by_slug(wanted: DataFrame, ingredients: DataFrame) -> DataFrame:
 
 def top_products(product_ingredients: DataFrame, products: DataFrame, k: int = 20) -> DataFrame:
     """W-5: the k products that list an ingredient first, by position, then score."""
-    first = product_ingredients.groupBy("ingredient_id", "product_id").agg(F.min("position").alias("position"))
+    first = product_ingredients.groupBy("ingredient_id", "product_id").agg(F.min("position").alias("position"), F.bool_or("is_active").alias("is_active"))
     return L.first_by(first.join(products, "product_id"), ["ingredient_id"], ["position", F.desc("dcs_score"), "product_id"], k)
 
 
-def ingredient_detail(product_ingredients: DataFrame, products: DataFrame, k: int = 20) -> DataFrame:
-    """R-3: every ingredient with its number of products and its top ones."""
+def ingredient_detail(product_ingredients: DataFrame, products: DataFrame, k: int = 20, wanted: DataFrame | None = None, ingredients: DataFrame | None = None) -> DataFrame:
+    """R-3: every ingredient with its number of products and its top ones; with `wanted` (names, looked up by slug as in J-14) and
+    the dictionary, one row for each name found, also where no product lists the ingredient."""
     n = product_ingredients.groupBy("ingredient_id").agg(F.countDistinct("product_id").alias("products"))
-    top = top_products(product_ingredients, products, k).groupBy("ingredient_id").agg(F.array_sort(F.collect_list(F.struct("rank", "product_id", "position"))).alias("top"))
-    return n.join(top, "ingredient_id")
+    top = top_products(product_ingredients, products, k).groupBy("ingredient_id").agg(F.array_sort(F.collect_list(F.struct("rank", "product_id", "slug", "brand", "position", "is_active", "dcs_score"))).alias("top"))
+    detail = n.join(top, "ingredient_id")
+    if wanted is None:
+        return detail
+    found = ingredient_by_slug(wanted, ingredients).join(ingredients, "ingredient_id")
+    return found.join(detail, "ingredient_id", "left").withColumns({"products": F.coalesce("products", F.lit(0)), "top": F.coalesce("top", F.array().cast(top.schema["top"].dataType))})
 
 
 def product_list(products: DataFrame, offers: DataFrame, product_ingredients: DataFrame, tie: list[str]) -> DataFrame:
-    """R-2"""
-    actives = product_ingredients.where("is_active").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", "ingredient_id"))).alias("actives"))
-    return products.join(L.lowest_price(products, offers, tie), "product_id").join(actives, "product_id", "left")
+    """R-2: products with their lowest price and its retailer, active ingredients, all ingredients and in-stock offers in order."""
+    slots = F.array_sort(F.collect_list(F.struct("position", "ingredient_id", "is_active")))
+    listed = product_ingredients.groupBy("product_id").agg(slots.alias("ingredients"))
+    live = offers.where("in_stock").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("price", "seen_at", *[t for t in tie if t != "price"], "currency"))).alias("offers"))
+    out = products.join(L.lowest_price(products, offers, tie), "product_id").join(listed, "product_id", "left").join(live, "product_id", "left")
+    out = out.withColumns({"ingredients": F.coalesce("ingredients", F.array().cast(listed.schema["ingredients"].dataType)), "offers": F.coalesce("offers", F.array().cast(live.schema["offers"].dataType))})
+    return out.withColumn("actives", F.filter("ingredients", lambda x: x["is_active"])["ingredient_id"])
 
 
-def product_detail(products: DataFrame, product_ingredients: DataFrame, offers: DataFrame, scored: DataFrame, as_of: str, tie: list[str]) -> DataFrame:
+def product_detail(products: DataFrame, product_ingredients: DataFrame, offers: DataFrame, scored: DataFrame, as_of: str, tie: list[str], days: int = 30, most: int = 200) -> DataFrame:
     """R-1: product, ordered ingredients, best offers by retailer, price trend and robots rule, one row per product."""
     ing = product_ingredients.groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", "ingredient_id", "is_active"))).alias("ingredients"))
     best = L.best_per_retailer(offers, tie).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("price", "retailer_id", "currency", "seen_at"))).alias("offers"))
-    trend = L.price_trend(offers, as_of, tie).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seen_at", "price"))).alias("history"))
+    trend = L.price_trend(offers, as_of, tie, days, most).groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("rank", "seen_at", "price", "currency", "retailer_id"))).alias("history"))
     out = products.withColumn("url", F.concat(F.lit("/p/"), "slug")).join(scored.select("url", "dcs_score", "indexable"), "url")
-    for part in (ing, best, trend):
-        out = out.join(part, "product_id", "left")
-    return out.withColumns({"robots": robots(F.col("dcs_score"), F.col("indexable")), "offers": F.coalesce("offers", F.array().cast(best.schema["offers"].dataType))})
+    for part, name in ((ing, "ingredients"), (best, "offers"), (trend, "history")):
+        out = out.join(part, "product_id", "left").withColumn(name, F.coalesce(name, F.array().cast(part.schema[name].dataType)))
+    return out.withColumn("robots", robots(F.col("dcs_score"), F.col("indexable")))
 
 
 def sitemap_columns(pages: DataFrame) -> DataFrame:

@@ -894,19 +894,59 @@ def g1(s, d):
     return G.load_search(raw, A.pages(s, d), existing, A.SEARCH_AS_OF).select("url", "date", "clicks", "impressions", "ctr", "position", "archetype", "page_url", "is_new")
 
 
-@query("R-1", "SELECT product_id, name, brand, slug, CASE WHEN dcs_score >= 70 AND indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots, (SELECT count(*) FROM pi WHERE pi.product_id = products.product_id) AS ingredients, (SELECT count(*) FROM best WHERE best.product_id = products.product_id) AS offers, (SELECT min(price) FROM best WHERE best.product_id = products.product_id) AS best_price FROM products JOIN scored ON scored.url = '/p/' || slug", "products", "scored", "pi", "best")
+def _lines(c: str, *fields: str):
+    """Array of structs -> text: fields by colons, entries by bars; doubles as counts of thousandths, times as seconds."""
+    forms = {"price": lambda x: F.round(x * 1000).cast("long"), "seen_at": F.unix_seconds, "dcs_score": lambda x: F.round(x * 1000).cast("long")}
+    return F.array_join(F.transform(c, lambda e: F.concat_ws(":", *[forms.get(f, lambda x: x)(e[f].cast("timestamp") if f == "seen_at" else e[f]).cast("string") for f in fields])), "|")
+
+
+_MILLI, _SECS = "round({0} * 1000)::BIGINT", "epoch(seen_at::TIMESTAMP)::BIGINT"
+_INGS = "(SELECT product_id, string_agg(position || ':' || ingredient_id || ':' || is_active, '|' ORDER BY position) AS ingredients, coalesce(string_agg(ingredient_id::VARCHAR, '|' ORDER BY position) FILTER (WHERE is_active), '') AS actives FROM pi GROUP BY 1)"
+_P, _TREND_DAYS = _MILLI.format("price"), 900
+
+
+@query("R-1", f"""SELECT product_id, name, brand, slug, dcs_score, CASE WHEN dcs_score >= 70 AND indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots, coalesce(ingredients, '') AS ingredients, coalesce(offers, '') AS offers, coalesce(history, '') AS history
+ FROM products JOIN scored ON scored.url = '/p/' || slug LEFT JOIN {_INGS} USING (product_id)
+ LEFT JOIN (SELECT product_id, string_agg({_P} || ':' || retailer_id || ':' || currency || ':' || {_SECS}, '|' ORDER BY price, retailer_id, currency, seen_at) AS offers FROM best GROUP BY 1) USING (product_id)
+ LEFT JOIN (SELECT product_id, string_agg(rank || ':' || {_SECS} || ':' || {_P} || ':' || currency || ':' || retailer_id, '|' ORDER BY rank) AS history FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY seen_at, l_orderkey, l_linenumber, retailer_id, price) AS rank FROM offers WHERE seen_at >= TIMESTAMP '{A.AS_OF}' - INTERVAL {_TREND_DAYS} DAY) WHERE rank <= 200 GROUP BY 1) USING (product_id)""", "products", "scored", "pi", "best", "offers")
 def r1(s, d):
-    out = V.product_detail(A.products(s, d), A.product_ingredients(s, d), A.offers(s, d), _scored(s, d), A.AS_OF, TIE)
-    return out.select("product_id", "name", "brand", "slug", "robots", F.coalesce(F.size("ingredients"), F.lit(0)).cast("long").alias("ingredients"), F.size("offers").cast("long").alias("offers"), F.array_min(F.transform("offers", lambda o: o["price"])).alias("best_price"))
+    """A trend of 900 days: the test tables have years of offers."""
+    out = V.product_detail(A.products(s, d), A.product_ingredients(s, d), A.offers(s, d), _scored(s, d), A.AS_OF, TIE, _TREND_DAYS)
+    return out.select("product_id", "name", "brand", "slug", "dcs_score", "robots", _lines("ingredients", "position", "ingredient_id", "is_active").alias("ingredients"), _lines("offers", "price", "retailer_id", "currency", "seen_at").alias("offers"), _lines("history", "rank", "seen_at", "price", "currency", "retailer_id").alias("history"))
+
+
+_R2 = f"""SELECT product_id, name, coalesce(ingredients, '') AS ingredients, coalesce(actives, '') AS actives, coalesce(offers, '') AS offers, CASE WHEN low.price < mrp THEN low.price ELSE mrp END AS lowest_price, CASE WHEN low.price < mrp THEN low.rid::VARCHAR ELSE 'Nykaa' END AS retailer FROM products LEFT JOIN {_INGS} USING (product_id)
+ LEFT JOIN (SELECT product_id, price, retailer_id AS rid FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY price, seen_at, l_orderkey, l_linenumber, retailer_id) AS r FROM offers WHERE in_stock) WHERE r = 1) low USING (product_id)
+ LEFT JOIN (SELECT product_id, string_agg({_P} || ':' || {_SECS} || ':' || retailer_id || ':' || currency, '|' ORDER BY price, seen_at, l_orderkey, l_linenumber, retailer_id, currency) AS offers FROM offers WHERE in_stock GROUP BY 1) USING (product_id)"""
+
 
+def _listed(s, d, products):
+    out = V.product_list(products, A.offers(s, d), A.product_ingredients(s, d), TIE)
+    return out.select("product_id", "name", "lowest_price", "retailer", joined("actives").alias("actives"), _lines("ingredients", "position", "ingredient_id", "is_active").alias("ingredients"), _lines("offers", "price", "seen_at", "retailer_id", "currency").alias("offers"))
 
-@query("R-2", "SELECT product_id, name, lowest_price FROM (SELECT p.*, least(mrp, coalesce((SELECT min(price) FROM offers o WHERE o.product_id = p.product_id AND in_stock), mrp)) AS lowest_price FROM products p WHERE category = 'SMALL')", "products", "offers")
+
+@query("R-2", _R2, "products", "offers", "pi")
 def r2(s, d):
-    return V.product_list(V.product_filter(A.products(s, d), category="SMALL", limit=None), A.offers(s, d), A.product_ingredients(s, d), TIE).select("product_id", "name", "lowest_price")
+    return _listed(s, d, V.product_filter(A.products(s, d), limit=None))
+
+
+@query("R-2_page", f"SELECT * FROM ({_R2} WHERE category = 'SMALL' AND name ILIKE '%r%' ORDER BY name, product_id LIMIT 20 OFFSET 5)", "products", "offers", "pi")
+def r2_page(s, d):
+    """The list's page: filters, limit and offset are the feature."""
+    return _listed(s, d, V.product_filter(A.products(s, d), "SMALL", q="r", limit=20, offset=5))
 
 
-@query("R-3", "SELECT ingredient_id, count(*) AS products, min(position) AS best_position FROM (SELECT ingredient_id, product_id, min(position) AS position FROM pi GROUP BY 1, 2) GROUP BY 1", "pi")
+@query("R-3", f"""SELECT wanted, ingredient_id, inci_name, coalesce(products, 0) AS products, coalesce(top, '') AS top FROM (SELECT c AS wanted, min(ingredient_id) AS ingredient_id FROM each JOIN ing ON {slug_a('c')} = {slug_a('inci_name')} GROUP BY c) JOIN ing USING (ingredient_id)
+ LEFT JOIN (SELECT ingredient_id, count(*) AS products, string_agg(rank || ':' || product_id || ':' || slug || ':' || position || ':' || act || ':' || {_MILLI.format('mrp')}, '|' ORDER BY rank) FILTER (WHERE rank <= 20) AS top FROM (SELECT *, row_number() OVER (PARTITION BY ingredient_id ORDER BY position, mrp DESC, product_id) AS rank
+  FROM (SELECT ingredient_id, product_id, min(position) AS position, bool_or(is_active) AS act, any_value(mrp) AS mrp, any_value(slug) AS slug FROM pi JOIN products USING (product_id) GROUP BY 1, 2)) GROUP BY 1) USING (ingredient_id)""", "each", "ing", "pi", "products")
 def r3(s, d):
+    wanted = N.tokenize(A.labels(s, d)).select(F.explode("candidates").alias("c")).select(F.upper(F.trim("c")).alias("wanted")).distinct()
+    out = V.ingredient_detail(A.product_ingredients(s, d), A.products(s, d).withColumn("dcs_score", F.col("mrp")), wanted=wanted, ingredients=A.ingredients(s))
+    return out.select("wanted", "ingredient_id", "inci_name", F.col("products").cast("long").alias("products"), _lines("top", "rank", "product_id", "slug", "position", "is_active", "dcs_score").alias("top"))
+
+
+@query("R-3_all", "SELECT ingredient_id, count(*) AS products, min(position) AS best_position FROM (SELECT ingredient_id, product_id, min(position) AS position FROM pi GROUP BY 1, 2) GROUP BY 1", "pi")
+def r3_all(s, d):
     out = V.ingredient_detail(A.product_ingredients(s, d), A.products(s, d).withColumn("dcs_score", F.col("mrp")))
     return out.select("ingredient_id", "products", F.array_min(F.transform("top", lambda t: t["position"])).cast("long").alias("best_position"))
 

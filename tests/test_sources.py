@@ -93,3 +93,57 @@ def test_gate(spark):
     scored = spark.createDataFrame([("u", 90, True, "indexed"), ("v", 10, False, "provisional")], "url string, dcs_score int, indexable boolean, index_tier string")
     kept = {r.url: str(r.first_indexed_at) for r in C.promote(pages, scored, "2024-01-01").collect()}
     assert kept == {"u": "2024-01-01 00:00:00", "v": "2020-01-01 00:00:00"}
+
+
+def test_sheet_tables_keep_what_is_there_and_the_first_row_of_a_key(spark):
+    from shelfspark.operators.views import sheet_tables
+
+    rows = [
+        (1, "Acme", "Gel", "Rs 100", "50 ml", "Facewash", "SPF 50", "x" * 200, None),
+        (2, "ACME", "gel", "Rs 90", "50 ml", "Sunscreen", None, " ", "https://a.example"),
+        (3, "Old", "Cream", "", "", "Moisturizer", None, None, None),
+        (4, "Acme", "Mask", "Rs 10", "5 ml", "Masks", None, None, None),
+        (5, "", "Mask", "Rs 10", "5 ml", "Facewash", None, None, None),
+    ]
+    sheet = spark.createDataFrame(rows, "row_id int, brand string, product string, price string, size string, tab string, spf_pa string, dupe_edge string, page string")
+    old = {t: spark.createDataFrame([(k,)], f"{c} string") for t, k, c in (("brand", "old", "slug"), ("product", "old-cream", "slug"), ("page", "/p/none", "url"))}
+    out = {t: df.collect() for t, df in sheet_tables(sheet, old).items()}
+    assert [(r.slug, r.name) for r in out["brand"]] == [("acme", "Acme")]
+    assert [(r.slug, r.category, r.format, r.claims) for r in out["product"]] == [("acme-gel", "cleanser", "cleanser", ["SPF 50", "x" * 150])]
+    assert sorted(r.url for r in out["page"]) == ["/p/acme-gel", "/p/old-cream"]
+    assert sorted(r.row_id for r in out["variant"]) == [1, 2, 3]
+    assert {r.row_id: r.affiliate_url for r in out["offer"]} == {1: "https://www.nykaa.com/search?q=acme-gel", 2: "https://a.example", 3: "https://www.nykaa.com/search?q=old-cream"}
+
+
+def test_compare_takes_up_to_four_products(spark):
+    from shelfspark.operators.views import compare
+
+    products = spark.createDataFrame([(i, s, s.upper(), "B", 10.0 * i, ["Dry"] if i == 1 else None) for i, s in enumerate("abcde", 1)], "product_id long, slug string, name string, brand string, size_ml double, skin_types array<string>")
+    lowest = products.selectExpr("product_id", "60D as price")
+    listed = spark.createDataFrame([(1, 7, 1, True), (1, 8, 2, False), (2, 8, 1, True), (2, 7, 2, True), (3, 7, 1, False)], "product_id long, ingredient_id long, position int, is_active boolean")
+    scored = spark.createDataFrame([("/p/a", 80)], "url string, dcs_score int")
+    pairs = spark.createDataFrame([("a-vs-b",), ("a-vs-b-vs-c-vs-d-vs-e",)], "pair string")
+    got = {(r.pair, r.side): r for r in compare(pairs, products, lowest, listed, scored).collect()}
+    assert len(got) == 6
+    first = got["a-vs-b", "a"]
+    assert (first.shared, first.unique, first.actives, first.skin_fit, first.dcs_score, first.cheaper) == ([7, 8], [], [7], [2, 5, 2], 80, False)
+    assert got["a-vs-b", "b"].cheaper and got["a-vs-b", "b"].dcs_score == 0
+    last = got["a-vs-b-vs-c-vs-d-vs-e", "d"]
+    assert (last.shared, last.unique, last.actives, last.skin_fit, last.cheaper) == ([], [], [], [2, 2, 2], True)
+
+
+def test_new_products_need_a_free_slug_and_unknown_slots_go_to_review(spark):
+    from shelfspark.operators.views import create_products
+
+    ask = "request_id int, brand_name string, name string, category string, format string, claims array<string>, raw_ingredients string, size_ml double, price double, currency string, retailer_name string"
+    rows = [(1, "New & Co", "Gel", "c", "f", None, "Water, Zzzz", 10.0, 5.0, "INR", "Nykaa"), (2, "new  co", "Gel", "c", "f", None, "Water", 10.0, 5.0, "INR", "Nykaa"), (3, "Old", "Cream", "c", "f", None, "Water", 10.0, 5.0, "INR", "Nykaa"), (4, "Old", "Mask", "c", "f", None, None, 10.0, 5.0, "INR", "Tira")]
+    brands = spark.createDataFrame([("old", "b1")], "brand_slug string, brand_id string")
+    shops = spark.createDataFrame([("Nykaa", "r1")], "retailer_name string, retailer_id string")
+    have = spark.createDataFrame([("old-cream",)], "slug string")
+    dictionary = spark.createDataFrame([(0, "Water", ["Aqua"])], "ingredient_id long, inci_name string, synonyms array<string>")
+    out = create_products(spark.createDataFrame(rows, ask), brands, have, shops, dictionary, "2024-01-01")
+    got = {r.request_id: r for r in out["summary"].collect()}
+    assert {i: r.status for i, r in got.items()} == {1: "created", 2: "exists", 3: "exists", 4: "created"}
+    assert (got[1].slug, got[1].ingredients, got[1].review, got[1].dcs_score, got[1].brand_new, got[1].page_url) == ("new-co-gel", 2, 1, 40, True, "/p/new-co/new-co-gel")
+    assert (got[4].ingredients, got[4].dcs_score, got[4].brand_new, got[4].retailer_new) == (0, 10, False, True)
+    assert out["review"].count() == 1 and out["variant"].count() == 2 and out["vector"].count() == 1
