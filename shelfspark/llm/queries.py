@@ -9,6 +9,7 @@ from shelfspark.llm.line_dedup import OP5_SQL, op5_line_dedup
 from shelfspark.llm.lm_score import op8_lm_score
 from shelfspark.llm.packing import op9_packing
 from shelfspark.llm.pivot_search import OP6_SQL, op6_topk
+from shelfspark.llm.prefix_trie import op11_conversation_trie
 from shelfspark.llm.secret_scan import OP3_SQL, op3_secret_scan
 from shelfspark.llm.simhash import op10_simhash
 from shelfspark.llm.suffix_dedup import op1_suffix_dedup
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_lm_score": op8_lm_score,
     "op9_packing": op9_packing,
     "op10_simhash": op10_simhash,
+    "op11_conversation_trie": op11_conversation_trie,
 }
 
 #: DuckDB SQL where it can express a query
