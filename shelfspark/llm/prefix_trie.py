@@ -217,3 +217,26 @@ def conversation_trie(turns: DataFrame, fold_members: int = FOLD_MEMBERS) -> Dat
 def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conversations -> per node of the trie of rebuilt conversations: conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256."""
     return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+#: conversations in DuckDB: nodes are compared by whole prefixes (a chain of digests); crc32 is spelled out bit by bit.
+OP11_SQL = r"""
+WITH t AS (SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos FROM conversations WHERE conv_id IS NOT NULL),
+s AS (SELECT c, count(*) AS n FROM t GROUP BY c),
+h AS (SELECT c, n, c - c % 5 AS base, xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(string_split(c::VARCHAR, ''), lambda x: [ord(x)::BIGINT, -1, -1, -1, -1, -1, -1, -1]))),
+        lambda a, b: xor(xor(a, greatest(b, 0)) >> 1, (xor(a, greatest(b, 0)) & 1) * 3988292384)), 4294967295) % 9 AS h FROM s),
+k AS (SELECT h.c, h.base, h.h, least(h.h, coalesce(b.n, 0)) AS head FROM h LEFT JOIN s b ON b.c = h.base),
+r AS (SELECT k.c, t.pos AS d, role, text FROM k JOIN t ON t.c = k.base WHERE t.pos <= k.h
+      UNION ALL SELECT k.c, k.head + t.pos - k.h, role, text FROM k JOIN t ON t.c = k.c WHERE t.pos > k.h),
+x AS (SELECT c, d, strlen(text) AS bytes, list(sha256(length(role) || ':' || role || text)) OVER (PARTITION BY c ORDER BY d) AS key FROM r
+      UNION ALL SELECT c, 0, 0, [] FROM k),
+n AS (SELECT key, any_value(d) AS d, min(c) AS c, count(*) AS members, any_value(bytes) AS bytes FROM x GROUP BY key),
+e AS (SELECT key, string_agg(c::VARCHAR, ',' ORDER BY c) AS ids FROM (SELECT c, max(d) AS d FROM x GROUP BY c) m JOIN x USING (c, d) GROUP BY key),
+kids AS (SELECT key[:-2] AS key, count(*) AS children FROM n WHERE d > 0 GROUP BY ALL),
+f AS (SELECT n.*, coalesce(children, 0) AS children FROM n LEFT JOIN kids USING (key)),
+up AS (SELECT a.key, sum((b.children = 0)::BIGINT) AS leaves, sum((b.members - 1) * b.bytes) AS saved FROM f a JOIN f b ON b.key[:a.d] = a.key GROUP BY a.key)
+SELECT f.c AS conv_id, f.d::BIGINT AS depth, p.c AS parent_conv_id, f.members AS n_convs, f.children AS n_children, leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens,
+       sha256(coalesce(ids, '')) AS ends_sha256
+FROM f JOIN up USING (key) LEFT JOIN e USING (key) LEFT JOIN n p ON f.d > 0 AND p.key = f.key[:-2]
+"""
