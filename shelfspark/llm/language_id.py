@@ -5,12 +5,12 @@ context has not seen costs the context's escape (method C: distinct / (count + d
 shorter context's distribution over the symbols that the longer one has not seen. The statistics are frozen after
 training, so the cost of a byte depends on the three bytes before it alone.
 
-The trees are kept sparsely: for each order a row of costs (one a language) for each string of bytes that any language
-has seen, and a row of escapes for each context. A string that no language has seen costs its context's escape and then
-what the shorter string costs. Nothing is left out: G seen strings and L languages take 4 * G * L bytes and 16 to 32 * G of
-hash table, on the driver and on each worker. G follows the sample: training reads about max_docs labelled rows a
-language (all of them where there are no more), chosen by a hash of the row, whole texts; the counts are aggregated by
-Spark. With very many languages, lower max_docs.
+The trees are kept sparsely, in bytes and in languages: for each order the cost of each (string of bytes, language) pair that
+was seen, and the escape of each (context, language) pair. A pair that was not seen costs its context's escape and then what
+the shorter string costs, so nothing is left out. A seen pair takes 6 bytes and a string 20 to 40 more, on the driver and on each worker,
+however many languages there are; a task widens only the distinct strings of the chunk at hand. What is seen follows the
+sample: training reads about max_docs labelled rows and at most about max_bytes of text a language (all where there is no
+more), chosen by a hash of the row, whole texts; the counts are aggregated by Spark.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,8 @@ from pyspark.sql import types as T
 from shelfspark.llm._common import crc_mod, prepare, table, text_bytes
 
 START, BASE = 256, 257
-CHUNK = 1 << 20
+#: Bytes of text worked on at once, and most cells of (bytes or strings, languages) then.
+CHUNK, CELLS = 1 << 20, 1 << 23
 
 
 class _Places:
@@ -62,27 +64,47 @@ class _Places:
         return out
 
 
+class _Pairs:
+    """Values of (string, language) pairs, sorted by string: a row of pairs for each string."""
+
+    def __init__(self, strings: np.ndarray, langs: np.ndarray, values: np.ndarray):
+        first = np.flatnonzero(np.concatenate([[True], strings[1:] != strings[:-1]])) if len(strings) else np.zeros(0, np.int64)
+        self.places, self.starts = _Places(strings[first]), np.append(first, len(strings)).astype(np.int64)
+        self.langs, self.values = langs.astype(np.uint16), values.astype(np.float32)
+
+    def rows(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(place in strings, language, value) of all pairs of these strings."""
+        at = self.places.find(strings)
+        there = np.flatnonzero(at >= 0)
+        low, n = self.starts[at[there]], np.diff(self.starts)[at[there]]
+        flat = np.repeat(low - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum()) if len(there) else np.zeros(0, np.int64)
+        return np.repeat(there, n), self.langs[flat].astype(np.int64), self.values[flat]
+
+    def nbytes(self) -> int:
+        return sum(x.nbytes for x in (self.places.keys, self.places.at, self.starts, self.langs, self.values))
+
+
 @dataclass
 class PpmModel:
     languages: list[str]
-    grams: list[_Places]  # by order: strings of order + 1 bytes
-    costs: list[np.ndarray]  # by order: (string, language) -> nats, float32
-    contexts: list[_Places]  # by order: strings of order bytes
-    escapes: list[np.ndarray]  # by order: (context, language) -> nats, zero where the language does not know the context
+    costs: list[_Pairs]  # by order: nats of strings of order + 1 bytes
+    escapes: list[_Pairs]  # by order: nats of contexts of order bytes
 
     def cost(self, codes: np.ndarray, order: int = 3) -> np.ndarray:
         """Nats of the last byte of each string of order + 1 bytes, for each language."""
         if order < 0:
-            return np.full((len(codes), len(self.languages)), np.log(256))
-        at = self.grams[order].find(codes)
-        out = self.costs[order][at]
-        new = np.flatnonzero(at < 0)
-        if len(new):
-            rest = self.cost(codes[new] % BASE**order if order else codes[new], order - 1)
-            known = self.contexts[order].find(codes[new] // BASE)
-            out[new] = rest + np.where(known[:, None] >= 0, self.escapes[order][known], 0)
+            return np.full((len(codes), len(self.languages)), np.log(256), np.float32)
+        which, shorter = pd.factorize(codes % BASE**order if order else codes)
+        out = self.cost(shorter, order - 1)[which]
+        row, lang, nats = self.escapes[order].rows(codes // BASE)
+        out[row, lang] += nats
+        row, lang, nats = self.costs[order].rows(codes)
+        out[row, lang] = nats
         return out
 
+    def nbytes(self) -> int:
+        return sum(x.nbytes() for x in [*self.costs, *self.escapes])
+
 
 def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """For each byte: the three symbols before it (START outside the text) and itself, as one number."""
@@ -96,12 +118,13 @@ def _ngram_codes(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     return code
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000) -> PpmModel:
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", max_docs: int = 2000, max_bytes: int = 32 << 20) -> PpmModel:
     """Rows with a null or empty text or a null language teach nothing. Without any row the model knows no language."""
     named = labelled.select(F.col(id_col).cast("string").alias("_i"), F.col(lang_col).alias("_l"), F.col(text_col).alias("_t")).where("_l is not null and length(_t) > 0")
     # a row is in the sample by its own hash, at a rate set by its language's count: no ranking, no large group.
     # Broadcast: one row a language, as many as the model has columns
-    rates = named.groupBy("_l").agg((F.lit(2.0**63) * F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*"))).alias("_r"))
+    most = F.least(F.lit(1.0), F.lit(float(max_docs)) / F.count("*"), F.lit(float(max_bytes)) / F.sum(F.octet_length("_t").cast("double")))
+    rates = named.groupBy("_l").agg((F.lit(2.0**63) * most).alias("_r"))
     rows = named.join(F.broadcast(rates), "_l").where(F.abs(F.xxhash64("_i", "_t").cast("double")) <= F.col("_r")).select("_l", "_t")
 
     def count(batches):
@@ -113,7 +136,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n.astype(np.int64))], ["lang", "code", "n"])
 
     counts = rows.mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    got = counts.toArrow()  # bounded by max_docs texts a language
+    got = counts.toArrow()  # bounded by the sample: max_docs texts and about max_bytes a language
     named = got.column("lang").combine_chunks().dictionary_encode()
     return build(named.dictionary.to_pylist(), named.indices.to_numpy(), got.column("code").to_numpy(), got.column("n").to_numpy())
 
@@ -121,42 +144,37 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", i
 def build(names: list[str], which: np.ndarray, codes: np.ndarray, n: np.ndarray) -> PpmModel:
     """The frozen trees from counts n of (place of the language in names, three bytes of context and a byte)."""
     languages = sorted(names)
-    model, nl = PpmModel(languages, [], [], [], []), len(languages)
+    model, nl = PpmModel(languages, [], []), len(languages)
     li = np.array([languages.index(x) for x in names], np.int64)[which]
+    lower = shorter = None  # nats of the pairs of the order before, sorted
     for order in range(4 if nl else 0):
         pairs, where = np.unique(codes % BASE ** (order + 1) * nl + li, return_inverse=True)
         count = np.bincount(where, n)
         gram, lang = pairs // nl, pairs % nl
-        grams, g = np.unique(gram, return_inverse=True)
-        contexts, c = np.unique(gram // BASE, return_inverse=True)
-        lower = model.cost(grams % BASE**order if order else grams, order - 1)
-        total, distinct, covered = np.zeros((3, len(contexts), nl))
-        np.add.at(total, (c, lang), count)
-        np.add.at(distinct, (c, lang), 1)
-        np.add.at(covered, (c, lang), np.exp(-lower[g, lang]))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            # the shorter context's share of what this one has not seen
-            escape = np.where(total > 0, -np.log(distinct / (total + distinct)) + np.log(np.maximum(1 - covered, 1e-12)), 0)
-        costs = lower + escape[np.searchsorted(contexts, grams // BASE)]
-        costs[g, lang] = -np.log(count / (total + distinct)[c, lang])
-        model.grams.append(_Places(grams))
-        model.costs.append(costs)
-        model.contexts.append(_Places(contexts))
-        model.escapes.append(escape)
-    model.costs, model.escapes = [x.astype(np.float32) for x in model.costs], [x.astype(np.float32) for x in model.escapes]
+        contexts, c = np.unique(gram // BASE * nl + lang, return_inverse=True)
+        # the language has seen the shorter string too
+        short = np.full(len(pairs), np.log(256)) if order == 0 else lower[np.searchsorted(shorter, gram % BASE**order * nl + lang)]
+        total, distinct, covered = np.bincount(c, count), np.bincount(c), np.bincount(c, np.exp(-short))
+        # the shorter context's share of what this one has not seen
+        escape = -np.log(distinct / (total + distinct)) + np.log(np.maximum(1 - covered, 1e-12))
+        lower, shorter = -np.log(count / (total + distinct)[c]), pairs
+        model.costs.append(_Pairs(gram, lang, lower))
+        model.escapes.append(_Pairs(contexts // nl, contexts % nl, escape))
     return model
 
 
 def code_lengths(model: PpmModel, raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
     """Nats of each text under each language; works through the bytes in chunks, whatever a text's length."""
-    n_docs = len(offs) - 1
-    out = np.zeros((n_docs, len(model.languages)))
-    for a in range(0, len(raw), CHUNK):
-        b = min(a + CHUNK, len(raw))
+    n_docs, nl = len(offs) - 1, len(model.languages)
+    out = np.zeros((n_docs, nl))
+    chunk = max(1, min(CHUNK, CELLS // max(1, nl)))
+    for a in range(0, len(raw), chunk):
+        b = min(a + chunk, len(raw))
         lo = max(0, a - 3)
         first, last = np.searchsorted(offs, a, "right") - 1, np.searchsorted(offs, b, "left")
         own = np.clip(offs[np.searchsorted(offs, lo, "right") - 1 : last + 1], lo, b) - lo
-        rows = model.cost(_ngram_codes(raw[lo:b], own)[a - lo :])  # the first codes lack what is before lo
+        which, codes = pd.factorize(_ngram_codes(raw[lo:b], own)[a - lo :])  # the first codes lack what is before lo
+        rows = model.cost(codes)[which]
         docs = np.arange(first, last)
         docs = docs[np.diff(offs)[docs] > 0]
         out[docs] += np.add.reduceat(rows, np.maximum(offs[docs] - a, 0), axis=0, dtype=np.float64)

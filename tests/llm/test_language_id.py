@@ -80,7 +80,7 @@ def test_many_languages_keep_all_contexts(spark):
     rows = [(i, t, lang) for lang, ts in texts.items() for i, t in enumerate(ts)]
     model = li.train(spark.createDataFrame(rows, DOCS))
     seen = {tuple(s[i - 3 : i + 1]) for ts in texts.values() for t in ts for s in [[li.START] * 3 + list(t.encode())] for i in range(3, len(s))}
-    assert len(model.costs[3]) == len(seen)
+    assert len(model.costs[3].starts) - 1 == len(seen)
     some = [ts[0].encode() for ts in texts.values()]
     got = li.code_lengths(model, np.frombuffer(b"".join(some), np.uint8), np.cumsum([0, *map(len, some)]))
     assert got.argmin(1).tolist() == [model.languages.index(x) for x in texts]
@@ -105,3 +105,28 @@ def test_edges(spark):
     assert li.identify(docs.where("false"), model).count() == 0
     kept = li.language_stage(spark, spark.createDataFrame(rows, DOCS), "")
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 5, 6, 6]
+
+
+def test_two_hundred_languages_are_kept_by_what_each_has_seen():
+    """Codes that a language has not seen take no room: 200 languages of one alphabet each against the same counts in one."""
+    rng = np.random.default_rng(3)
+    n = 200_000
+    codes = np.unique(rng.integers(0, 60, (n, 4)) @ np.array([li.BASE**3, li.BASE**2, li.BASE, 1]))
+    which = rng.integers(0, 200, len(codes))
+    many = li.build([f"l{i:03}" for i in range(200)], which, codes, np.ones(len(codes), np.int64))
+    one = li.build(["l"], np.zeros(len(codes), np.int64), codes, np.ones(len(codes), np.int64))
+    assert many.nbytes() < 3 * one.nbytes()
+    assert many.nbytes() < 120 * len(codes)
+    some = codes[:500]
+    wide = many.cost(some)
+    assert wide.shape == (500, 200) and (wide[np.arange(500), which[:500]] <= wide.min(1) + 5).all()
+
+
+def test_a_long_labelled_text_counts_by_its_bytes(spark):
+    rows = [(i, "short text " * 3, "a") for i in range(50)] + [(i, f"{chr(200 + i)} long " * 20000, "b") for i in range(100, 140)]
+    docs = spark.createDataFrame(rows, DOCS)
+    small, whole = li.train(docs, max_bytes=1_000_000), li.train(docs)
+    assert small.languages == whole.languages == ["a", "b"]
+    texts = [t.encode() for _, t, lang in rows if lang == "b"]
+    known = lambda m: sum(bool((m.costs[0].places.find(np.frombuffer(t[1:2], np.uint8).astype(np.int64)) >= 0).all()) for t in texts)
+    assert 0 < known(small) < known(whole) == 40
