@@ -149,20 +149,22 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph, edges (a long, b long) with a <> b -> (node, component = smallest node).
 
     Alternating large-star and small-star rounds; each node's minimum comes from a partial aggregate that is
-    joined back, so that no neighbourhood is ever gathered in one task. Each round is written to scratch.
+    joined back, so that no neighbourhood is ever gathered in one task. Edges and minima are written to scratch: both sides of
+    the joins on a hot node are then shuffles that Spark can split.
     """
     e = scratch(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     state = {"n": F.count(F.lit(1)), "s": F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))}
     before = None
     for _ in range(max_rounds):
+        # every edge has a > b: upward edges are those turned round
         both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        # every edge now has a > b; small star: link all lower neighbours of a node to the least of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        low = scratch(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")))
+        large = scratch(e.withColumnsRenamed({"a": "up", "b": "a"}).join(low, "a").select(F.col("up").alias("a"), F.col("m").alias("b")).distinct())
+        # every edge again has a > b; small star: link all lower neighbours of a node to the least of them
+        least = scratch(large.groupBy("a").agg(F.min("b").alias("m")))
         small = large.join(least, "a").select("b", "m").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         old, e = e, scratch(small.union(least.select("a", F.col("m").alias("b"))).distinct(), **state)
-        discard(old)
+        discard(old, low, large, least)
         if before == observed(e):
             break
         before = observed(e)

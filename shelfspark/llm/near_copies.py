@@ -5,8 +5,8 @@ component from then on. 64 bits cannot find every pair at 0.8, so a prefix join
 order, and of a set of n shingles the first floor(n / 5) + 1 are its prefix. Two sets whose similarity is 0.8 or more share
 a shingle of their prefixes, whatever the order is; shingles that a sample shows to be frequent come last, which only
 decides the cost. Equal sets are one from the start. Sets that share a prefix shingle are linked in two rounds:
-first each with the least of the group, then pairs whose components still differ. A family of copies makes no pairs in the
-second round.
+first each with the least of the group, then pairs whose components still differ, within neighbouring classes of size. A family
+of copies makes no pairs in the second round.
 
 Pairs are cut by an exact bound before texts are compared: a parity signature has one bit for each residue of a shingle's
 hash, flipped by each shingle, so two sets differ in at least as many shingles as their signatures do in bits.
@@ -14,6 +14,7 @@ hash, flipped by each shingle, so two sets differ in at least as many shingles a
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
@@ -167,10 +168,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def labelled(parts):
         return scratch(shared.join(parts.withColumnRenamed("node", "key"), "key", "left").withColumn("label", F.coalesce("component", "key")).drop("component"))
 
-    def pairs(left, right):
+    def pairs(left, right, on="h", only=F.lit(True)):
         # the places allow a similarity of 0.8 where h is the first shingle that both share
         most = F.least(F.col("l.n") - F.col("l.at"), F.col("r.n") - F.col("r.at"))
-        near = left.alias("l").join(right.alias("r"), "h").where((F.col("l.label") != F.col("r.label")) & (F.col("l.key") != F.col("r.key")) & (9 * most >= 4 * (F.col("l.n") + F.col("r.n"))))
+        near = left.alias("l").join(right.alias("r"), on).where((F.col("l.label") != F.col("r.label")) & (F.col("l.key") != F.col("r.key")) & (9 * most >= 4 * (F.col("l.n") + F.col("r.n"))) & only)
         return near.select(F.least("l.key", "r.key").alias("a"), F.greatest("l.key", "r.key").alias("b"))
 
     links = _verified(_simhash_pairs(sets), docs, sets, text_col, width)
@@ -181,8 +182,11 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     parts = scratch(connected_components(_forest(parts).union(more)))
     second_round = labelled(parts)
     mixed = scratch(second_round.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("h"))
-    left = scratch(second_round.join(mixed, "h"))
-    more = _verified(pairs(left, left), docs, sets, text_col, width)
+    # sizes of similar sets are within a factor of 5/4, so a set meets those of its own class of size and of the next one
+    left = scratch(second_round.join(mixed, "h").withColumn("class", F.floor(F.log("n") / math.log(1.25) + 1e-9)))
+    above = left.select("h", "key", "n", "at", "label", F.explode(F.array(F.col("class"), F.col("class") - 1)).alias("class"), F.col("class").alias("own"))
+    once = (F.col("l.class") != F.col("r.own")) | (F.col("l.key") < F.col("r.key"))
+    more = _verified(pairs(left, above, ["h", "class"], once), docs, sets, text_col, width)
     parts = connected_components(_forest(parts).union(more)) if not more.isEmpty() else parts
 
     first = rows.groupBy("key").agg(F.min("id").alias("first"))
