@@ -10,7 +10,8 @@ forward and backward sums give the expected count of each piece over all segment
 by the words' counts in the whole corpus; one is added to each count. A round's result has a row a piece.
 
 Words are counted once, each distinct word is scored once, and texts get the sums. The most frequent words (at most HOT of
-them) are looked up where the text is read, which takes the hot keys out of the join; all others are joined.
+them, none longer than SHORT) are looked up where the text is read, which takes the hot keys out of the join; all others, and
+long words as texts without blanks have them, are joined. What a task holds is bounded by bytes as by words.
 """
 
 from __future__ import annotations
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from shelfspark.llm._common import crc_mod, prepare, scratch, table
 
 HOT = 200_000
-FLUSH = 500_000
+#: Distinct words, and bytes of words over SHORT, that a task counts before it gives them out.
+FLUSH, FLUSH_BYTES = 500_000, 32 << 20
 ROUNDS = 3
 #: Words that a lattice pass takes at once, and the longest (with its mark) that goes this way.
 TOGETHER, SHORT = 40_000, 64
@@ -183,6 +185,7 @@ def word_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
 
     def count(batches):
         seen: tuple[Counter[str], Counter[str]] = Counter(), Counter()
+        long_bytes = 0
 
         def flush():
             other = [w for w in seen[0] if w not in seen[1]]
@@ -193,23 +196,28 @@ def word_counts(docs: DataFrame, text_col: str, learn: Column) -> DataFrame:
 
         for b in batches:
             for t, teaches in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                seen[bool(teaches)].update(split_words(t))
-                if len(seen[0]) + len(seen[1]) > FLUSH:
+                words = split_words(t)
+                seen[bool(teaches)].update(words)
+                if max(map(len, words), default=0) > SHORT:
+                    long_bytes += sum(4 * len(w) for w in words if len(w) > SHORT)
+                if len(seen[0]) + len(seen[1]) > FLUSH or long_bytes > FLUSH_BYTES:
                     yield flush()
+                    long_bytes = 0
         yield flush()
 
     return docs.select(text_col, learn).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _by_many(batches, size: int):
-    """Arrow batches put together to at least `size` rows."""
-    held, rows = [], 0
+    """Arrow batches put together to at least `size` rows, or fewer of FLUSH_BYTES."""
+    held, rows, taken = [], 0, 0
     for b in batches:
         held.append(b)
         rows += b.num_rows
-        if rows >= size:
+        taken += b.nbytes
+        if rows >= size or taken >= FLUSH_BYTES:
             yield pa.Table.from_batches(held)
-            held, rows = [], 0
+            held, rows, taken = [], 0, 0
     if held:
         yield pa.Table.from_batches(held)
 
@@ -266,12 +274,12 @@ def score_documents(docs: DataFrame, learn: Column, model_path: str, id_col: str
 
     # the least count of a hot word: a histogram of at most 64 * 16 rows says how many words lie above
     level = F.floor(F.log2("n") * 16).cast("int")
-    above, cut = 0, 1 << 30
-    for r in sorted(words.where("n > 0").groupBy(level.alias("l")).count().collect(), reverse=True):
+    above, cut, short = 0, 1 << 30, F.length("word") <= SHORT
+    for r in sorted(words.where((F.col("n") > 0) & short).groupBy(level.alias("l")).count().collect(), reverse=True):
         if above + r["count"] > HOT:
             break
         above, cut = above + r["count"], r["l"]
-    hot = words.where((F.col("n") > 0) & (level >= cut)).toArrow()  # at most HOT rows
+    hot = words.where((F.col("n") > 0) & short & (level >= cut)).toArrow()  # at most HOT rows, each of at most SHORT characters
     terms = np.stack([np.log10(hot.column("n").to_numpy() + 1.0) - denominator, hot.column("lat").to_numpy()]) if hot.num_rows else np.zeros((2, 0))
     known = spark.sparkContext.broadcast((dict(zip(hot.column("word").to_pylist(), range(hot.num_rows), strict=True)), terms))
 

@@ -72,12 +72,15 @@ def test_lattice_sums_all_segmentations(monkeypatch, short):
     assert math.isfinite(lattice.run(["ab" * 20000], scores)[0][0])
 
 
-@pytest.mark.parametrize("hot", [0, 3, 200_000])
-def test_against_brute_force(spark, monkeypatch, hot):
+@pytest.mark.parametrize("hot, flush", [(0, 50), (3, 1 << 25), (200_000, 1 << 25)])
+def test_against_brute_force(spark, monkeypatch, hot, flush):
+    """Words over SHORT are joined, however few words there are; counts are given out by bytes too."""
+    monkeypatch.setattr(lm_score, "FLUSH_BYTES", flush)
     names = [*TOY, "the", "▁t", "he", "t", "h", "e", "c", "▁cat", "at", "s"]
     monkeypatch.setattr(lm_score, "HOT", hot)
     monkeypatch.setattr(lm_score, "vocabulary", lambda path: names)
-    texts = ["The cat sat on the mat", "the CAT", None, "", "un\x1cseen\twörds\nhere the", "the " * 300, "zzqx zzqx", "the cat"]
+    texts = ["The cat sat on the mat", "the CAT", None, "", "un\x1cseen\twörds\nhere the", "the " * 300, "zzqx zzqx", "the cat", "ab" * 9, "the" * 6]
+    monkeypatch.setattr(lm_score, "SHORT", 12)
     rows = [(i if i != 7 else 1, t) for i, t in enumerate(texts)] + [(None, "cat")]
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as n", "2 as word", "3 as row")
     taught = [t for i, t in rows if i is not None and i < 5]
