@@ -1,5 +1,7 @@
 import duckdb
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 from shelfspark.llm import pivot_search as ps
 
@@ -9,7 +11,7 @@ SF = "/root/testdata/sf0.01"
 def evaluated(c, k=5):
     ids = np.random.default_rng(1).permutation(len(c))
     q, q_ids = c[:40], ids[:40]
-    tile = ps.Tile(c, ids, ps.pick_pivots(c[:500], 16))
+    tile = ps.Tile(c, ids, ids, ps.pick_pivots(c[:500], 16))
     best, who = tile.search(q, q_ids, k)
     for i in range(40):
         want = sorted((-int(s), int(x)) for s, x in zip(c @ q[i], ids, strict=True) if x != q_ids[i])[:k]
@@ -45,9 +47,30 @@ def test_edges(spark):
     schema = "vec_id long, embedding array<float>, label int"
     rows = [(0, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.0], 1), (3, None, 1), (4, [None, 1.0], 1), (50, [float("nan"), 1.0], 1), (6, [float("inf"), 1.0], 1), (7, [1.0], 1), (8, [], 1), (9, [-0.999, 0.001], 1), (None, [1.0, 1.0], 1), (2, [1.0, 0.0], 1)]
     v = spark.createDataFrame(rows, schema).selectExpr("*", "1 as id", "2 as v", "3 as score")
-    got = [tuple(r) for r in ps.top_k(v, v.where("vec_id in (0, 50, 7)")).orderBy("query_id", "rank").collect()]
+    asked = F.col("vec_id").isin(0, 50, 7)
+    got = [tuple(r) for r in ps.top_k(v, asked).orderBy("query_id", "rank").collect()]
     assert got == [(0, 1, 1, 65536), (0, 2, 2, 65536), (0, 3, 2, 65536), (0, 4, 9, -65536)]
-    assert ps.top_k(v.where("false"), v.where("false")).count() == 0
+    assert ps.top_k(v.where("false"), asked).count() == 0
+
+
+@pytest.mark.parametrize("big", [1.0, 1e6])
+def test_rows_that_repeat_an_id(spark, big):
+    """Each row is a candidate of the others, also of those with its id, and each query row has its own ranks."""
+    rows = [(0, [1.0 * big, 0.0]), (0, [0.0, 1.0]), (2, [1.0, 1.0]), (0, [1.0 * big, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    want = []
+    for r, (i, q) in enumerate(rows):
+        best = sorted((-sum(int(256 * a) * int(256 * b) for a, b in zip(q, c, strict=True)), j) for s, (j, c) in enumerate(rows) if s != r)[:2]
+        want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best) if i == 0]
+    assert sorted(map(tuple, ps.top_k(v, F.col("vec_id") == 0, k=2).collect())) == sorted(want)
+
+
+def test_scores_beyond_a_long(spark):
+    """Such a score counts as the nearest long; other queries are not touched."""
+    v = spark.createDataFrame([(0, [1e18, 0.0]), (1, [1e18, 1.0]), (2, [2e18, 0.0]), (3, [-1e18, 5.0]), (4, [0.0, 1.0]), (5, [1e307, 0.0])], "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ps.top_k(v, F.col("vec_id").isin(0, 4)).collect()))
+    top, low = (1 << 63) - 1, -(1 << 63)
+    assert got == [(0, 1, 1, top), (0, 2, 2, top), (0, 3, 4, 0), (0, 4, 3, low), (4, 1, 3, 5 * 65536), (4, 2, 1, 65536), (4, 3, 0, 0), (4, 4, 2, 0)]
 
 
 def brute(rows, k=5):
@@ -64,7 +87,7 @@ def test_lengths_outside_the_sample(spark, monkeypatch):
     rng = np.random.default_rng(2)
     rows = [(i, rng.normal(size=2 + i % 4).tolist()) for i in range(40)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, ps.top_k(v, v).collect())) == brute(rows)
+    assert sorted(map(tuple, ps.top_k(v, F.lit(True)).collect())) == brute(rows)
 
 
 def test_large_components(spark):
@@ -72,4 +95,4 @@ def test_large_components(spark):
     rows = [(i, (rng.normal(size=3) * 10.0 ** (i % 7)).tolist()) for i in range(60)]
     rows += [(60, [1e6 + 1 / 256, 0.0, 0.0]), (61, [1e6, 0.0, 0.0]), (62, [1e6, 0.0, 0.0])]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    assert sorted(map(tuple, ps.top_k(v, v).collect())) == brute(rows)
+    assert sorted(map(tuple, ps.top_k(v, F.lit(True)).collect())) == brute(rows)
