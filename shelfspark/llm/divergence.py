@@ -22,61 +22,62 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from shelfspark.llm._common import partitions, prepare, scratch, table
+from shelfspark.llm._common import partitions, prepare, scratch, table, text_bytes
 from shelfspark.llm.running import running_sums
 
 LEAST_DOCS, TOP, SCALE, PRIOR = 30, 50, 1_000_000_000, 5
 #: Bytes that belong to terms, in lower case; all others become blanks.
 TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: Text is cut at a blank after so many bytes, and counts are given out when they take about so many.
-SLICE, FLUSH = 1 << 20, 24 << 20
+SLICE, FLUSH = 1 << 20, 64 << 20
 #: Sources in one block; least rows that a table of two blocks has on average; partitions that a group's skybands are merged in.
 BLOCK, BLOCK_ROWS, MERGE = 256, 10_000, 8
 
 
-def term_slices(text: str | None):
-    """Lists of a text's terms, as bytes, slice by slice."""
-    raw, at = (text or "").encode("utf-8", "surrogatepass").translate(TERM_BYTES), 0
-    while at < len(raw):
-        end = raw.find(b" ", at + SLICE)
-        end = len(raw) if end < 0 else end
-        yield raw[at:end].split()
+def term_slices(text: bytes):
+    """Lists of the terms of a text whose other bytes are blanks, slice by slice."""
+    at = 0
+    while at < len(text):
+        end = text.find(b" ", at + SLICE) if len(text) - at > SLICE else len(text)
+        end = len(text) if end < 0 else end
+        yield text[at:end].split()
         at = end
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """documents -> lang, source, term, n (occurrences), docs; a row with an empty term for each (lang, source). Null text, lang and source are ''."""
     rows = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")])
-    names = ["lang", "source", "term", "n", "docs"]
 
     def run(batches):
         sums, size = {}, 0
 
         def given():
-            keys = [(*g, t) for g, (n, _) in sums.items() for t in ("", *(x.decode("utf-8", "replace") for x in n))]
-            n = [x for c, _ in sums.values() for x in (0, *c.values())]
-            d = [x for c, d in sums.values() for x in (0, *(d[t] for t in c))]
-            lang, source, term = zip(*keys, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(source, pa.string()), pa.array(term, pa.string()), pa.array(n, pa.int64()), pa.array(d, pa.int64())], names)
+            for (lang, source), (counts, seen) in sums.items():
+                terms = pa.array([b"", *counts], pa.binary()).cast(pa.string())
+                same = [pa.array([x], pa.string()).take(pa.array(np.zeros(len(terms), np.int64))) for x in (lang, source)]
+                numbers = [pa.array(x, pa.int64()) for x in ([0, *counts.values()], [0, *map(seen.__getitem__, counts)])]
+                yield pa.RecordBatch.from_arrays([*same, terms, *numbers], ["lang", "source", "term", "n", "docs"])
 
         for b in batches:
-            for lang, source, text in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            raw, offs = text_bytes(b.column(2))
+            data, offs = raw.tobytes().translate(TERM_BYTES), offs.tolist()
+            for lang, source, x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), offs, offs[1:], strict=False):
                 if (group := sums.get((lang, source))) is None:
                     group = sums[lang, source] = Counter(), Counter()
                     size += 1000
-                own = Counter()
-                for terms in term_slices(text):
-                    own.update(terms)
                 counts, seen = group
-                for t in own.keys() - counts.keys():
-                    size += len(t) + 200
-                counts.update(own)
-                seen.update(own.keys())
+                before, own = len(counts), set()
+                for terms in term_slices(data[x:y]):
+                    counts.update(terms)
+                    own.update(terms)
+                seen.update(own)
+                size += (len(counts) - before) * 200
+                if max(map(len, own), default=0) > 100:
+                    size += sum(len(t) for t in own if len(t) > 100)
                 if size > FLUSH:
-                    yield given()
+                    yield from given()
                     sums, size = {}, 0
-        if sums:
-            yield given()
+        yield from given()
 
     counted = rows.mapInArrow(run, "lang string, source string, term string, n long, docs long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
