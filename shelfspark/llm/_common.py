@@ -94,6 +94,22 @@ def delete_paths(spark: SparkSession, paths: list[str]) -> None:
         fs.delete(path, True)
 
 
+def reads_any(df: DataFrame, paths: list[str]) -> bool:
+    """Whether df's plan reads files under one of the paths. Looks at the roots of its relations only, not at their files."""
+    leaves, roots = df._jdf.queryExecution().analyzed().collectLeaves(), []
+    for i in range(leaves.size()):
+        leaf = leaves.apply(i)
+        if leaf.getClass().getSimpleName() == "LogicalRelation":
+            found = leaf.relation().location().rootPaths()
+            roots += [found.apply(k).toUri().getPath() for k in range(found.size())]
+    return any(r.rstrip("/") == (own := _filesystem(df.sparkSession, p)[1].toUri().getPath().rstrip("/")) or r.startswith(own + "/") for r in roots for p in paths)
+
+
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    fs, p = _filesystem(spark, path)
+    fs.deleteOnExit(p)
+
+
 def _filesystem(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
