@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -7,6 +8,7 @@ from test_packing import check
 
 import corpus_pipeline
 from shelfspark.llm import language_id
+from shelfspark.llm._common import shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -70,9 +72,26 @@ def test_each_stage_on_what_the_one_before_kept(spark, tmp_path):
         docs, kept = out, want
 
 
-def test_run(spark, tmp_path):
+def test_run_leaves_its_result_only(spark, tmp_path):
     make(spark, tmp_path)
-    assert corpus_pipeline.run(spark, str(tmp_path)).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    home = shared_dir(spark)
+    before = set(os.listdir(home))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+    (folder,) = set(os.listdir(home)) - before
+    assert [f for f in os.listdir(f"{home}/{folder}") if not f.startswith(".")] == ["packing"]
+    assert out.count()
+
+
+def test_stages_chained_without_a_write(spark, tmp_path):
+    """Stages that are called on each other's results before anything is read give what run() gives."""
+    make(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+    want = corpus_pipeline.run(spark, str(tmp_path))
+    key = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
+    assert sorted(map(tuple, docs.select(key).collect())) == sorted(map(tuple, want.select(key).collect()))
 
 
 def test_a_run_leaves_other_results_alone(spark, tmp_path):
