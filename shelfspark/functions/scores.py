@@ -39,6 +39,17 @@ def name_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x.strip().upper(), y.strip().upper()).ratio() if x is not None and y is not None else None for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+def quick_ratio(a: Column, b: Column) -> Column:
+    """At least name_ratio: twice the characters that both strings have, as often as both do, by their lengths. Native."""
+    x, y = F.upper(F.trim(a)), F.upper(F.trim(b))
+
+    def count(s, c):
+        return F.length(s) - F.length(F.replace(s, c, F.lit("")))
+
+    both = F.aggregate(F.array_distinct(F.filter(F.split(x, ""), lambda c: c != "")), F.lit(0), lambda n, c: n + F.least(count(x, c), count(y, c)))
+    return F.coalesce(2.0 * both / F.nullif(F.length(x) + F.length(y), F.lit(0)), F.lit(1.0))
+
+
 def name_score(a: Column, b: Column, mode: str = "levenshtein") -> Column:
     """0 to 1. levenshtein: native; difflib: a pandas UDF."""
     if mode == "difflib":
@@ -55,6 +66,11 @@ def per_ml(price: Column, ml: Column) -> Column:
     return price / F.coalesce(F.nullif(ml, F.lit(0.0)), F.lit(30.0))
 
 
+def main_function(functions: Column) -> Column:
+    """The first function that an ingredient has; Active/Solvent without one."""
+    return F.coalesce(F.nullif(F.get(functions, 0), F.lit("")), F.lit("Active/Solvent"))
+
+
 def safety_grade(comedogenic: Column) -> Column:
     return F.when(comedogenic <= 1, "A").when(comedogenic <= 3, "B").otherwise("C")
 

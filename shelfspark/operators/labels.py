@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scores import name_score
 from shelfspark.functions.text import half_up
+from shelfspark.operators.fuzzy import fuzzy_pairs
 
 # Words that are no ingredient.
 NOISE = ["may contain", "peut contenir", "+/-", "and", "oder", "et", ""]
@@ -64,17 +64,9 @@ def exact_matches(tokens: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 def fuzzy_matches(tokens: DataFrame, keys: DataFrame, threshold: float = 0.85, mode: str = "levenshtein") -> DataFrame:
-    """N-6: distinct candidate strings are scored once, against keys whose length alone does not rule them out.
-
-    Equal lengths are joined: a pair at the threshold differs in length by a bounded factor, so each candidate looks up
-    the lengths it may meet."""
+    """N-6: the best key of each slot's candidates. Distinct candidate strings meet the keys in an index of segments."""
     each = tokens.select("label_id", "position", F.posexplode("candidates").alias("at", "c")).withColumn("cand", F.upper(F.trim("c")))
-    n = F.length("cand")
-    low, high = F.ceil(n * threshold).cast("int"), F.floor(n / threshold).cast("int")
-    if mode == "difflib":  # 2 m / (a + b)
-        low, high = F.ceil(n * threshold / (2 - threshold)).cast("int"), F.floor(n * (2 - threshold) / threshold).cast("int")
-    texts = each.select("cand").distinct().where(n > 0).withColumn("len", F.explode(F.sequence(low, F.greatest(low, high))))
-    pairs = texts.join(keys.withColumn("len", F.length("key")), "len").withColumn("score", name_score(F.col("cand"), F.col("key"), mode)).where(F.col("score") >= threshold)
+    pairs = fuzzy_pairs(each.select("cand").distinct(), keys.select("key").distinct(), threshold, mode).join(keys, "key")
     order = Window.partitionBy("label_id", "position").orderBy(F.desc("score"), "at", "kind", "key")
     best = each.join(pairs.select("cand", "kind", "key", "ingredient_id", "score"), "cand").withColumn("r", F.row_number().over(order)).where("r = 1")
     return best.select("label_id", "position", "ingredient_id", F.lit("fuzzy").alias("match_method"), half_up(F.col("score"), 4).alias("confidence"))
