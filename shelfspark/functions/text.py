@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Units as the feeds write them, longest first, and millilitres (or grams) of each.
-UNITS = [
-    (r"fl\.?\s*oz\.?", 29.5735),
-    (r"fluid\s+ounces?", 29.5735),
-    (r"fluid\s+oz\.?", 29.5735),
-    (r"millilit(?:re|er)s?", 1.0),
-    (r"kilograms?", 1000.0),
-    (r"lit(?:re|er)s?", 1000.0),
-    (r"grams?", 1.0),
-    (r"oz", 29.5735),
-    (r"kg", 1000.0),
-    (r"ml", 1.0),
-    (r"g", 1.0),
-    (r"l", 1000.0),
-]
+# Spellings of units, with the millilitres (grams, for weights) of one. Blanks in them may be missing.
+UNITS = {
+    "ml": 1.0, "milliliter": 1.0, "milliliters": 1.0, "millilitre": 1.0, "millilitres": 1.0,
+    "l": 1000.0, "liter": 1000.0, "liters": 1000.0, "litre": 1000.0, "litres": 1000.0,
+    "oz": 29.5735, "fl oz": 29.5735, "fl oz.": 29.5735, "fl. oz": 29.5735, "fl. oz.": 29.5735,
+    "fluid oz": 29.5735, "fluid oz.": 29.5735, "fluid ounce": 29.5735, "fluid ounces": 29.5735,
+    "g": 1.0, "gm": 1.0, "gr": 1.0, "gram": 1.0, "grams": 1.0,
+    "kg": 1000.0, "kilogram": 1000.0, "kilograms": 1000.0,
+}
 NUMBER = r"(\d+(?:[.,]\d+)?)"
-UNIT = "(" + "|".join(u for u, _ in UNITS) + ")"
+#: The longest spelling that fits counts.
+UNIT = "(" + "|".join(s.replace(".", r"\.").replace(" ", r"\s*") for s in sorted(UNITS, key=lambda s: (-len(s), s))) + ")"
 ARCHETYPES = [("/p/", "product"), ("/ingredient/", "ingredient"), ("/dupes/", "dupe"), ("/dupe/", "dupe"), ("/best/", "best"), ("/vs/", "vs"), ("/conflict/", "conflict"), ("/under/", "under")]
 
 
@@ -46,10 +41,8 @@ def volume_ml(raw: Column, strict: bool = False) -> Column:
         return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
 
     def factor(unit):
-        out = F.lit(None).cast("double")
-        for pattern, ml in reversed(UNITS):
-            out = F.when(unit.rlike(f"(?i)^{pattern}$"), F.lit(ml)).otherwise(out)
-        return out
+        bare = {s.replace(" ", "").replace(".", ""): ml for s, ml in UNITS.items()}
+        return F.try_element_at(F.create_map(*[F.lit(v) for pair in bare.items() for v in pair]), F.lower(F.regexp_replace(unit, r"[\s.]", "")))
 
     packs = number(part(multi, 1)) * number(part(multi, 2)) * factor(part(multi, 3))
     return half_up(F.coalesce(packs, number(part(single, 1)) * factor(part(single, 2))))

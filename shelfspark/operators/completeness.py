@@ -8,16 +8,21 @@ from pyspark.sql import functions as F
 PRODUCT_PAGES, LIST_PAGES = ["product", "p", "dupe", "vs", "under"], ["ingredient", "best"]
 
 
-def product_metrics(product_ingredients: DataFrame, offers: DataFrame, products: DataFrame, reviews: Column | None = None, expert: Column | None = None) -> DataFrame:
-    """A-2: each child is aggregated before the joins. Days are whole days between the first and last in-stock offer."""
+def product_metrics(product_ingredients: DataFrame, offers: DataFrame, products: DataFrame, reviews: Column | None = None, expert: Column | None = None, variants: DataFrame | None = None) -> DataFrame:
+    """A-2: each child is aggregated before the joins. Days are whole days between the first and last in-stock offer. A product is
+    covered if it has a variant; without the table of variants none is."""
     ingredients = product_ingredients.groupBy("product_id").agg(F.count("*").alias("n_ingredients"))
     live = offers.where("in_stock").groupBy("product_id").agg(F.count("*").alias("live_offer_count"), F.countDistinct("retailer_id").alias("live_retailers"), F.expr("timestampdiff(DAY, min(seen_at), max(seen_at))").cast("long").alias("days"))
     rows = products.join(ingredients, "product_id", "left").join(live, "product_id", "left")
+    covered = F.lit(False)
+    if variants is not None:
+        rows = rows.join(variants.groupBy("product_id").agg(F.count("*").alias("n_variants")), "product_id", "left")
+        covered = F.coalesce(F.col("n_variants") >= 1, F.lit(False))
     zero = F.lit(0).cast("long")
     return rows.select(
         "product_id", (F.coalesce("n_ingredients", zero) > 0).alias("has_full_ingredient_list"), F.coalesce("live_offer_count", zero).alias("live_offer_count"), F.coalesce("live_retailers", zero).alias("live_retailers"),
         (reviews if reviews is not None else F.lit(0)).cast("long").alias("parsed_review_count"), F.greatest(F.coalesce("days", zero), zero).alias("price_history_days"),
-        F.lit(True).alias("has_image_and_variant_coverage"), (expert if expert is not None else F.lit(False)).alias("has_expert_annotation"),
+        covered.alias("has_image_and_variant_coverage"), (expert if expert is not None else F.lit(False)).alias("has_expert_annotation"),
     )
 
 
@@ -51,3 +56,12 @@ def promote(pages: DataFrame, scored: DataFrame, as_of: str) -> DataFrame:
     s = scored.select("url", "dcs_score", "indexable", "index_tier")
     now = F.lit(as_of).cast("timestamp")
     return pages.drop("dcs_score", "indexable", "index_tier").join(s, "url").withColumn("first_indexed_at", F.coalesce("first_indexed_at", F.when(F.col("indexable"), now)))
+
+
+def sync_products(products: DataFrame, scored: DataFrame) -> DataFrame:
+    """C-3: products with the score and tier of their page (archetypes product and p, first entity); of several pages the last by url.
+    Products without one keep theirs."""
+    page = scored.where(F.col("archetype").isin("product", "p")).select(F.get("entity_refs", 0).alias("product_id"), "url", F.col("dcs_score").alias("_score"), F.col("index_tier").alias("_tier")).where("product_id is not null")
+    last = page.groupBy("product_id").agg(F.max_by(F.struct("_score", "_tier"), "url").alias("_p"))
+    out = products.join(last, "product_id", "left")
+    return out.withColumns({"dcs_score": F.coalesce("_p._score", "dcs_score"), "index_tier": F.coalesce("_p._tier", "index_tier")}).drop("_p")

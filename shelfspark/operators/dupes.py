@@ -8,56 +8,83 @@ from pyspark.sql import functions as F
 from shelfspark.functions.scores import ingredient_weight, per_ml, price_delta_pct
 from shelfspark.functions.text import half_up
 from shelfspark.operators.ledger import first_by
+from shelfspark.sources.store import written
 
 METHOD = "v1_inci_weighted"
 
 
-def formula_vectors(product_ingredients: DataFrame) -> DataFrame:
-    """V-1: product_id, ingredient_id, weight of unit vectors; an ingredient's last position counts (W-8)."""
+DIMS = 3000
+
+
+def formula_vectors(product_ingredients: DataFrame, vocabulary: DataFrame | None = None, dims: int = DIMS) -> DataFrame:
+    """V-1: product_id, ingredient_id, weight of unit vectors; an ingredient's last position counts (W-8). With a vocabulary
+    (ingredient_id, dim) only ingredients with a dim under `dims` count; a product without any has no vector."""
+    if vocabulary is not None:
+        product_ingredients = product_ingredients.join(vocabulary.where(F.col("dim") < dims).select("ingredient_id"), "ingredient_id", "left_semi")
     raw = product_ingredients.groupBy("product_id", "ingredient_id").agg(F.max(F.struct("position", "is_active")).alias("p"))
     weighted = raw.select("product_id", "ingredient_id", ingredient_weight(F.col("p.position"), F.col("p.is_active")).alias("w"))
     norms = weighted.groupBy("product_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).where("norm > 0")
     return weighted.join(norms, "product_id").select("product_id", "ingredient_id", (F.col("w") / F.col("norm")).alias("weight"))
 
 
-def pairwise_cosine(vectors: DataFrame, block: str) -> DataFrame:
-    """V-2, J-6: a, b, similarity of products that share a block and an ingredient, a < b.
+def dense_vectors(vectors: DataFrame, vocabulary: DataFrame, dims: int = DIMS) -> DataFrame:
+    """product_id, v (array<float> of `dims`): the vectors of formula_vectors as arrays, for an index that stores them so."""
+    rows = vectors.join(vocabulary.where(F.col("dim") < dims), "ingredient_id")
+    sparse = rows.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("dim", "weight"))).alias("m"))
+    cell = F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)).cast("float"))
+    return sparse.select("product_id", cell.alias("v"))
+
 
-    The join's key is (block, ingredient): rows of one product meet only those of products with the same ingredient. A hot
-    ingredient is a hot key; both sides are shuffles of their own, so that Spark splits them at run time."""
+def pairwise_cosine(vectors: DataFrame, block: str, min_similarity: float = 0.0) -> DataFrame:
+    """V-2, J-6: a, b, similarity of products that share a block and an ingredient, a < b, from min_similarity on.
+
+    Over 0 it is similar_pairs. Without a threshold every such pair is a row: the join's key is (block, ingredient), both sides are
+    shuffles of their own, which Spark splits at run time, and the result grows with the square of a common ingredient's products."""
+    if min_similarity > 0:
+        return similar_pairs(vectors, block, min_similarity)
     left = vectors.select(block, "ingredient_id", F.col("product_id").alias("a"), F.col("weight").alias("wa"))
     right = vectors.select(block, "ingredient_id", F.col("product_id").alias("b"), F.col("weight").alias("wb"))
     dots = left.join(right, [block, "ingredient_id"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("wa") * F.col("wb")).alias("dot"))
     return dots.select("a", "b", F.greatest(F.least("dot", F.lit(1.0)), F.lit(-1.0)).alias("similarity"))
 
 
-def similar_pairs(vectors: DataFrame, block: str, min_similarity: float) -> DataFrame:
-    """The rows of pairwise_cosine with at least min_similarity (above 0); vectors have length 1.
+def similar_pairs(vectors: DataFrame, block: str, min_similarity: float, wanted: DataFrame | None = None) -> DataFrame:
+    """The rows of pairwise_cosine with at least min_similarity (above 0); vectors have length 1. wanted (product_id): only pairs
+    with one of these products at least.
 
-    A product is looked up by its key ingredients only: the others, those that most products of the block share for what they
-    weigh, together are shorter than min_similarity, so a pair that shares none of a's key ingredients is below it. Common
-    ingredients are thus seldom join keys. A pair goes on to the exact sum only while what is not yet summed can still lift it there.
+    A product is looked up by its key ingredients only. The others, those that most products of the block share for what they
+    can add, cannot reach min_similarity together: not by their length, nor by the sum of each weight times the greatest weight
+    that the ingredient has in the block. So a pair that shares none of a's key ingredients is below it; an ingredient that every label
+    has in its first place is no key. A pair goes on to the exact sum only while what is not yet summed can still lift it there.
     Labels are gathered once, behind an exchange that every use shares; a label's length bounds its arrays."""
     slack, entry, square = 1e-9, F.struct("ingredient_id", "weight"), F.col("weight") * F.col("weight")
     labels = vectors.groupBy(F.col(block).alias("block"), "product_id").agg(F.collect_list(entry).alias("label")).repartition("product_id")
     rows = labels.select("block", "product_id", F.inline("label"))
-    shared_by = rows.groupBy("block", "ingredient_id").agg(F.count("*").alias("shared_by"))
-    costly = Window.partitionBy("block", "product_id").orderBy(F.desc(F.col("shared_by") / square), "ingredient_id")
-    length = F.sum(square).over(costly.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = rows.join(shared_by, ["block", "ingredient_id"]).withColumn("key", length >= min_similarity**2 - slack)
-    split = ranked.groupBy("block", F.col("product_id").alias("a")).agg(F.collect_list(F.when(F.col("key"), entry)).alias("keys"), F.collect_list(F.when(~F.col("key"), entry)).alias("others"))
+    stats = rows.groupBy("block", "ingredient_id").agg(F.count("*").alias("shared_by"), F.max("weight").alias("greatest"))
+    asked = rows if wanted is None else rows.join(wanted.select("product_id").distinct(), "product_id", "left_semi")
+    adds = F.col("weight") * F.col("greatest")
+    costly = Window.partitionBy("block", "product_id").orderBy(F.desc(F.col("shared_by") / adds), "ingredient_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    bound = F.least(F.sqrt(F.sum(square).over(costly)), F.sum(adds).over(costly))
+    ranked = asked.join(stats, ["block", "ingredient_id"]).withColumn("adds", adds).withColumn("key", bound >= min_similarity - slack)
+    other = F.struct("ingredient_id", "weight", "adds")
+    split = ranked.groupBy("block", F.col("product_id").alias("a")).agg(F.collect_list(F.when(F.col("key"), entry)).alias("keys"), F.collect_list(F.when(~F.col("key"), other)).alias("others"))
     rest = F.aggregate("others", F.lit(0.0), lambda x, o: x + o["weight"] * o["weight"])
-    keys = split.withColumn("rest", rest).select("block", "a", "rest", F.inline("keys")).withColumnRenamed("weight", "wa")
+    rest_adds = F.aggregate("others", F.lit(0.0), lambda x, o: x + o["adds"])
+    keys = split.withColumns({"rest": rest, "rest_adds": rest_adds}).select("block", "a", "rest", "rest_adds", F.inline("keys")).withColumnRenamed("weight", "wa")
     right = rows.select("block", "ingredient_id", F.col("product_id").alias("b"), F.col("weight").alias("wb"))
     wa, wb = F.col("wa"), F.col("wb")
-    met = keys.join(right, ["block", "ingredient_id"]).where("a < b").groupBy("block", "a", "b").agg(F.sum(wa * wb).alias("part"), F.sum(wb * wb).alias("used"), F.max("rest").alias("rest"))
-    most = F.col("part") + F.sqrt(F.col("rest") * F.greatest(1 - F.col("used"), F.lit(0.0)))
+    met = keys.join(right, ["block", "ingredient_id"]).where("a < b" if wanted is None else "a <> b")
+    met = met.groupBy("block", "a", "b").agg(F.sum(wa * wb).alias("part"), F.sum(wb * wb).alias("used"), F.max("rest").alias("rest"), F.max("rest_adds").alias("rest_adds"))
+    most = F.col("part") + F.least(F.sqrt(F.col("rest") * F.greatest(1 - F.col("used"), F.lit(0.0))), F.col("rest_adds"))
     open_ = met.where(most >= min_similarity - slack).select("block", "a", "b", "part")
     whole = labels.select("block", F.col("product_id").alias("b"), F.map_from_entries("label").alias("whole"))
     both = open_.join(split.select("block", "a", "others"), ["block", "a"]).join(whole, ["block", "b"])
     added = F.aggregate("others", F.lit(0.0), lambda x, o: x + o["weight"] * F.coalesce(F.element_at(F.col("whole"), o["ingredient_id"]), F.lit(0.0)))
-    exact = both.select("a", "b", F.greatest(F.least(F.col("part") + added, F.lit(1.0)), F.lit(-1.0)).alias("similarity"))
-    return exact.where(F.col("similarity") >= min_similarity)
+    exact = both.select("a", "b", F.greatest(F.least(F.col("part") + added, F.lit(1.0)), F.lit(-1.0)).alias("similarity")).where(F.col("similarity") >= min_similarity)
+    if wanted is None:
+        return exact
+    # a pair of two wanted products was found from both sides
+    return exact.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.max("similarity").alias("similarity"))
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
@@ -71,6 +98,28 @@ def dupe_candidates(vectors: DataFrame, products: DataFrame, k: int = 20, min_si
     return first_by(both_ways(near), ["product_id"], [F.desc(half_up(F.col("similarity"), 9)), "other_id"], k)
 
 
+def refresh_candidates(old: DataFrame, vectors: DataFrame, products: DataFrame, changed: DataFrame, k: int = 20, min_similarity: float = 0.60) -> DataFrame:
+    """V-5: the lists of dupe_candidates after the vectors or categories of `changed` (product_id) have changed, appeared or gone.
+
+    old: the lists before; vectors, products: as they are now. Changed products are compared with all others; elsewhere rows on
+    them are replaced. A list that was full and has not k rows left at or before its old last one may have lost its place to a product
+    that was never listed: those products are compared anew, too. Equal to a full rebuild."""
+    blocked = vectors.join(products.select("product_id", "category"), "product_id")
+    gone = changed.select("product_id").distinct()
+    names = gone.withColumnRenamed("product_id", "other_id")
+    new = written(both_ways(similar_pairs(blocked, "category", min_similarity, gone)))
+    stay = old.join(gone, "product_id", "left_anti").select("product_id", "other_id", "similarity")
+    kept = stay.join(names, "other_id", "left_anti").select("product_id", "other_id", "similarity")
+    merged = written(kept.union(new.join(gone, "product_id", "left_anti").select("product_id", "other_id", "similarity")))
+    key = lambda s, o: F.struct((-half_up(s, 9)).alias("s"), o.alias("o"))  # noqa: E731  smaller is better
+    full = stay.groupBy("product_id").agg(F.count("*").alias("n"), F.max(key(F.col("similarity"), F.col("other_id"))).alias("last")).where(F.col("n") >= k)
+    safe = merged.join(full, "product_id").where(key(F.col("similarity"), F.col("other_id")) <= F.col("last")).groupBy("product_id").agg(F.count("*").alias("m")).where(F.col("m") >= k)
+    repair = written(full.select("product_id").join(safe, "product_id", "left_anti"))
+    again = both_ways(similar_pairs(blocked, "category", min_similarity, repair)).join(repair, "product_id", "left_semi")
+    rows = merged.join(repair, "product_id", "left_anti").unionByName(again).unionByName(new.join(gone, "product_id", "left_semi"))
+    return first_by(rows, ["product_id"], [F.desc(half_up(F.col("similarity"), 9)), "other_id"], k)
+
+
 def price_deltas(pairs: DataFrame, latest: DataFrame, products: DataFrame) -> DataFrame:
     """V-4: pairs (a, b) with the price difference per ml of their latest in-stock offers; 0 without two of one currency."""
     o = latest.join(products.select("product_id", "size_ml"), "product_id").select("product_id", "price", "size_ml", "currency")
@@ -120,11 +169,3 @@ def set_similarity(pairs: DataFrame, sets: DataFrame, lowest: DataFrame) -> Data
         half_up((F.col("pml_a") - F.col("pml_b")) / F.nullif("pml_a", F.lit(0.0)) * 100, 0).cast("long").alias("savings_pct"),
         shared.alias("shared"), F.array_except("items_a", "items_b").alias("unique_a"), F.array_except("items_b", "items_a").alias("unique_b"),
     )
-
-
-def top_cosine(vectors: DataFrame, queries: DataFrame, block: str, k: int = 5) -> DataFrame:
-    """J-7: the k nearest rows by cosine among those of the same block. vectors, queries: id, block, v (unit vectors)."""
-    dot = F.aggregate(F.zip_with("q", "v", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    q = queries.select(F.col("id").alias("query_id"), block, F.col("v").alias("q"))
-    scored = vectors.join(q, block).where("id <> query_id").select("query_id", "id", half_up(dot, 6).alias("similarity"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id"))).where(F.col("rank") <= k)

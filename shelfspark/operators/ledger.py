@@ -73,3 +73,12 @@ def summary(outcomes: DataFrame, by: str = "feed_id") -> DataFrame:
 
 def with_per_ml(offers: DataFrame, products: DataFrame) -> DataFrame:
     return offers.join(products.select("product_id", "size_ml"), "product_id").withColumn("per_ml", per_ml(F.col("price"), F.col("size_ml")))
+
+
+def run_counters(*groups: dict[str, DataFrame]) -> DataFrame:
+    """A-14: counter, n: the rows of each frame by its name."""
+    parts = [df.agg(F.lit(name).alias("counter"), F.count("*").alias("n")) for group in groups for name, df in group.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.union(p)
+    return out

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import math
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from shelfspark.functions.scores import combined_score, name_score, size_score
 from shelfspark.functions.text import clean_title, slug_a
 from shelfspark.operators.ledger import first_by, gtin_lookup
+from shelfspark.operators.nearest import nearest
+from shelfspark.sources.store import written
 
 THRESHOLD, LOOK_FURTHER, BAND = 0.85, 0.70, 0.15
 
@@ -61,28 +62,36 @@ def tier2(items: DataFrame, variants: DataFrame, most: int = 50, mode: str = "le
     return titled.join(best, ["clean", "size_ml"]).select("item_id", "t2_id", "t2_score")
 
 
-def tier3(items: DataFrame, variants: DataFrame, embed, k: int = 5) -> DataFrame:
-    """E-3: 0.7 cosine + 0.3 size over the k nearest by cosine in the size band. embed: a column function text -> unit vector."""
+def tier3(items: DataFrame, variants: DataFrame, embed, k: int = 5, probes: int | None = None) -> DataFrame:
+    """E-3: 0.7 cosine + 0.3 size over the k nearest by cosine in the size band. embed: a column function text -> unit vector.
+
+    Each distinct name is embedded once. Distinct (title, size) pairs look up buckets of sizes, as in J-5, by cells (`nearest`);
+    probes: cells that they visit in each bucket, all if None. Cosines are compared at nine digits, ties go to the smaller id."""
     kinds = items.select(clean_title(F.col("title"), F.col("brand_name")).alias("clean"), "size_ml", "item_id")
-    names = kinds.select(F.col("clean").alias("text")).union(variants.select("name")).distinct().withColumn("v", embed(F.col("text")))
-    v = names.select(F.col("text").alias("cand_name"), F.col("v").alias("cv"))
-    q = names.select(F.col("text").alias("clean"), F.col("v").alias("qv"))
-    near = size_band(kinds.select("clean", "size_ml").distinct(), variants)
-    pairs = near.select("clean", "cand_name").distinct().join(q, "clean").join(v, "cand_name")
-    dot = F.aggregate(F.zip_with("qv", "cv", lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda a, x: a + x)
-    scored = near.join(pairs.select("clean", "cand_name", F.greatest(F.least(dot, F.lit(1.0)), F.lit(0.0)).alias("cos")), ["clean", "cand_name"])
-    few = first_by(scored, ["clean", "size_ml"], [F.desc("cos"), "cand_id"], k).drop("rank")
-    few = few.withColumn("score", combined_score(F.col("cos"), size_score(F.col("size_ml"), F.col("cand_size"))))
+    asked = kinds.where("size_ml > 0").select("clean", "size_ml").distinct().withColumn("id", F.xxhash64("clean", "size_ml"))
+    shop = variants.where("size_ml > 0").select(F.col("product_id").alias("id"), "name", F.col("size_ml").alias("x"))
+    names = asked.select(F.col("clean").alias("text")).union(shop.select("name")).distinct().withColumn("v", embed(F.col("text")))
+    step = math.log(1 + BAND)
+    bucket = lambda x: F.floor(F.log(x) / step)
+    vectors = shop.join(names, F.col("name") == F.col("text")).select("id", "x", "v", bucket(F.col("x")).alias("b"))
+    around = F.explode(F.transform(F.sequence(F.lit(-2), F.lit(1)), lambda o: bucket(F.col("size_ml")) + o))
+    queries = asked.join(names, F.col("clean") == F.col("text")).select("id", "v", (F.col("size_ml") * (1 - BAND)).alias("low"), (F.col("size_ml") * (1 + BAND)).alias("high"), around.alias("b"))
+    found = nearest(vectors, queries, "b", k, probes, digits=9, other=False).withColumnsRenamed({"id": "cand_id", "query_id": "id"})
+    few = found.join(shop.select(F.col("id").alias("cand_id"), F.col("x").alias("cand_size")), "cand_id").join(asked, "id")
+    cos = F.greatest(F.least("similarity", F.lit(1.0)), F.lit(0.0))
+    few = few.withColumn("score", combined_score(cos, size_score(F.col("size_ml"), F.col("cand_size"))))
     best = first_by(few, ["clean", "size_ml"], [F.desc("score"), "cand_id"]).select("clean", "size_ml", F.col("cand_id").alias("t3_id"), F.col("score").alias("t3_score"))
     return kinds.join(best, ["clean", "size_ml"]).select("item_id", "t3_id", "t3_score")
 
 
 def resolve(items: DataFrame, variants: DataFrame, embed=None, mode: str = "levenshtein") -> DataFrame:
-    """E-4: item_id, tier, method, candidate_id, confidence. Each tier sees only what the ones before left."""
-    one = tier1(items, variants).persist(StorageLevel.MEMORY_AND_DISK)  # read by every later tier; recomputed if lost
+    """E-4: item_id, tier, method, candidate_id, confidence. Each tier sees only what the ones before left.
+
+    What tiers 1 and 2 leave is written, as every later tier reads it."""
+    one = written(tier1(items, variants).select("item_id", "title", "brand_name", "size_ml", "variant_id", "method"))
     done = one.where("variant_id is not null").select("item_id", F.lit("tier1").alias("tier"), "method", F.col("variant_id").alias("candidate_id"), F.lit(1.0).alias("confidence"))
     rest = one.where("variant_id is null").select("item_id", "title", "brand_name", "size_ml")
-    two = rest.join(tier2(rest, variants, mode=mode), "item_id", "left").persist(StorageLevel.MEMORY_AND_DISK)
+    two = written(rest.join(tier2(rest, variants, mode=mode), "item_id", "left"))
     if embed is None:
         two = two.withColumns({"t3_id": F.lit(None).cast("long"), "t3_score": F.lit(None).cast("double")})
     else:
@@ -103,12 +112,18 @@ def route(resolved: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return resolved.select("item_id", "tier", "method", linked.alias("linked"), F.when(linked, F.col("candidate_id")).alias("variant_id"), F.when(~linked, F.col("candidate_id")).alias("candidate_id"), F.when(linked, F.col("confidence")).otherwise(F.nullif("confidence", F.lit(0.0))).alias("confidence"), F.when(~linked, "pending").alias("status"))
 
 
-def apply_reviews(queue: DataFrame, decisions: DataFrame, reviewed_at: str) -> tuple[DataFrame, DataFrame]:
-    """E-8: the queue after decisions (item_id, decision, reviewer, variant_id), and the offers that approvals append."""
+def apply_reviews(queue: DataFrame, decisions: DataFrame, reviewed_at: str, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """E-8: the queue after decisions (item_id, decision, reviewer, variant_id), and the offers that approvals append: an approved
+    item with a variant and a price over 0, as its feed row (items) has it. Append them to the ledger (S-6)."""
     d = decisions.select("item_id", "decision", "reviewer", F.col("variant_id").alias("chosen"))
     after = queue.join(d, "item_id", "left").select(
         *[c for c in queue.columns if c not in ("status", "variant_id")], F.coalesce("decision", "status").alias("status"),
         F.when(F.col("decision") == "approved", F.coalesce("chosen", "candidate_id")).otherwise(F.col("variant_id")).alias("variant_id"),
         F.when(F.col("decision").isNotNull(), F.lit(reviewed_at).cast("timestamp")).alias("reviewed_at"), F.col("reviewer").alias("reviewed_by"),
     )
-    return after, after.where("status = 'approved' and variant_id is not null and reviewed_at is not null")
+    approved = after.where("status = 'approved' and variant_id is not null and reviewed_at is not null").join(items.select("item_id", "retailer_id", "price", "currency", "affiliate_url"), "item_id")
+    offers = approved.where("price > 0").select(
+        "item_id", "variant_id", "retailer_id", "price", F.coalesce("currency", F.lit("INR")).alias("currency"), F.lit(True).alias("in_stock"),
+        F.coalesce(F.nullif("affiliate_url", F.lit("")), F.lit("#")).alias("affiliate_url"), F.col("reviewed_at").alias("seen_at"),
+    )
+    return after, offers

@@ -30,15 +30,21 @@ def product_filter(products: DataFrame, category: str | None = None, brand: str
     return ordered if limit is None else ordered.offset(offset).limit(limit)
 
 
-def faceted(products: DataFrame, category: str | None = None, budget: float | None = None, q: str | None = None) -> DataFrame:
-    """F-22: by category, lowest price under a budget and words in brand or name."""
+def faceted(products: DataFrame, category: str | None = None, budget: float | None = None, q: str | None = None, skin: str | None = None) -> DataFrame:
+    """F-22: by category, skin type, lowest price under a budget and a part of brand, name and active ingredients (`actives`)."""
     if category is not None:
         products = products.where(F.col("category") == category)
     if budget is not None:
         products = products.where(F.col("lowest") < budget)
     if q:
-        products = products.where(F.contains(F.lower(F.concat_ws(" ", "brand", "name")), F.lit(q.lower())))
-    return products
+        products = products.where(F.contains(F.lower(F.concat_ws(" ", "brand", "name", "actives")), F.lit(q.lower())))
+    return products if skin is None else products.where(F.array_contains("skin_types", skin))
+
+
+def suggestions(products: DataFrame, q: str, most: int = 8) -> DataFrame:
+    """F-22: the first products in name order that hold q in brand, name or actives; none for a blank q."""
+    found = faceted(products, q=q.strip()) if q.strip() else products.limit(0)
+    return found.orderBy("name", "product_id").limit(most)
 
 
 def sheet_catalog(rows: DataFrame) -> DataFrame:
@@ -50,7 +56,8 @@ def sheet_catalog(rows: DataFrame) -> DataFrame:
 def sheet_tables(rows: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """S-4: what a sheet adds to each table. Rows also have row_id (their order), spf_pa, dupe_edge and page. Brands, products and
     pages are inserted where `old` (brand and product by slug, page by url) lacks them, the first row of a key counts;
-    each row is a variant and an offer. Tabs that are not in TABS are not loaded."""
+    each row is a variant and an offer. Tabs that are not in TABS are not loaded. Products and pages enter with score 0 and not
+    indexable: what opens them is the gate (gate_sheet)."""
     tabs = F.create_map(*[x for tab, (category, kind) in TABS.items() for x in (F.lit(tab), F.struct(F.lit(category).alias("category"), F.lit(kind).alias("format")))])
     text = {c: F.nullif(F.trim(c), F.lit("")) for c in ("spf_pa", "dupe_edge", "page")}
     both = rows.where("brand <> '' and product <> ''").withColumns(text | {"money": price_and_mrp(F.col("price")), "brand_slug": slug_b(F.col("brand")), "kind": F.try_element_at(tabs, F.col("tab"))}).where("kind is not null")
@@ -58,8 +65,8 @@ def sheet_tables(rows: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFr
     order, india = [F.col("row_id")], F.lit("IN")
     claims = F.array_compact(F.array("spf_pa", F.left("dupe_edge", F.lit(150))))
     brand = c.select(F.col("brand_slug").alias("slug"), F.col("brand").alias("name"), india.alias("country"), "row_id")
-    product = c.select("slug", "brand_slug", F.col("product").alias("name"), "kind.category", "kind.format", claims.alias("claims"), F.array(india).alias("markets"), F.lit(75).alias("dcs_score"), F.lit("provisional").alias("index_tier"), "row_id")
-    page = c.select(F.lit("product").alias("archetype"), F.concat(F.lit("/p/"), "slug").alias("url"), F.lit("en-in").alias("locale"), F.array("slug").alias("entity_refs"), F.lit(75).alias("dcs_score"), F.lit(True).alias("indexable"), "row_id")
+    product = c.select("slug", "brand_slug", F.col("product").alias("name"), "kind.category", "kind.format", claims.alias("claims"), F.array(india).alias("markets"), F.lit(0).alias("dcs_score"), F.lit("provisional").alias("index_tier"), "row_id")
+    page = c.select(F.lit("product").alias("archetype"), F.concat(F.lit("/p/"), "slug").alias("url"), F.lit("en-in").alias("locale"), F.array("slug").alias("entity_refs"), F.lit(0).alias("dcs_score"), F.lit(False).alias("indexable"), "row_id")
     link = F.coalesce("page", F.concat(F.lit("https://www.nykaa.com/search?q="), "slug"))
     return {
         "brand": U.insert_absent(old["brand"], brand, ["slug"], order), "product": U.insert_absent(old["product"], product, ["slug"], order), "page": U.insert_absent(old["page"], page, ["url"], order),
@@ -68,6 +75,15 @@ def sheet_tables(rows: DataFrame, old: dict[str, DataFrame]) -> dict[str, DataFr
     }
 
 
+def gate_sheet(tables: dict[str, DataFrame], product_ingredients: DataFrame, as_of: str) -> dict[str, DataFrame]:
+    """S-4, C-3: the sheet's new products and pages after the gate. product_ingredients: product_id (the slug), if labels are known."""
+    offers = tables["offer"].select(F.col("product_slug").alias("product_id"), F.col("retailer").alias("retailer_id"), "in_stock", F.lit(as_of).cast("timestamp").alias("seen_at"))
+    products, variants = tables["product"].withColumn("product_id", F.col("slug")), tables["variant"].select(F.col("product_slug").alias("product_id"))
+    pages = tables["page"].withColumn("first_indexed_at", F.lit(None).cast("timestamp"))
+    scored = C.score(C.page_metrics(pages, C.product_metrics(product_ingredients, offers, products, variants=variants)))
+    return tables | {"page": C.promote(pages, scored, as_of), "product": C.sync_products(products, scored).drop("product_id")}
+
+
 def brand_list(products: DataFrame) -> DataFrame:
     """A-3, J-2"""
     return products.groupBy("brand").agg(F.count("*").alias("products")).orderBy("brand")
@@ -82,7 +98,8 @@ def admin_products(products: DataFrame, offers: DataFrame, product_ingredients:
 
 
 def siblings(pages: DataFrame) -> DataFrame:
-    """J-8: pages of the same archetype and entities that are indexable."""
+    """J-8: pages of the same archetype and entities that are indexable. A page without entities (null or none) has no siblings."""
+    pages = pages.where(F.size("entity_refs") > 0)
     b = pages.where("indexable").select("archetype", "entity_refs", F.col("url").alias("sibling"), F.col("locale").alias("_l"))
     return pages.select("url", "archetype", "entity_refs").join(b, ["archetype", "entity_refs"]).withColumnRenamed("_l", "locale")
 
@@ -100,8 +117,10 @@ def fallback_only(fallback: DataFrame, live: DataFrame) -> DataFrame:
 
 
 def ingredient_by_slug(wanted: DataFrame, ingredients: DataFrame) -> DataFrame:
-    """J-14: names looked up by slug; the smallest id wins a slug."""
-    keys = ingredients.groupBy(slug_a(F.col("inci_name")).alias("slug")).agg(F.min("ingredient_id").alias("ingredient_id"))
+    """J-14: names looked up by the slugs of canonical_name (where the dictionary has it) and inci_name; the smallest id wins a slug."""
+    names = [slug_a(F.col(c)) for c in ("canonical_name", "inci_name") if c in ingredients.columns]
+    slugs = ingredients.select(F.explode(F.array_distinct(F.array_compact(F.array(*names)))).alias("slug"), "ingredient_id")
+    keys = slugs.groupBy("slug").agg(F.min("ingredient_id").alias("ingredient_id"))
     return wanted.withColumn("slug", slug_a(F.col("wanted"))).join(keys, "slug")
 
 
@@ -194,7 +213,7 @@ def retailers_like(retailers: DataFrame, wanted: DataFrame, n: int = 3) -> DataF
 
 
 def compare(pairs: DataFrame, products: DataFrame, lowest: DataFrame, product_ingredients: DataFrame, scored: DataFrame) -> DataFrame:
-    """V-7: pair slugs `a-vs-b` (up to four products) -> a row for each side: price per ml and whether it is the cheapest, the
+    """V-7: pairs (pair, slugs: up to four, in order) -> a row for each side: price per ml and whether it is the cheapest, the
     ingredients that all sides list and those that only this one does, its actives, skin fit and completeness.
 
     A pair's sides are one small array, so that what they share is array work on it."""
@@ -206,7 +225,7 @@ def compare(pairs: DataFrame, products: DataFrame, lowest: DataFrame, product_in
     fit = F.array(*[F.when(F.array_contains(F.coalesce("skin_types", F.array().cast("array<string>")), t), 5).otherwise(2) for t in SKIN_TYPES])
     columns = {"per_ml": per_ml(F.col("price"), F.col("size_ml")), "ids": ids, "actives": F.coalesce(F.filter("l", lambda x: x["is_active"])["ingredient_id"], F.array().cast("array<long>")), "skin_fit": fit, "dcs_score": F.coalesce("dcs_score", F.lit(0))}
     spec = spec.select("slug", "name", "brand", *[c.alias(n) for n, c in columns.items()])
-    sides = pairs.select("pair", F.posexplode(F.split("pair", "-vs-")).alias("at", "slug")).where("at < 4").join(spec, "slug")
+    sides = pairs.select("pair", F.posexplode("slugs").alias("at", "slug")).where("at < 4").join(spec, "slug")
     whole = sides.groupBy("pair").agg(F.array_sort(F.collect_list(F.struct("at", "slug", "name", "brand", *columns))).alias("sides"))
     shared = F.aggregate(F.slice("sides", 2, 3)["ids"], F.get("sides", 0)["ids"], F.array_intersect)
     rows = whole.select("pair", "sides", F.array_min(F.col("sides.per_ml")).alias("low"), shared.alias("shared"), F.explode("sides").alias("x"))
@@ -235,7 +254,7 @@ def create_products(requests: DataFrame, brands: DataFrame, products: DataFrame,
     link = F.concat(F.lit("https://www."), F.lower("retailer_name"), F.lit(".com/p/"), "slug")
     offer = new.join(variant.select("product_id", "variant_id"), "product_id").select("product_id", "variant_id", "retailer_id", "price", "currency", F.lit(True).alias("in_stock"), link.alias("affiliate_url"), F.lit(as_of).cast("timestamp").alias("seen_at"))
     page = new.select(F.lit("product").alias("archetype"), F.concat(F.lit("/p/"), "brand_slug", F.lit("/"), "slug").alias("url"), F.lit("en-in").alias("locale"), F.array("product_id").alias("entity_refs"), F.lit(None).cast("timestamp").alias("first_indexed_at"))
-    scored = C.score(C.page_metrics(page, C.product_metrics(known, offer, new)))
+    scored = C.score(C.page_metrics(page, C.product_metrics(known, offer, new, variants=variant)))
     page = C.promote(page, scored, as_of)
     gate = page.select(F.get("entity_refs", 0).alias("product_id"), F.col("url").alias("page_url"), "dcs_score", "index_tier")
     product = new.join(gate, "product_id").select("product_id", "brand_id", "name", "slug", "category", "format", "claims", F.array(F.lit("IN")).alias("markets"), "dcs_score", "index_tier")

@@ -55,6 +55,12 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
     return p.select(F.concat(F.lit("/p/"), "slug").alias("url"), F.get(kind, (F.col("product_id") % 7).cast("int")).alias("archetype"), F.array("product_id").alias("entity_refs"), F.when(F.col("product_id") % 2 == 0, "en").otherwise("hi").alias("locale"))
 
 
+def variants(spark: SparkSession, sf: str) -> DataFrame:
+    """Product by product: none for every sixth, two for every fourth of the others."""
+    p = products(spark, sf).where("product_id % 6 <> 5").select("product_id", "size_ml")
+    return p.union(p.where("product_id % 4 = 0"))
+
+
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:
     """Retailer feed rows as text, some of them bad."""
     k, size = F.col("p_partkey"), F.col("p_size").cast("string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from shelfspark.functions import text
 from shelfspark.plans.adapters import INGREDIENTS
 
 
@@ -21,7 +22,7 @@ def _text(x: str) -> str:
 _rows = ", ".join(f"({i}::BIGINT, {_text(n)}, [{', '.join(map(_text, s))}])" for i, (n, s) in enumerate(INGREDIENTS))
 _bare = r"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '\([^)]*\)', ' ', 'g'), '\[[^\]]*\]', ' ', 'g'), '\d+(?:\.\d+)?\s*%', ' ', 'g'), '\s+', ' ', 'g'))"
 _clean = r"trim(regexp_replace(regexp_replace(regexp_replace({0}, '(?i)\band\b', ' ', 'g'), '\d+(?:\.\d+)?\s*%', ' ', 'g'), '\s+', ' ', 'g'))"
-UNIT = r"fl\.?\s*oz\.?|fluid\s+ounces?|fluid\s+oz\.?|millilit(?:re|er)s?|kilograms?|lit(?:re|er)s?|grams?|oz|kg|ml|g|l"
+UNIT = text.UNIT[1:-1]
 _num = r"(\d+(?:[.,]\d+)?)"
 
 
@@ -94,7 +95,7 @@ CTES: dict[str, tuple[list[str], str]] = {
     "edges": (["cand", "latest"], f"""SELECT a, b, {half_up("similarity", 4)} AS similarity, CASE WHEN x.currency = y.currency THEN {half_up("((x.price / p.size_ml - y.price / q.size_ml) / (y.price / q.size_ml) * 100)")} ELSE 0.0 END AS price_delta_pct
   FROM (SELECT least(product_id, other_id) AS a, greatest(product_id, other_id) AS b, max(similarity) AS similarity FROM cand GROUP BY ALL) e JOIN products p ON p.product_id = a JOIN products q ON q.product_id = b LEFT JOIN latest x ON x.product_id = a LEFT JOIN latest y ON y.product_id = b"""),
     "dupes": (["edges"], "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, other_id) AS rank FROM (SELECT a AS product_id, b AS other_id, similarity, price_delta_pct FROM edges UNION ALL SELECT b, a, similarity, -price_delta_pct FROM edges)) WHERE rank <= 10"),
-    "metrics": (["pi", "offers", "products"], """SELECT product_id, coalesce(n, 0) > 0 AS has_full_ingredient_list, coalesce(k, 0) AS live_offer_count, coalesce(r, 0) AS live_retailers, (product_id % 30)::BIGINT AS parsed_review_count, greatest(coalesce(d, 0), 0) AS price_history_days, true AS has_image_and_variant_coverage, product_id % 4 = 0 AS has_expert_annotation
+    "metrics": (["pi", "offers", "products"], """SELECT product_id, coalesce(n, 0) > 0 AS has_full_ingredient_list, coalesce(k, 0) AS live_offer_count, coalesce(r, 0) AS live_retailers, (product_id % 30)::BIGINT AS parsed_review_count, greatest(coalesce(d, 0), 0) AS price_history_days, product_id % 6 <> 5 AS has_image_and_variant_coverage, product_id % 4 = 0 AS has_expert_annotation
   FROM products LEFT JOIN (SELECT product_id, count(*) AS n FROM pi GROUP BY 1) USING (product_id) LEFT JOIN (SELECT product_id, count(*) AS k, count(DISTINCT retailer_id) AS r, date_sub('day', min(seen_at), max(seen_at)) AS d FROM offers WHERE in_stock GROUP BY 1) USING (product_id)"""),
     "pm": (["metrics", "pages_"], """SELECT url, archetype, entity_refs, locale, CASE WHEN u THEN coalesce(has_full_ingredient_list, false) ELSE archetype IN ('ingredient', 'best') END AS has_full_ingredient_list, CASE WHEN u THEN live_offer_count ELSE 0 END AS live_offer_count, CASE WHEN u THEN parsed_review_count ELSE 0 END AS parsed_review_count, CASE WHEN u THEN price_history_days ELSE 0 END AS price_history_days, u AND has_image_and_variant_coverage AS has_image_and_variant_coverage, u AND has_expert_annotation AS has_expert_annotation
   FROM (SELECT *, archetype IN ('product', 'p', 'dupe', 'vs', 'under') AS u FROM pages_) JOIN metrics USING (product_id)"""),

@@ -11,13 +11,16 @@ from shelfspark.operators import completeness as C
 from shelfspark.operators import dupes as D
 from shelfspark.operators import labels as N
 from shelfspark.operators import ledger as L
+from shelfspark.operators import nearest as K
 from shelfspark.operators import resolve as E
 from shelfspark.operators import search as G
+from shelfspark.operators import seed as Z
 from shelfspark.operators import upsert as U
 from shelfspark.operators import views as V
 from shelfspark.plans import adapters as A
 from shelfspark.plans.oracle import clean_title, half_up, slug_a, slug_b, sql, volume_ml
 from shelfspark.sources import feeds
+from shelfspark.sources.store import written
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -49,8 +52,25 @@ def _envelopes(s: SparkSession, d: str) -> DataFrame:
 
 @query("S-1", "SELECT feed_id::VARCHAR AS retailer_id, retailer_sku, title, raw_size, price FROM feed", "feed")
 def s1(s, d):
-    text = _envelopes(s, d).select(F.to_json(F.struct("retailer_id", "slug", "source_url", "items")).alias("j"))
-    return feeds.explode_items(text.select(F.from_json("j", feeds.ENVELOPE).alias("e")).select("e.*")).select("retailer_id", "retailer_sku", "title", "raw_size", "price")
+    return _read_feed(s, d)[0].select("retailer_id", "retailer_sku", "title", "raw_size", "price")
+
+
+def _read_feed(s, d):
+    """Writes the envelopes as JSON lines, with bad lines among them, and reads them back."""
+    from shelfspark.sources.store import new_folder
+
+    k = F.col("p_partkey").cast("string")
+    bad = [F.concat(F.lit('{"retailer_id":"'), k), F.concat(F.lit('{"slug":"'), k, F.lit('","items":[{"title":"x"}]}')), F.concat(F.lit('{"retailer_id":"'), k, F.lit('","slug":"s","items":[]}')), F.concat(F.lit('{"retailer_id":"'), k, F.lit('","slug":"s"}')), F.concat(F.lit('{"retailer_id":"'), k, F.lit('","slug":"s","items":"none"}'))]
+    lines = A.table(s, d, "part").where("p_partkey % 8 < 5").select(F.get(F.array(*bad), (F.col("p_partkey") % 8).cast("int")).alias("value"))
+    folder = new_folder(s, "feed")
+    _envelopes(s, d).select(F.to_json(F.struct("retailer_id", "slug", "source_url", "items")).alias("value")).union(lines).write.text(folder)
+    return feeds.read_envelopes(s, folder)
+
+
+@query("S-1_rejects", """SELECT ['{"retailer_id":"' || p_partkey, '{"slug":"' || p_partkey || '","items":[{"title":"x"}]}', '{"retailer_id":"' || p_partkey || '","slug":"s","items":[]}', '{"retailer_id":"' || p_partkey || '","slug":"s"}', '{"retailer_id":"' || p_partkey || '","slug":"s","items":"none"}'][p_partkey % 8 + 1] AS line,
+ ['no JSON', 'no retailer', 'empty items', 'no items', 'wrong types'][p_partkey % 8 + 1] AS reason FROM part WHERE p_partkey % 8 < 5""")
+def s1_rejects(s, d):
+    return _read_feed(s, d)[1]
 
 
 @query("S-2", "SELECT item_id, retailer_sku, gtin, title, price, currency, array_to_string(errors, '|') AS errors FROM feed_ok", "feed_ok")
@@ -90,7 +110,8 @@ def _tabbed(s, d):
 def _sheet_tables(s, d):
     seen = A.table(s, d, "part").where("p_size < 5").select(F.concat_ws("-", X.slug_b(F.col("p_brand")), X.slug_b(F.col("p_name"))).alias("slug"), X.slug_b(F.col("p_brand")).alias("b")).distinct()
     old = {"brand": seen.where("b like 'brand-1%'").select(F.col("b").alias("slug")).distinct(), "product": seen.select("slug"), "page": seen.select(F.concat(F.lit("/p/"), "slug").alias("url"))}
-    return V.sheet_tables(_tabbed(s, d), old)
+    none = A.product_ingredients(s, d).select(F.lit(None).cast("string").alias("product_id")).limit(0)
+    return V.gate_sheet(V.sheet_tables(_tabbed(s, d), old), none, A.AS_OF)
 
 
 _TABS = ", ".join(f"('{tab}', '{c}', '{f}')" for tab, (c, f) in V.TABS.items())
@@ -98,6 +119,8 @@ _SLUG4 = f"{slug_b('p_brand')} || '-' || {slug_b('p_name')}"
 _TABBED = f"""(SELECT x.*, p_brand AS brand, p_name AS product, {slug_b('p_brand')} AS brand_slug, {_SLUG4} AS slug, price, mrp, size_ml, category, format, CASE WHEN x.row_id % 2 = 0 THEN 'SPF 50' END AS spf_pa, CASE WHEN x.row_id % 3 = 0 THEN left(repeat(p_name, 20), 150) END AS dupe_edge, CASE WHEN x.row_id % 4 = 0 THEN 'https://shop.example/' || x.row_id END AS page
  FROM (SELECT *, p_partkey AS row_id, CASE WHEN p_partkey % 7 = 0 THEN 'Other' ELSE ['{"', '".join(V.TABS)}'][p_partkey % 3 + 1] END AS tab_ FROM part) x JOIN (SELECT row_id, price, mrp, size_ml FROM {_SHEET}) USING (row_id) JOIN (VALUES {_TABS}) v(tab_, category, format) USING (tab_))"""
 _SEEN4 = f"(SELECT {_SLUG4} FROM part WHERE p_size < 5)"
+# what the gate gives without a label: variants, and two offers or more
+_DCS4 = f"(SELECT slug AS s, (10 + CASE WHEN count(*) > 1 THEN 20 ELSE 0 END)::INTEGER AS dcs FROM {_TABBED} GROUP BY 1)"
 _CLAIMS = "array_to_string(list_filter([spf_pa, dupe_edge], lambda c: c IS NOT NULL), '|')"
 
 
@@ -106,7 +129,7 @@ def s4_brand(s, d):
     return _sheet_tables(s, d)["brand"]
 
 
-@query("S-4_product", f"SELECT slug, brand_slug, product AS name, category, format, {_CLAIMS} AS claims, 'IN' AS markets, 75 AS dcs_score, 'provisional' AS index_tier, row_id FROM {_TABBED} WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
+@query("S-4_product", f"SELECT slug, brand_slug, product AS name, category, format, {_CLAIMS} AS claims, 'IN' AS markets, dcs AS dcs_score, 'provisional' AS index_tier, row_id FROM {_TABBED} JOIN {_DCS4} ON s = slug WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
 def s4_product(s, d):
     return _sheet_tables(s, d)["product"].withColumns({"claims": joined("claims"), "markets": joined("markets")})
 
@@ -121,7 +144,7 @@ def s4_offer(s, d):
     return _sheet_tables(s, d)["offer"]
 
 
-@query("S-4_page", f"SELECT 'product' AS archetype, '/p/' || slug AS url, 'en-in' AS locale, slug AS entity_refs, 75 AS dcs_score, true AS indexable, row_id FROM {_TABBED} WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
+@query("S-4_page", f"SELECT 'product' AS archetype, '/p/' || slug AS url, 'en-in' AS locale, slug AS entity_refs, dcs AS dcs_score, false AS indexable, 'provisional' AS index_tier, NULL::TIMESTAMP AS first_indexed_at, row_id FROM {_TABBED} JOIN {_DCS4} ON s = slug WHERE slug NOT IN {_SEEN4} QUALIFY row_number() OVER (PARTITION BY slug ORDER BY row_id) = 1")
 def s4_page(s, d):
     return _sheet_tables(s, d)["page"].withColumn("entity_refs", joined("entity_refs"))
 
@@ -134,20 +157,65 @@ def s5(s, d):
 
 @query("S-6", "SELECT seen_at::DATE AS seen_date, count(*) AS n, round(sum(price), 2) AS total FROM offers GROUP BY 1", "offers")
 def s6(s, d):
-    """Appends the offers in two runs and reads the ledger back, by its partition."""
-    from shelfspark.streaming.ingest import new_folder
+    """Appends the offers in two batches, each of them once, and reads the ledger back."""
+    from shelfspark.sources.store import Ledger, new_folder
 
-    ledger, offers = new_folder(s), A.offers(s, d)
+    ledger, offers = Ledger(s, new_folder(s, "ledger")), A.offers(s, d)
     for half in (0, 1):
-        feeds.append_offers(offers.where(F.col("l_orderkey") % 2 == half), ledger, "month")
-    return s.read.parquet(ledger).groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+        ledger.append(offers.where(F.col("l_orderkey") % 2 == half), f"half-{half}", unit="month")
+    return ledger.read().groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
+
+
+_SEED_BATCH = "seed-1"
+
 
+def _seeded(s, d):
+    """The load of part as demo products. Every third product was loaded by a run before, whose tables are written."""
+    k, name = F.col("p_partkey"), F.concat_ws(" ", "p_name", F.col("p_partkey").cast("string"))
+    slots = [F.struct(F.lit(" water ").alias("name"), F.lit(False).alias("is_active")), F.struct(F.lit("Vitamin B3").alias("name"), F.lit(True).alias("is_active")), F.struct(F.concat(F.lit("Oil "), (k % 7).cast("string")).alias("name"), (k % 2 == 0).alias("is_active"))]
+    offers = F.array(F.struct(F.lit("Nykaa").alias("retailer"), F.col("p_retailprice").alias("price")), F.struct(F.lit("Nobody").alias("retailer"), F.lit(1.0).alias("price")))
+    raw = A.table(s, d, "part").select(k.alias("row_id"), F.concat_ws("-", X.slug_b(F.col("p_brand")), X.slug_b(name)).alias("slug"), name.alias("name"), F.col("p_brand").alias("brand"), X.slug_b(F.col("p_brand")).alias("brand_slug"), F.col("p_type").alias("category"), F.lit("cream").alias("format"), F.array().cast("array<string>").alias("claims"), F.array(*slots).alias("ingredients"), F.col("p_size").cast("double").alias("size_ml"), offers.alias("offers"))
+    seeds = A.ingredients(s).select("inci_name", F.when(F.col("inci_name") == "Niacinamide", "Vitamin B3").otherwise(F.col("inci_name")).alias("canonical_name"), "synonyms", F.lit("B").alias("evidence_grade"))
+    brands = s.createDataFrame([("brand-11", "Brand Eleven", "IN", "Parent"), ("new-brand", "New Brand", "FR", None)], Z.EMPTY["brand"])
+    shops = s.createDataFrame([("Nykaa", "IN"), ("Tira", "IN")], "name string, market string")
+    state = Z.empty_catalog(s) | {"brand": s.createDataFrame([("brand-11", "Old name", None, None)], Z.EMPTY["brand"])}
+    first = Z.seed_catalog(raw.where("row_id % 3 = 0"), seeds, brands, shops, state, _SEED_BATCH)
+    return Z.seed_catalog(raw, seeds, brands, shops, {name: written(df) for name, df in first.items()}, _SEED_BATCH)
 
-@query("S-7", "SELECT p_brand AS brand, count(*) AS products FROM part GROUP BY 1 UNION ALL SELECT inci_name, 0 FROM ing WHERE inci_name NOT IN (SELECT p_brand FROM part)", "ing")
+
+_SEED_SLUG = f"{slug_b('p_brand')} || '-' || {slug_b("(p_name || ' ' || p_partkey)")}"
+_sid = "left(sha256({0}), 32)".format
+
+
+@query("S-7", f"SELECT {_sid(_SEED_SLUG)} AS product_id, {_sid(slug_b('p_brand'))} AS brand_id, p_name || ' ' || p_partkey AS name, {_SEED_SLUG} AS slug, p_type AS category, 0 AS dcs_score, 'provisional' AS index_tier FROM part")
 def s7(s, d):
-    brands = A.table(s, d, "part").groupBy(F.col("p_brand").alias("brand")).agg(F.count("*").alias("products"))
-    seed = A.ingredients(s).select(F.col("inci_name").alias("brand"), F.lit(0).cast("long").alias("products"))
-    return brands.union(U.insert_absent(brands, seed, ["brand"], [F.col("products")]))
+    return _seeded(s, d)["product"].select("product_id", "brand_id", "name", "slug", "category", "dcs_score", "index_tier")
+
+
+@query("S-7_ingredient", f"SELECT {_sid('lower(inci_name)')} AS ingredient_id, inci_name, 'B' AS evidence_grade FROM ing UNION ALL SELECT DISTINCT {_sid("('oil ' || p_partkey % 7)")}, 'Oil ' || p_partkey % 7, CASE WHEN arg_min(p_partkey % 2, (p_partkey % 3 > 0, p_partkey)) = 0 THEN 'A' ELSE 'B' END FROM part GROUP BY p_partkey % 7", "ing")
+def s7_ingredient(s, d):
+    return _seeded(s, d)["ingredient"].select("ingredient_id", "inci_name", "evidence_grade")
+
+
+@query("S-7_brand", f"SELECT DISTINCT {slug_b('p_brand')} AS slug, CASE WHEN {slug_b('p_brand')} = 'brand-11' THEN 'Brand Eleven' ELSE p_brand END AS name, CASE WHEN {slug_b('p_brand')} = 'brand-11' THEN 'IN' END AS country FROM part UNION SELECT 'brand-11', 'Brand Eleven', 'IN' UNION SELECT 'new-brand', 'New Brand', 'FR'")
+def s7_brand(s, d):
+    return _seeded(s, d)["brand"].select("slug", "name", "country")
+
+
+@query("S-7_slots", f"SELECT {_sid(_SEED_SLUG)} AS product_id, n AS position, {_sid("(CASE n WHEN 1 THEN 'water' WHEN 2 THEN 'niacinamide' ELSE 'oil ' || p_partkey % 7 END)")} AS ingredient_id, n = 2 OR n = 3 AND p_partkey % 2 = 0 AS is_active FROM part, (VALUES (1), (2), (3)) v(n)")
+def s7_slots(s, d):
+    return _seeded(s, d)["product_ingredient"].select("product_id", "position", "ingredient_id", "is_active")
+
+
+@query("S-7_offer", f"SELECT {_sid(_SEED_SLUG)} AS product_id, p_size::DOUBLE AS size_ml, p_retailprice AS mrp, {_sid("'Nykaa'")} AS retailer_id, p_retailprice AS price, 'https://www.nykaa.com/search?q=' || {_SEED_SLUG} AS affiliate_url FROM part")
+def s7_offer(s, d):
+    t = _seeded(s, d)
+    return t["variant"].join(t["offer"], "variant_id").select("product_id", "size_ml", "mrp", "retailer_id", "price", "affiliate_url")
+
+
+@query("S-7_page", f"SELECT '/p/' || {slug_b('p_brand')} || '/' || {_SEED_SLUG} AS url, {_sid(_SEED_SLUG)} AS product_id, 0 AS dcs_score, false AS indexable FROM part")
+def s7_page(s, d):
+    return _seeded(s, d)["page"].select("url", F.get("entity_refs", 0).alias("product_id"), "dcs_score", "indexable")
 
 
 @query("S-8", "SELECT event_id, event_id % 500 AS offer_id, ts AS clicked_at, left(sha256(CASE WHEN user_id % 10 = 0 THEN 'unknown' ELSE user_id::VARCHAR END), 32) AS ip_hash FROM events WHERE event_type = 'click' AND event_id % 500 IN (SELECT p_partkey FROM part)")
@@ -165,6 +233,20 @@ def u1(s, d):
     return U.upsert(old, new, ["k"], [F.desc("t"), F.desc("o")]).select("k", "v", "is_new")
 
 
+@query("U-1_merge", "SELECT o_custkey AS k, max_by(o_totalprice, struct_pack(a := o_orderdate, b := o_orderkey)) AS v FROM orders GROUP BY 1 UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 2 = 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def u1_merge(s, d):
+    """The same on a table by buckets: two batches, the second of them sent twice."""
+    from shelfspark.sources.store import KeyedTable, new_folder
+
+    zero = [F.lit("1900-01-01").cast("timestamp").alias("t"), F.lit(0).cast("long").alias("o")]
+    old = A.table(s, d, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("v"), *zero)
+    new = A.table(s, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_totalprice").alias("v"), F.col("o_orderdate").alias("t"), F.col("o_orderkey").alias("o"))
+    table = KeyedTable(s, new_folder(s, "keyed"), ["k"], 16)
+    for rows, batch in ((old, "customers"), (new, "orders"), (new, "orders")):
+        table.merge(rows, [F.desc("t"), F.desc("o")], batch)
+    return table.read().select("k", "v")
+
+
 @query("U-2", "SELECT o_custkey AS k, min(o_orderkey) AS o FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 3 = 0) GROUP BY 1")
 def u2(s, d):
     old = A.table(s, d, "customer").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("k"))
@@ -227,6 +309,11 @@ def f8(s, d):
     return A.product_ingredients(s, d).select("product_id", "ingredient_id", "position", F.round(S.ingredient_weight(F.col("position"), F.col("is_active")), 9).alias("w"))
 
 
+def _skin_types(products):
+    k = F.col("product_id")
+    return products.withColumn("skin_types", F.array_compact(F.array(*[F.when(k % n == 0, t) for n, t in zip((2, 3, 5), V.SKIN_TYPES, strict=True)])))
+
+
 _PAIR = "(SELECT a.product_id AS a, b.product_id AS b, a.mrp AS pa, a.size_ml AS sa, b.mrp AS pb, CASE WHEN b.product_id % 9 = 0 THEN 0 ELSE b.size_ml END AS sb, a.name AS na, b.name AS nb FROM products a JOIN products b ON b.product_id = a.product_id + 1)"
 
 
@@ -291,9 +378,9 @@ def f16(s, d):
     return _pairs(s, d).select("a", "b", F.round(S.per_ml(F.col("pb"), F.col("sb")), 6).alias("per_ml"))
 
 
-@query("F-17", "SELECT p_partkey AS k, CASE WHEN p_size % 6 <= 1 THEN 'A' WHEN p_size % 6 <= 3 THEN 'B' ELSE 'C' END AS grade FROM part")
+@query("F-17", "SELECT p_partkey AS k, CASE WHEN p_partkey % 3 = 0 THEN p_type ELSE 'Active/Solvent' END AS main_function, CASE WHEN p_size % 6 <= 1 THEN 'A' WHEN p_size % 6 <= 3 THEN 'B' ELSE 'C' END AS grade FROM part")
 def f17(s, d):
-    return A.table(s, d, "part").select(F.col("p_partkey").alias("k"), S.safety_grade(F.col("p_size") % 6).alias("grade"))
+    return A.table(s, d, "part").select(F.col("p_partkey").alias("k"), S.main_function(F.when(F.col("p_partkey") % 3 == 0, F.array("p_type", F.lit("Other"))).when(F.col("p_partkey") % 3 == 1, F.array())).alias("main_function"), S.safety_grade(F.col("p_size") % 6).alias("grade"))
 
 
 @query("F-18", "SELECT p_partkey AS k, CASE p_type WHEN 'ECONOMY' THEN 'Moisturizers' WHEN 'PROMO' THEN 'Sunscreens' WHEN 'LARGE' THEN 'Cleansers' ELSE 'Serums' END AS category FROM part")
@@ -317,10 +404,26 @@ def f21(s, d):
     return V.product_filter(A.products(s, d), category="PROMO", q="ring", limit=50, offset=5).select("product_id", "name", "slug")
 
 
-@query("F-22", "SELECT product_id, name FROM products JOIN (SELECT product_id AS pid, min(price) AS p FROM best GROUP BY 1) ON pid = product_id WHERE category = 'LARGE' AND p < 900 AND contains(lower(brand || ' ' || name), 'red') ORDER BY name, product_id LIMIT 8", "products", "best")
-def f22(s, d):
+def _faceted(s, d):
+    """products with lowest price, skin types and active ingredients (as i and their number)."""
     low = L.best_per_retailer(A.offers(s, d), TIE).groupBy("product_id").agg(F.min("price").alias("lowest"))
-    return V.faceted(A.products(s, d).join(low, "product_id"), category="LARGE", budget=900, q="red").orderBy("name", "product_id").limit(8).select("product_id", "name")
+    rows = A.product_ingredients(s, d).where("is_active").groupBy("product_id").agg(F.array_sort(F.collect_list(F.struct("position", F.concat(F.lit("I"), F.col("ingredient_id").cast("string")).alias("i")))).alias("x"))
+    return _skin_types(A.products(s, d)).join(low, "product_id").join(rows.select("product_id", F.col("x.i").alias("actives")), "product_id", "left")
+
+
+_FACETED = """(SELECT *, lower(concat_ws(' ', brand, name, acts)) AS words FROM products JOIN (SELECT product_id AS pid, min(price) AS p FROM best GROUP BY 1) ON pid = product_id
+ LEFT JOIN (SELECT product_id AS aid, string_agg('I' || ingredient_id, ' ' ORDER BY position) AS acts FROM pi WHERE is_active GROUP BY 1) ON aid = product_id)"""
+
+
+@query("F-22", f"SELECT product_id, name FROM {_FACETED} WHERE category = 'LARGE' AND p < 1100 AND product_id % 3 = 0 AND contains(words, 'i1')", "products", "best", "pi")
+def f22(s, d):
+    return V.faceted(_faceted(s, d), category="LARGE", budget=1100, q="i1", skin="Dry").select("product_id", "name")
+
+
+@query("F-22_suggestions", f"SELECT product_id, name FROM {_FACETED} WHERE contains(words, 'i1') ORDER BY name, product_id LIMIT 8", "products", "best", "pi")
+def f22_suggestions(s, d):
+    """The first eight are the feature."""
+    return V.suggestions(_faceted(s, d), " I1 ").select("product_id", "name")
 
 
 @query("F-23", "SELECT url, archetype, locale FROM pages_ JOIN (SELECT DISTINCT '/p/' || slug AS u FROM products JOIN (SELECT DISTINCT user_id FROM events) ON user_id = product_id) ON u = url", "pages_", "products")
@@ -458,12 +561,30 @@ def j6(s, d):
  SELECT q.vec_id AS query_id, v.vec_id AS id, {half_up("list_sum(list_transform(list_zip(q.embedding, v.embedding), lambda x: x[1]::DOUBLE * x[2]::DOUBLE))", 6)} AS similarity FROM embeddings q JOIN embeddings v ON q.label = v.label AND q.vec_id <> v.vec_id WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
 def j7(s, d):
     v = A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
-    return D.top_cosine(v, v.where("id % 100 = 0"), "label").select("query_id", "id", "similarity", "rank")
+    return K.nearest(v, v.where("id % 100 = 0"), "label").select("query_id", "id", "similarity", "rank")
+
+
+@query("J-7_cells")
+def j7_cells(s, d):
+    """The index: as many cells as a sample of the queries needs for 0.95 of its neighbours."""
+    v = A.table(s, d, "embeddings").select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("v"))
+    queries = v.where("id % 100 = 0")
+    return K.nearest(v, queries, "label", probes=K.probes_for(v, queries, "label")).select("query_id", "id", "similarity", "rank")
 
 
-@query("J-8", "SELECT a.url, b.url AS sibling, b.locale FROM scored a JOIN scored b ON a.archetype = b.archetype AND a.entity_refs = b.entity_refs WHERE b.indexable", "scored")
+def _shared_refs(s, d):
+    """Scored pages of which up to four share archetype and entities, some have none and some a null."""
+    k = F.get("entity_refs", 0)
+    none = F.when(k % 10 == 0, F.array().cast("array<long>")).when(k % 10 != 5, F.array(F.floor(k / 28) * 7 + k % 7))
+    return _scored(s, d).withColumn("entity_refs", none)
+
+
+_REFS = "(SELECT url, archetype, locale, indexable, dcs_score, CASE WHEN entity_refs[1] % 10 NOT IN (0, 5) THEN entity_refs[1] // 28 * 7 + entity_refs[1] % 7 END AS ref FROM scored)"
+
+
+@query("J-8", f"SELECT a.url, b.url AS sibling, b.locale FROM {_REFS} a JOIN {_REFS} b ON a.archetype = b.archetype AND a.ref = b.ref WHERE b.indexable", "scored")
 def j8(s, d):
-    return V.siblings(_scored(s, d)).select("url", "sibling", "locale")
+    return V.siblings(_shared_refs(s, d)).select("url", "sibling", "locale")
 
 
 @query("J-9", "SELECT archetype, coalesce(n, 0) AS total_pages, coalesce(c, 0)::BIGINT AS clicks FROM (SELECT archetype, count(*) AS n FROM scored GROUP BY 1) FULL JOIN (SELECT archetype, sum(clicks) AS c FROM search JOIN pages_ ON page_url = pages_.url GROUP BY 1) USING (archetype)", "scored", "search", "pages_")
@@ -492,10 +613,12 @@ def j13(s, d):
     return A.products(s, d).join(L.latest_in_stock(A.offers(s, d), TIE), "product_id", "left").select("product_id", "name", "price", "currency", "seen_at")
 
 
-@query("J-14", f"SELECT DISTINCT c AS wanted, min(ingredient_id) AS ingredient_id FROM each JOIN ing ON {slug_a('c')} = {slug_a('inci_name')} GROUP BY c", "each", "ing")
+@query("J-14", f"SELECT c AS wanted, min(ingredient_id) AS ingredient_id FROM each JOIN ing ON {slug_a('c')} = {slug_a('inci_name')} OR ingredient_id % 3 = 0 AND {slug_a('c')} = {slug_a('synonyms[1]')} GROUP BY c", "each", "ing")
 def j14(s, d):
+    """Every third ingredient's canonical name is its first synonym."""
     wanted = N.tokenize(A.labels(s, d)).select(F.explode("candidates").alias("c")).select(F.upper(F.trim("c")).alias("wanted")).distinct()
-    return V.ingredient_by_slug(wanted, A.ingredients(s)).select("wanted", "ingredient_id")
+    named = A.ingredients(s).withColumn("canonical_name", F.when(F.col("ingredient_id") % 3 == 0, F.get("synonyms", 0)).otherwise(F.col("inci_name")))
+    return V.ingredient_by_slug(wanted, named).select("wanted", "ingredient_id")
 
 
 # -- aggregates
@@ -507,7 +630,7 @@ def a1(s, d):
 
 
 def _metrics(s, d):
-    return C.product_metrics(A.product_ingredients(s, d), A.offers(s, d), A.products(s, d), F.col("product_id") % 30, F.col("product_id") % 4 == 0)
+    return C.product_metrics(A.product_ingredients(s, d), A.offers(s, d), A.products(s, d), F.col("product_id") % 30, F.col("product_id") % 4 == 0, A.variants(s, d))
 
 
 def _scored(s, d):
@@ -584,11 +707,17 @@ def a13(s, d):
     return A.products(s, d).groupBy(F.lower("brand").alias("brand")).agg(F.count("*").alias("n"))
 
 
-@query("A-14", "SELECT count(*) AS edges, count(*) FILTER (WHERE (a + b) % 2 = 0) AS new_edges FROM edges", "edges")
+@query("A-14", f"""SELECT 'edges' AS counter, count(*) AS n FROM edges UNION ALL SELECT 'new edges', count(*) FROM edges WHERE (a + b) % 2 = 0 UNION ALL SELECT 'products queued', count(DISTINCT product_id) FROM pi
+ UNION ALL SELECT 'search rows', count(*) FROM search WHERE date = DATE '{A.SEARCH_AS_OF}' - 2 UNION ALL SELECT 'new search rows', count(*) FROM search WHERE date = DATE '{A.SEARCH_AS_OF}' - 2 AND clicks = 0
+ UNION ALL SELECT 'seeds', count(*) FROM ing UNION ALL SELECT 'new seeds', count(*) FROM ing WHERE ingredient_id % 4 <> 0""", "edges", "pi", "search", "ing")
 def a14(s, d):
-    edges = _edges(s, d)
-    both = U.upsert(edges.where("(a + b) % 2 = 1"), edges, ["a", "b"], [F.desc("computed_at")])
-    return both.agg(F.count("*").alias("edges"), F.count_if("is_new").alias("new_edges"))
+    edges, seeds = _edges(s, d), A.ingredients(s)
+    upserted = U.upsert(edges.where("(a + b) % 2 = 1"), edges, ["a", "b"], [F.desc("computed_at")])
+    day = F.date_sub(F.lit(A.SEARCH_AS_OF).cast("date"), 2)
+    return L.run_counters(
+        {"edges": upserted, "products queued": A.product_ingredients(s, d).select("product_id").distinct(), "search rows": g1(s, d).where(F.col("date") == day), "seeds": seeds},
+        {"new edges": upserted.where("is_new"), "new search rows": g1(s, d).where("is_new"), "new seeds": U.insert_absent(seeds.where("ingredient_id % 4 = 0"), seeds, ["inci_name"], [F.col("ingredient_id")])},
+    )
 
 
 # -- ranks
@@ -648,15 +777,19 @@ def w6(s, d):
     return E.tier2(_sized(s, d), A.products(s, d))
 
 
-@query("W-7", "SELECT ingredient_id, (row_number() OVER (ORDER BY ingredient_id) - 1)::INTEGER AS dim FROM (SELECT DISTINCT ingredient_id FROM pi)", "pi")
+_VOCAB = "(SELECT ingredient_id, (row_number() OVER (ORDER BY ingredient_id % 3 > 0, ingredient_id) - 1)::INTEGER AS dim FROM (SELECT DISTINCT ingredient_id FROM pi))"
+
+
+def _vocabulary(s, d):
+    """Numbered in two runs: ids divisible by three first, then all; the first ones keep their numbers."""
+    ids = A.product_ingredients(s, d).select("ingredient_id")
+    none = s.createDataFrame([], "ingredient_id long, dim int")
+    return Z.extend_vocabulary(Z.extend_vocabulary(none, ids.where("ingredient_id % 3 = 0")), ids)
+
+
+@query("W-7", f"SELECT ingredient_id, dim FROM {_VOCAB}", "pi")
 def w7(s, d):
-    """Numbered by parts of 1024 ids: no task gets all ids, and only one row a part is added up in order."""
-    part = F.floor(F.col("ingredient_id") / 1024)
-    ids = A.product_ingredients(s, d).select("ingredient_id").distinct().withColumn("part", part)
-    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = ids.groupBy("part").agg(F.count("*").alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    rank = F.row_number().over(Window.partitionBy("part").orderBy("ingredient_id")) - 1
-    return ids.withColumn("rank", rank).join(offsets, "part").select("ingredient_id", (F.col("rank") + F.col("before")).cast("int").alias("dim"))
+    return _vocabulary(s, d)
 
 
 @query("W-8", "SELECT product_id, ingredient_id, max(position) AS position FROM pi GROUP BY 1, 2", "pi")
@@ -749,10 +882,21 @@ def v1(s, d):
     return D.formula_vectors(A.product_ingredients(s, d)).withColumn("weight", F.round("weight", 6))
 
 
-@query("V-2", f"SELECT a, b, {half_up('similarity', 6)} AS similarity FROM cos", "cos")
+_NARROW = 64
+
+
+@query("V-1_dense", f"SELECT product_id, dim, round(w / sqrt(sum(w * w) OVER (PARTITION BY product_id)), 3) AS weight FROM (SELECT product_id, dim, exp(-0.2 * (max(position) - 1)) * CASE WHEN max(position) <= 4 THEN 2.0 ELSE 1.0 END AS w FROM pi JOIN {_VOCAB} USING (ingredient_id) WHERE dim < {_NARROW} GROUP BY ALL)", "pi")
+def v1_dense(s, d):
+    """The cells over zero of arrays that are narrower than the vocabulary: what lies beyond is not used, also not in the length."""
+    vocabulary = _vocabulary(s, d)
+    dense = D.dense_vectors(D.formula_vectors(A.product_ingredients(s, d), vocabulary, _NARROW), vocabulary, _NARROW)
+    return dense.select("product_id", F.posexplode("v").alias("dim", "weight")).where("weight > 0").withColumn("weight", F.round(F.col("weight").cast("double"), 3))
+
+
+@query("V-2", f"SELECT a, b, {half_up('similarity', 6)} AS similarity FROM cos WHERE similarity >= 0.1", "cos")
 def v2(s, d):
     blocked = D.formula_vectors(A.product_ingredients(s, d)).join(A.products(s, d).select("product_id", "category"), "product_id")
-    return D.pairwise_cosine(blocked, "category").withColumn("similarity", X.half_up(F.col("similarity"), 6))
+    return D.pairwise_cosine(blocked, "category", 0.1).withColumn("similarity", X.half_up(F.col("similarity"), 6))
 
 
 @query("V-3", f"SELECT product_id, other_id, {half_up('similarity', 6)} AS similarity FROM cand", "cand")
@@ -770,6 +914,16 @@ def v5(s, d):
     return _edges(s, d)
 
 
+@query("V-5_refresh", f"SELECT product_id, other_id, {half_up('similarity', 6)} AS similarity, rank::INTEGER AS rank FROM cand", "cand")
+def v5_refresh(s, d):
+    """The lists are made from labels of which some lack their last slots, and are then refreshed for these products."""
+    whole, shop = A.product_ingredients(s, d), A.products(s, d)
+    changed = F.col("product_id") % 20 == 0
+    old = D.dupe_candidates(D.formula_vectors(whole.where(~changed | (F.col("position") <= 3))), shop)
+    out = D.refresh_candidates(old, D.formula_vectors(whole), shop, shop.where(changed).select("product_id"))
+    return out.select("product_id", "other_id", X.half_up(F.col("similarity"), 6).alias("similarity"), "rank")
+
+
 @query("V-6", f"SELECT * FROM {_V6}", "edges", "pi", "lowest", "products")
 def v6(s, d):
     return _set_similarity(s, d)
@@ -786,11 +940,9 @@ _SPEC = f"""spec AS (SELECT p.product_id, p.slug, p.name, p.brand, l.price / p.s
 
 @query("V-7")
 def v7(s, d):
-    k = F.col("product_id")
-    fits = F.array_compact(F.array(*[F.when(k % n == 0, t) for n, t in zip((2, 3, 5), V.SKIN_TYPES, strict=True)]))
-    p = A.products(s, d).withColumn("skin_types", fits)
+    p = _skin_types(A.products(s, d))
     slug = {x: p.select(F.col("product_id").alias(x), F.col("slug").alias(f"slug_{x}")) for x in "ab"}
-    pairs = _edges(s, d).select("a", "b").join(slug["a"], "a").join(slug["b"], "b").select(F.concat("slug_a", F.lit("-vs-"), "slug_b").alias("pair"))
+    pairs = _edges(s, d).select("a", "b").join(slug["a"], "a").join(slug["b"], "b").select(F.concat("slug_a", F.lit("-vs-"), "slug_b").alias("pair"), F.array("slug_a", "slug_b").alias("slugs"))
     out = V.compare(pairs, p, L.lowest_offer(A.offers(s, d), TIE), A.product_ingredients(s, d), _scored(s, d))
     return out.withColumns({"per_ml": X.half_up(F.col("per_ml"), 4)} | {c: joined(c) for c in ("shared", "unique", "actives", "skin_fit")})
 
@@ -852,10 +1004,25 @@ def e7(s, d):
 
 @query("E-8", f"SELECT item_id, CASE item_id % 3 WHEN 0 THEN 'approved' WHEN 1 THEN 'rejected' ELSE 'pending' END AS status, CASE WHEN item_id % 3 = 0 THEN candidate_id END AS variant_id, CASE WHEN item_id % 3 < 2 THEN 'ann' END AS reviewed_by FROM {_RES} WHERE confidence < 0.85", "feed_ok", "products")
 def e8(s, d):
+    return _reviewed(s, d)[0].select("item_id", "status", "variant_id", "reviewed_by")
+
+
+def _reviewed(s, d):
     queue = E.route(_resolved(s, d)).where("status = 'pending'")
     k = F.col("item_id") % 3
     decisions = A.feed_items(s, d).where(k < 2).select("item_id", F.when(k == 0, "approved").otherwise("rejected").alias("decision"), F.lit("ann").alias("reviewer"), F.lit(None).cast("long").alias("variant_id"))
-    return E.apply_reviews(queue, decisions, A.AS_OF)[0].select("item_id", "status", "variant_id", "reviewed_by")
+    items = feeds.normalise(A.feed_items(s, d)).withColumn("retailer_id", F.col("feed_id"))
+    return E.apply_reviews(queue, decisions, A.AS_OF, items)
+
+
+@query("E-8_offers", f"SELECT item_id, candidate_id AS variant_id, feed_id AS retailer_id, price, currency, affiliate_url, TIMESTAMP '{A.AS_OF}' AS seen_at FROM {_RES} JOIN feed_ok USING (item_id) WHERE confidence < 0.85 AND item_id % 3 = 0 AND candidate_id IS NOT NULL AND price > 0", "feed_ok", "products")
+def e8_offers(s, d):
+    """What the approvals append, read back from the ledger."""
+    from shelfspark.sources.store import Ledger, new_folder
+
+    ledger = Ledger(s, new_folder(s, "ledger"))
+    ledger.append(_reviewed(s, d)[1], "reviews")
+    return ledger.read().select("item_id", "variant_id", "retailer_id", F.col("price").cast("double").alias("price"), "currency", "affiliate_url", "seen_at")
 
 
 @query("I-1", "SELECT item_id, outcome, error, CASE WHEN outcome = 'inserted' THEN variant_id END AS variant_id, size_ml FROM feed_ok", "feed_ok")
@@ -884,6 +1051,12 @@ def c3(s, d):
     return C.promote(old, _scored(s, d), A.AS_OF).select("url", "dcs_score", "indexable", "first_indexed_at")
 
 
+@query("C-3_product", "SELECT p.product_id, coalesce(s.dcs_score, 0) AS dcs_score, CASE WHEN s.indexable THEN 'indexed' WHEN s.indexable IS NULL AND p.product_id % 2 = 0 THEN 'old' ELSE 'provisional' END AS index_tier FROM products p LEFT JOIN scored s ON s.entity_refs[1] = p.product_id AND s.archetype IN ('product', 'p')", "products", "scored")
+def c3_product(s, d):
+    products = A.products(s, d).select("product_id", F.lit(0).alias("dcs_score"), F.when(F.col("product_id") % 2 == 0, "old").otherwise("provisional").alias("index_tier"))
+    return C.sync_products(products, _scored(s, d))
+
+
 @query("G-1", f"SELECT search.url, date, clicks, impressions, ctr, CASE WHEN date = DATE '{A.SEARCH_AS_OF}' - 2 OR clicks = 0 THEN position ELSE 0 END AS position, archetype, pages_.url AS page_url, date = DATE '{A.SEARCH_AS_OF}' - 2 AND clicks = 0 AS is_new FROM search JOIN pages_ ON page_url = pages_.url", "search", "pages_")
 def g1(s, d):
     """The table has all days, but of the loaded day only pages with clicks; their stale positions are 0 and are replaced."""
@@ -951,9 +1124,9 @@ def r3_all(s, d):
     return out.select("ingredient_id", "products", F.array_min(F.transform("top", lambda t: t["position"])).cast("long").alias("best_position"))
 
 
-@query("R-4", "SELECT url, CASE WHEN indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots, CASE WHEN indexable THEN locale || '=' || url ELSE '' END AS hreflang FROM scored", "scored")
+@query("R-4", f"SELECT x.url, CASE WHEN x.indexable THEN 'index, follow' ELSE 'noindex, follow' END AS robots, coalesce(string_agg(y.locale || '=' || y.url, '|' ORDER BY y.locale, y.url), '') AS hreflang FROM {_REFS} x LEFT JOIN {_REFS} y ON x.archetype = y.archetype AND x.ref = y.ref AND y.indexable GROUP BY x.url, x.indexable", "scored")
 def r4(s, d):
-    out = V.page_metadata(_scored(s, d))
+    out = V.page_metadata(_shared_refs(s, d))
     return out.select("url", "robots", F.array_join(F.transform("hreflang", lambda h: F.concat(h["locale"], F.lit("="), h["url"])), "|").alias("hreflang"))
 
 

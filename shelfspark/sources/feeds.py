@@ -1,4 +1,4 @@
-"""Feed, sheet and search-metric sources; append-only sinks."""
+"""Feed, sheet and search-metric sources."""
 
 from __future__ import annotations
 
@@ -11,9 +11,31 @@ ENVELOPE = "retailer_id string, slug string, source_url string, items array<stru
 SEARCH = "keys array<string>, clicks double, impressions double, ctr double, position double"
 
 
-def read_envelopes(spark: SparkSession, path: str) -> DataFrame:
-    """S-1: JSON envelopes, one row per item."""
-    return explode_items(spark.read.schema(ENVELOPE).json(path))
+#: An envelope as it is read: fields that are of another type come out as null, lines that are no JSON in `broken`.
+LOOSE = ENVELOPE + ", broken string"
+
+
+def read_envelopes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """S-1: JSON envelopes, one a line -> items, and rejects (line, reason): every line that is not blank is in one of them.
+
+    A line is rejected whole if it is no JSON object, has no retailer or slug, or if its items are missing, empty, no list of
+    objects or of wrong types; items without content are rejected one by one by `valid`."""
+    return split_envelopes(spark.read.text(path))
+
+
+def split_envelopes(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(value) -> items and rejects of read_envelopes."""
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "broken"}
+    rows = lines.where(F.trim("value") != "").select(F.col("value").alias("line"), F.from_json("value", LOOSE, options).alias("e"))
+    empty = lambda c: F.coalesce(F.trim(c) == "", F.lit(True))
+    reason = (
+        F.when(F.col("e").isNull() | F.col("e.broken").isNotNull(), F.when(F.try_parse_json("line").isNull(), "no JSON").otherwise("wrong types"))
+        .when(empty(F.col("e.retailer_id")), "no retailer").when(empty(F.col("e.slug")), "no slug")
+        .when(F.col("e.items").isNull(), "no items").when(F.size("e.items") == 0, "empty items").when(F.exists("e.items", lambda x: x.isNull()), "an item is no object")
+    )
+    judged = rows.withColumn("reason", reason)
+    good = judged.where("reason is null").select("e.*").drop("broken")
+    return explode_items(good), judged.where("reason is not null").select("line", "reason")
 
 
 def explode_items(envelopes: DataFrame) -> DataFrame:
@@ -62,14 +84,6 @@ def flatten_search_rows(raw: DataFrame, date: Column) -> DataFrame:
     )
 
 
-def append_offers(offers: DataFrame, path: str, unit: str = "day") -> None:
-    """S-6: one new row per observation, in folders by date (or by the first day of its month or year: `unit`); nothing is ever
-    updated. Rows are brought together by folder first, so that an append adds few files; a large folder is split again."""
-    name = "seen_date" if unit == "day" else f"seen_{unit}"
-    dated = offers.withColumn("seen_date", F.to_date("seen_at")).withColumn(name, F.to_date(F.date_trunc(unit, "seen_at")))
-    dated.hint("rebalance", name).write.mode("append").partitionBy(name).parquet(path)
-
-
 def click_rows(clicks: DataFrame, offers: DataFrame) -> DataFrame:
     """S-8: clicks (offer_id, clicked_at, ip, referrer, user_agent) on known offers, the address as a hash."""
     known = offers.select("offer_id").distinct()

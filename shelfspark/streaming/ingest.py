@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfspark.operators.ledger import ingest
 from shelfspark.sources.feeds import click_rows
+from shelfspark.sources.store import new_folder
 
 
 def stream_feed(items: DataFrame, variants: DataFrame, out: str, checkpoint: str):
@@ -28,19 +26,9 @@ def stream_clicks(clicks: DataFrame, offers: DataFrame, out: str, checkpoint: st
     return click_rows(clicks, offers).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def new_folder(spark: SparkSession) -> str:
-    """A folder of its own under spark.checkpoint.dir; only a local session without that setting gets one in /tmp."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
-
-
 def replay_feed(spark: SparkSession, items: DataFrame, variants: DataFrame) -> DataFrame:
     """Feeds a table through the stream, as JSON files, and returns what it wrote."""
-    home = new_folder(spark)
+    home = new_folder(spark, "stream")
     items.write.json(f"{home}/in")
     source = spark.readStream.schema(items.schema).option("maxFilesPerTrigger", 4).json(f"{home}/in")
     stream_feed(source, variants, f"{home}/out", f"{home}/state").awaitTermination()
@@ -48,7 +36,7 @@ def replay_feed(spark: SparkSession, items: DataFrame, variants: DataFrame) -> D
 
 
 def replay_clicks(spark: SparkSession, clicks: DataFrame, offers: DataFrame) -> DataFrame:
-    home = new_folder(spark)
+    home = new_folder(spark, "stream")
     clicks.write.parquet(f"{home}/in")
     source = spark.readStream.schema(clicks.schema).parquet(f"{home}/in")
     stream_clicks(source, offers, f"{home}/out", f"{home}/state").awaitTermination()
