@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scores import combined_score, name_score, size_score
+from shelfspark.functions.scores import combined_score, name_score, quick_ratio, size_score
 from shelfspark.functions.text import clean_title, slug_a
 from shelfspark.operators.ledger import first_by, gtin_lookup
 from shelfspark.operators.nearest import nearest
@@ -48,6 +48,7 @@ def size_band(items: DataFrame, variants: DataFrame, band: float = BAND, **extra
 def tier2(items: DataFrame, variants: DataFrame, most: int = 50, mode: str = "levenshtein") -> DataFrame:
     """E-2: the best of the `most` variants nearest in size, by name and size. Distinct titles are paired and scored.
 
+    In mode difflib a bound of the score, from the characters in common, spares the candidates that cannot be the best.
     Nearness is (difference, id), so of one size only the `most` smallest ids can be among the nearest: variants are cut to
     those before the join, which then grows with the sizes in the band and not with the catalog.
     """
@@ -56,19 +57,32 @@ def tier2(items: DataFrame, variants: DataFrame, most: int = 50, mode: str = "le
     possible = first_by(variants.where("size_ml > 0"), ["size_ml"], ["product_id"], most).drop("rank")
     near = size_band(kinds, possible).withColumn("diff", F.abs(F.col("cand_size") - F.col("size_ml")))
     few = first_by(near, ["clean", "size_ml"], ["diff", "cand_id"], most).drop("rank")
+    if mode == "difflib":
+        few = _worth_scoring(written(few))
     pairs = few.select("clean", "cand_name").distinct().withColumn("name_score", name_score(F.col("clean"), F.col("cand_name"), mode))
     scored = few.join(pairs, ["clean", "cand_name"]).withColumn("score", combined_score(F.col("name_score"), size_score(F.col("size_ml"), F.col("cand_size"))))
     best = first_by(scored, ["clean", "size_ml"], [F.desc("score"), "diff", "cand_id"]).select("clean", "size_ml", F.col("cand_id").alias("t2_id"), F.col("score").alias("t2_score"))
     return titled.join(best, ["clean", "size_ml"]).select("item_id", "t2_id", "t2_score")
 
 
+def _worth_scoring(few: DataFrame) -> DataFrame:
+    """Of the candidates of each (clean, size_ml) those whose bound of the score reaches the score of the one with the highest bound."""
+    key = ["clean", "size_ml"]
+    names = written(few.select("clean", "cand_name").distinct().withColumn("quick", quick_ratio(F.col("clean"), F.col("cand_name"))))
+    bounded = written(few.join(names, ["clean", "cand_name"]).withColumn("most", combined_score(F.col("quick"), size_score(F.col("size_ml"), F.col("cand_size")))).drop("quick"))
+    head = first_by(bounded, key, [F.desc("most"), "diff", "cand_id"]).select(*key, "cand_name", "cand_size")
+    first = head.select("clean", "cand_name").distinct().withColumn("name_score", name_score(F.col("clean"), F.col("cand_name"), "difflib"))
+    reached = head.join(first, ["clean", "cand_name"]).select(*key, combined_score(F.col("name_score"), size_score(F.col("size_ml"), F.col("cand_size"))).alias("least"))
+    return bounded.join(reached, key).where(F.col("most") >= F.col("least")).drop("most", "least")
+
+
 def tier3(items: DataFrame, variants: DataFrame, embed, k: int = 5, probes: int | None = None) -> DataFrame:
     """E-3: 0.7 cosine + 0.3 size over the k nearest by cosine in the size band. embed: a column function text -> unit vector.
 
     Each distinct name is embedded once. Distinct (title, size) pairs look up buckets of sizes, as in J-5, by cells (`nearest`);
     probes: cells that they visit in each bucket, all if None. Cosines are compared at nine digits, ties go to the smaller id."""
     kinds = items.select(clean_title(F.col("title"), F.col("brand_name")).alias("clean"), "size_ml", "item_id")
-    asked = kinds.where("size_ml > 0").select("clean", "size_ml").distinct().withColumn("id", F.xxhash64("clean", "size_ml"))
+    asked = written(kinds.where("size_ml > 0").select("clean", "size_ml").distinct()).withColumn("id", F.xxhash64("clean", "size_ml"))
     shop = variants.where("size_ml > 0").select(F.col("product_id").alias("id"), "name", F.col("size_ml").alias("x"))
     names = asked.select(F.col("clean").alias("text")).union(shop.select("name")).distinct().withColumn("v", embed(F.col("text")))
     step = math.log(1 + BAND)

@@ -160,9 +160,9 @@ def s6(s, d):
     """Appends the offers in two batches, each of them once, and reads the ledger back."""
     from shelfspark.sources.store import Ledger, new_folder
 
-    ledger, offers = Ledger(s, new_folder(s, "ledger")), A.offers(s, d)
+    ledger, offers = Ledger(s, new_folder(s, "ledger"), unit="month"), A.offers(s, d)
     for half in (0, 1):
-        ledger.append(offers.where(F.col("l_orderkey") % 2 == half), f"half-{half}", unit="month")
+        ledger.append(offers.where(F.col("l_orderkey") % 2 == half), f"half-{half}")
     return ledger.read().groupBy("seen_date").agg(F.count("*").alias("n"), F.round(F.sum("price"), 2).alias("total"))
 
 
@@ -353,6 +353,11 @@ def f12(s, d):
     return _pairs(s, d).select("a", "b", S.combined_score(S.name_score(F.col("na"), F.col("nb")), S.size_score(F.col("sa"), F.col("sb"))).alias("score"))
 
 
+@query("F-12_difflib")
+def f12_difflib(s, d):
+    return _pairs(s, d).select("a", "b", "na", "nb", "sa", "sb", S.combined_score(S.name_score(F.col("na"), F.col("nb"), "difflib"), S.size_score(F.col("sa"), F.col("sb"))).alias("score"))
+
+
 @query("F-13", "SELECT page_id, regexp_replace(regexp_extract(url, '^[a-z]+://[^/]+([^#]*)', 1), '#.*', '') AS path FROM pages")
 def f13(s, d):
     return A.table(s, d, "pages").select("page_id", X.relative_path(F.col("url")).alias("path"))
@@ -961,6 +966,12 @@ def e2(s, d):
     return E.tier2(rest, A.products(s, d))
 
 
+@query("E-2_difflib")
+def e2_difflib(s, d):
+    rest = E.tier1(_sized(s, d), A.products(s, d)).where("variant_id is null")
+    return E.tier2(rest, A.products(s, d), mode="difflib")
+
+
 @query("E-3")
 def e3(s, d):
     rest = E.tier1(_sized(s, d), A.products(s, d)).where("variant_id is null")
@@ -980,6 +991,11 @@ def e4(s, d):
     return _resolved(s, d).select("item_id", "tier", "candidate_id", "confidence")
 
 
+@query("E-4_difflib")
+def e4_difflib(s, d):
+    return E.resolve(_sized(s, d), A.products(s, d), mode="difflib").select("item_id", "tier", "candidate_id", "confidence")
+
+
 @query("E-4_embedding")
 def e4_embedding(s, d):
     return _resolved(s, d, S.embed())

@@ -59,13 +59,13 @@ class Ledger:
     append of a batch is refused, as is every other change; what an append left that was lost on its way is not read, and goes
     when the batch is appended again."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    def __init__(self, spark: SparkSession, path: str, by: str = "seen_at", unit: str = "day"):
+        self.spark, self.path, self.by, self.unit = spark, path.rstrip("/"), by, unit
 
     def batches(self) -> list[str]:
         return [n.removesuffix(".json") for n in _names(self.spark, f"{self.path}/batches") if n.endswith(".json")]
 
-    def append(self, rows: DataFrame, batch: str, by: str = "seen_at", unit: str = "day") -> None:
+    def append(self, rows: DataFrame, batch: str) -> None:
         """Rows in folders by date (or by the first day of its month or year: `unit`). They are brought together by folder first,
         so that an append adds few files; a large folder is split again."""
         if not batch or not all(c.isalnum() or c in "-_" for c in batch):
@@ -73,9 +73,9 @@ class Ledger:
         if batch in self.batches():
             raise FileExistsError(f"batch {batch} is in the ledger, which is append-only")
         data = f"{self.path}/data/batch={batch}/try={uuid.uuid4().hex}"
-        day = f"{by.removesuffix('_at')}_date"
-        name = day if unit == "day" else day.replace("_date", f"_{unit}")
-        dated = rows.withColumn(day, F.to_date(by)).withColumn(name, F.to_date(F.date_trunc(unit, by)))
+        stem = self.by.removesuffix("_at")
+        name = f"{stem}_{'date' if self.unit == 'day' else self.unit}"
+        dated = rows.withColumn(f"{stem}_date", F.to_date(self.by)).withColumn(name, F.to_date(F.date_trunc(self.unit, self.by)))
         dated.hint("rebalance", name).write.mode("errorifexists").partitionBy(name).parquet(data)
         _create(self.spark, f"{self.path}/batches/{batch}.json", json.dumps({"data": data}))
 

@@ -1,16 +1,21 @@
 """Fuzzy matches against all pairs."""
 
 import difflib
+import math
 import random
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from shelfspark.functions.scores import name_score, quick_ratio
+from shelfspark.functions.scores import quick_ratio
+from shelfspark.functions.text import clean_title, volume_ml
 from shelfspark.operators import labels as N
+from shelfspark.operators import resolve as E
 from shelfspark.operators.fuzzy import fuzzy_pairs
 from shelfspark.plans import adapters as A
+from shelfspark.plans.registry import QUERIES
+from shelfspark.sources.feeds import normalise
 
 SF = "/root/testdata/sf0.01"
 
@@ -95,3 +100,46 @@ def test_a_large_dictionary(spark):
         assert got.c == 2000 and got.n == 2000 and got.s >= 0.9
     print(took)
     assert took[1_000_000] < 20 * took[100_000] + 20
+
+
+def size_score(a, b):
+    dev = abs(a - b) / b if b else 9
+    return 1.0 if dev == 0 else 1 - dev / 0.05 * 0.2 if dev <= 0.05 else 0.5 if dev <= 0.15 else 0.0
+
+
+def combined(name, size):
+    return math.floor((0.70 * name + 0.30 * size) * 10000 + 0.5) / 10000
+
+
+def ratio(a, b):
+    return difflib.SequenceMatcher(None, a.strip().upper(), b.strip().upper()).ratio()
+
+
+def test_combined_score_by_the_ratio(spark):
+    for r in QUERIES["F-12_difflib"](spark, SF).collect():
+        assert r.score == pytest.approx(combined(ratio(r.na, r.nb), size_score(r.sa, r.sb)), abs=1e-9)
+
+
+def test_tiers_by_the_ratio(spark):
+    """E-2 and E-4 in mode difflib: every item's best of all of its fifty candidates, though most pairs are not scored."""
+    shop = [(v.product_id, v.name, v.size_ml) for v in A.products(spark, SF).collect()]
+    sized = normalise(A.feed_items(spark, SF)).withColumn("size_ml", volume_ml(F.col("raw_size")))
+    one = {r.item_id: r.variant_id for r in E.tier1(sized, A.products(spark, SF)).collect()}
+    items = [r for r in sized.select("item_id", "size_ml", clean_title(F.col("title"), F.col("brand_name")).alias("clean")).collect() if one[r.item_id] is None]
+    memo, want = {}, {}
+    for i in items:
+        if not i.size_ml or i.clean is None:
+            continue
+        if (i.clean, i.size_ml) not in memo:
+            near = sorted((abs(s - i.size_ml), p, n, s) for p, n, s in shop if i.size_ml * 0.85 <= s <= i.size_ml * 1.15)[:50]
+            scored = [(-combined(ratio(i.clean, n), size_score(i.size_ml, s)), diff, p) for diff, p, n, s in near]
+            memo[i.clean, i.size_ml] = (min(scored)[2], -min(scored)[0]) if scored else None
+        if memo[i.clean, i.size_ml]:
+            want[i.item_id] = memo[i.clean, i.size_ml]
+    got = {r.item_id: (r.t2_id, r.t2_score) for r in QUERIES["E-2_difflib"](spark, SF).collect()}
+    assert got.keys() == want.keys() and len(got) > 100
+    assert all(got[k][0] == want[k][0] and abs(got[k][1] - want[k][1]) < 1e-9 for k in got)
+    whole = {r.item_id: (r.tier, r.candidate_id, r.confidence) for r in QUERIES["E-4_difflib"](spark, SF).collect()}
+    for i, v in one.items():
+        expected = ("tier1", v, 1.0) if v is not None else ("tier2", *want[i]) if i in want else ("none", None, 0.0)
+        assert whole[i][:2] == expected[:2] and abs(whole[i][2] - expected[2]) < 1e-9

@@ -25,7 +25,7 @@ def test_a_batch_is_appended_once(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         ledger.read()
     ledger.append(offers(spark, (0, 50)), "monday")
-    ledger.append(offers(spark, (50, 60)), "tuesday", unit="month")
+    ledger.append(offers(spark, (50, 60)), "tuesday")
     with pytest.raises(FileExistsError):
         ledger.append(offers(spark, (0, 99)), "monday")
     for name in ("", "../x", "a/b"):
@@ -34,6 +34,9 @@ def test_a_batch_is_appended_once(spark, tmp_path):
     got = ledger.read()
     assert sorted(r.offer_id for r in got.collect()) == list(range(60)) and ledger.batches() == ["monday", "tuesday"]
     assert got.where("batch = 'tuesday'").count() == 10
+    monthly = Ledger(spark, str(tmp_path / "monthly"), unit="month")
+    monthly.append(offers(spark, (0, 99)), "b")
+    assert monthly.read().select("seen_month").distinct().count() == 2
 
 
 def test_a_lost_append_leaves_nothing_and_can_be_done_again(spark, tmp_path, monkeypatch):
