@@ -11,7 +11,8 @@ to repeat, so that only few suffixes are ever written out:
    up to `group_cap` different contexts. Larger ones are told apart before they are dealt, and are a distributed aggregate
    over their windows instead.
 
-Groups that reach full depth are exactly the repeated windows. Digits are compared by 64-bit hashes.
+Groups that reach full depth are exactly the repeated windows. Digits are compared by 64-bit hashes; windows that reach full
+depth by 128 bits, the second 64 of them from a hash of its own over the whole window.
 """
 
 from __future__ import annotations
@@ -34,10 +35,11 @@ GROUP_CAP = 20_000
 BATCH = 8 << 20
 CHUNK = 1 << 20
 DIGITS = 4
-_powers: dict[str, np.ndarray] = {}
+_powers: dict[tuple[int, str], np.ndarray] = {}
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_BYTES = np.random.default_rng(20).integers(1, 1 << 64, 256, dtype=np.uint64)
+#: Of each of the two hashes: its base and its values of bytes.
+_BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
+_BYTES = [np.random.default_rng(seed).integers(1, 1 << 64, 256, dtype=np.uint64) for seed in (20, 21)]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -49,19 +51,19 @@ def _mix(x: np.ndarray) -> np.ndarray:
 class _Hashes:
     """Hashes of any substrings of a byte array, from prefix sums modulo 2**64."""
 
-    def __init__(self, raw: np.ndarray):
-        n = len(raw) + 1
-        if len(_powers.get("up", ())) < n:
+    def __init__(self, raw: np.ndarray, lane: int = 0):
+        n, self.lane = len(raw) + 1, lane
+        if len(_powers.get((lane, "up"), ())) < n:
             size = max(n, CHUNK + 4096)
-            for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            for name, base in (("up", _BASES[lane]), ("down", pow(_BASES[lane], -1, 1 << 64))):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
-                _powers[name] = np.multiply.accumulate(steps)
+                _powers[lane, name] = np.multiply.accumulate(steps)
         self.prefix = np.zeros(n, np.uint64)
-        np.cumsum(_BYTES[raw] * _powers["up"][: n - 1], out=self.prefix[1:])
+        np.cumsum(_BYTES[lane][raw] * _powers[lane, "up"][: n - 1], out=self.prefix[1:])
 
     def of(self, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return _mix((self.prefix[end] - self.prefix[begin]) * _powers["down"][begin])
+        return _mix((self.prefix[end] - self.prefix[begin]) * _powers[self.lane, "down"][begin])
 
 
 def anchors(raw: np.ndarray, offs: np.ndarray, depth: int, gram: int = GRAM):
@@ -111,6 +113,12 @@ def repeated_windows(raw: np.ndarray, begin: np.ndarray, n: np.ndarray, at: np.n
         _, where = np.unique(key, return_inverse=True)
         stay = np.bincount(where, weights=weight[row])[where] > 1
         row, win, s, key = row[stay], win[stay], s[stay], key[stay]
+    if len(row):
+        # equal in the second hash too
+        first, second = (np.unique(x, return_inverse=True)[1] for x in (key, _Hashes(raw, 1).of(s, s + depth)))
+        _, where = np.unique(first * (second.max() + 1) + second, return_inverse=True)
+        stay = np.bincount(where, weights=weight[row])[where] > 1
+        row, win = row[stay], win[stay]
     return row, win
 
 
@@ -175,9 +183,9 @@ def repeated_spans(rows: DataFrame, depth: int = 200, group_cap: int = GROUP_CAP
     spans = whole.union(scratch(dealt.mapInArrow(_small_groups(depth), "key long, start long, n long")))
     if some_large:
         texts = _context_texts(rows, open_.join(many, "h", "left_semi"), depth)
-        windows = scratch(texts.mapInArrow(_window_rows(depth), "w long, k int, key long, start long"))
-        twice = scratch(windows.groupBy("w").agg(F.sum("k").alias("s")).where("s > 1").select("w"))
-        spans = spans.union(windows.where("k = 1").join(twice, "w", "left_semi").select("key", "start", F.lit(1).cast("long").alias("n")))
+        windows = scratch(texts.mapInArrow(_window_rows(depth), "w long, w2 long, k int, key long, start long"))
+        twice = scratch(windows.groupBy("w", "w2").agg(F.sum("k").alias("s")).where("s > 1").select("w", "w2"))
+        spans = spans.union(windows.where("k = 1").join(twice, ["w", "w2"], "left_semi").select("key", "start", F.lit(1).cast("long").alias("n")))
     return spans
 
 
@@ -257,8 +265,8 @@ def _window_rows(depth: int):
             win = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             s = begin[row] + win
             w = _mix(_mix(h[row].view(np.uint64) + (at[row] - win).astype(np.uint64) * _U(0xA0761D6478BD642F)) + _Hashes(raw).of(s, s + depth))
-            cols = [pa.array(w.view(np.int64)), pa.array(k[row]), pa.array(b.column(2).to_numpy()[row]), pa.array(b.column(3).to_numpy()[row] + win)]
-            yield pa.RecordBatch.from_arrays(cols, ["w", "k", "key", "start"])
+            cols = [pa.array(w.view(np.int64)), pa.array(_Hashes(raw, 1).of(s, s + depth).view(np.int64)), pa.array(k[row]), pa.array(b.column(2).to_numpy()[row]), pa.array(b.column(3).to_numpy()[row] + win)]
+            yield pa.RecordBatch.from_arrays(cols, ["w", "w2", "k", "key", "start"])
 
     return run
 

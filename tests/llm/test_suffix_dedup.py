@@ -71,3 +71,14 @@ def test_edges(spark):
     docs = spark.createDataFrame(rows, DOCS).selectExpr("*", "1 as key", "2 as h", "3 as start", "4 as id")
     got = sorted((r.n_bytes, r.n_removed) for r in sd.drop_repeats(docs, with_kept=True).collect())
     assert got == [(0, 0), (199, 0), (230, 230), (230, 230)]
+
+
+def test_a_collision_of_the_first_hash_removes_nothing(monkeypatch):
+    """With a first hash that only sees lengths, windows are equal by the second."""
+    import numpy as np
+
+    monkeypatch.setattr(sd, "_BYTES", [np.full(256, 7, np.uint64), sd._BYTES[1]])
+    raw = np.frombuffer(b"abcdefgh" + b"abcdefgX" + b"abcdefgh", np.uint8)
+    begin, n, one = np.array([0, 8, 16]), np.array([1, 1, 1]), np.ones(3, np.int64)
+    row, win = sd.repeated_windows(raw, begin, n, np.zeros(3, np.int64), np.zeros(3, np.int64), one, 8)
+    assert row.tolist() == [0, 2] and win.tolist() == [0, 0]
