@@ -90,13 +90,23 @@ def brand_list(products: DataFrame) -> DataFrame:
 
 
 def admin_products(products: DataFrame, offers: DataFrame, product_ingredients: DataFrame) -> DataFrame:
-    """A-4, J-2: each child is counted before it is joined."""
+    """A-4, J-2: each child is counted before it is joined. The admin list's order is admin_page's."""
     o = offers.groupBy("product_id").agg(F.count("*").alias("offers"))
     i = product_ingredients.groupBy("product_id").agg(F.count("*").alias("ingredients"))
     zero = F.lit(0).cast("long")
     return products.join(o, "product_id", "left").join(i, "product_id", "left").withColumns({"offers": F.coalesce("offers", zero), "ingredients": F.coalesce("ingredients", zero)})
 
 
+def admin_page(products: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
+    """A-4: a page of the admin list, the best score first, then the newest; ties by id."""
+    return products.orderBy(F.desc("dcs_score"), F.desc("created_at"), "product_id").offset(offset).limit(limit)
+
+
+def variant_sizes(variants: DataFrame) -> DataFrame:
+    """A-12: each product's distinct sizes, in order."""
+    return variants.where("size_ml is not null").groupBy("product_id").agg(F.sort_array(F.collect_set("size_ml")).alias("sizes"))
+
+
 def siblings(pages: DataFrame) -> DataFrame:
     """J-8: pages of the same archetype and entities that are indexable. A page without entities (null or none) has no siblings."""
     pages = pages.where(F.size("entity_refs") > 0)

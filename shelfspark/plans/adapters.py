@@ -56,9 +56,9 @@ def pages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def variants(spark: SparkSession, sf: str) -> DataFrame:
-    """Product by product: none for every sixth, two for every fourth of the others."""
+    """Product by product: none for every sixth, a double size for every fourth of the others, and the same size again for every eighth."""
     p = products(spark, sf).where("product_id % 6 <> 5").select("product_id", "size_ml")
-    return p.union(p.where("product_id % 4 = 0"))
+    return p.union(p.where("product_id % 4 = 0").withColumn("size_ml", F.col("size_ml") * 2)).union(p.where("product_id % 8 = 0"))
 
 
 def feed_items(spark: SparkSession, sf: str) -> DataFrame:

@@ -652,9 +652,14 @@ def a3(s, d):
     return V.brand_list(A.products(s, d))
 
 
-@query("A-4", "SELECT product_id, offers, ingredients FROM (SELECT product_id, (SELECT count(*) FROM offers o WHERE o.product_id = p.product_id) AS offers, (SELECT count(*) FROM pi WHERE pi.product_id = p.product_id) AS ingredients FROM products p) ORDER BY offers DESC, product_id LIMIT 100 OFFSET 20", "products", "offers", "pi")
+@query("A-4", """SELECT product_id, dcs_score, created_at, (SELECT count(*) FROM offers o WHERE o.product_id = p.product_id) AS offers, (SELECT count(*) FROM pi WHERE pi.product_id = p.product_id) AS ingredients
+ FROM (SELECT p.product_id, coalesce(s.dcs_score, 0) AS dcs_score, TIMESTAMP '2000-01-01' + INTERVAL (p.product_id % 97) DAY AS created_at FROM products p LEFT JOIN scored s ON s.entity_refs[1] = p.product_id AND s.archetype IN ('product', 'p')) p
+ ORDER BY dcs_score DESC, created_at DESC, product_id LIMIT 100 OFFSET 20""", "products", "offers", "pi", "scored")
 def a4(s, d):
-    return V.admin_products(A.products(s, d), A.offers(s, d), A.product_ingredients(s, d)).orderBy(F.desc("offers"), "product_id").offset(20).limit(100).select("product_id", "offers", "ingredients")
+    """Limit and offset are the feature. Scores are those that the gate gave the products' pages."""
+    created = F.lit("2000-01-01").cast("timestamp") + F.make_interval(days=(F.col("product_id") % 97).cast("int"))
+    products = C.sync_products(A.products(s, d).select("product_id", F.lit(0).alias("dcs_score"), F.lit("").alias("index_tier"), created.alias("created_at")), _scored(s, d))
+    return V.admin_page(V.admin_products(products, A.offers(s, d), A.product_ingredients(s, d)), 100, 20).select("product_id", "dcs_score", "created_at", "offers", "ingredients")
 
 
 @query("A-5", "SELECT archetype, count(*) AS total_pages, count(*) FILTER (WHERE indexable) AS indexed_pages FROM scored GROUP BY 1", "scored")
@@ -702,9 +707,9 @@ def a11(s, d):
     return rows.select("product_id", joined("x.ingredient_id").alias("actives"))
 
 
-@query("A-12", "SELECT brand, string_agg(DISTINCT size_ml::BIGINT::VARCHAR, '|' ORDER BY size_ml::BIGINT::VARCHAR) AS sizes FROM products GROUP BY 1", "products")
+@query("A-12", "SELECT product_id, string_agg(DISTINCT m::BIGINT::VARCHAR, '|' ORDER BY length(m::BIGINT::VARCHAR), m::BIGINT::VARCHAR) AS sizes FROM (SELECT product_id, unnest(CASE WHEN product_id % 4 = 0 THEN [size_ml, size_ml * 2] ELSE [size_ml] END) AS m FROM products WHERE product_id % 6 <> 5) GROUP BY 1", "products")
 def a12(s, d):
-    return A.products(s, d).groupBy("brand").agg(F.array_join(F.sort_array(F.collect_set(F.col("size_ml").cast("long").cast("string"))), "|").alias("sizes"))
+    return V.variant_sizes(A.variants(s, d)).select("product_id", F.array_join(F.transform("sizes", lambda x: x.cast("long").cast("string")), "|").alias("sizes"))
 
 
 @query("A-13", "SELECT lower(brand) AS brand, count(*) AS n FROM products GROUP BY 1", "products")
