@@ -15,8 +15,9 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Centres of a block, rows of the sample they are picked from, and most blocks that have centres (others are one cell).
-CENTRES, SAMPLE, BLOCKS = 32, 256, 4096
+#: Centres of a block, rows of the sample they are picked from, and bytes of all samples on the driver: where they do not do for all
+#: blocks, the largest ones have centres and each other block is one cell.
+CENTRES, SAMPLE, SAMPLE_BYTES = 32, 128, 64 << 20
 #: Rows and queries of one part.
 PART = 4096
 
@@ -28,15 +29,19 @@ def _matrix(column) -> np.ndarray:
 
 
 def centres(vectors: DataFrame, block: str) -> dict:
-    """block -> matrix of centres; a bounded sample of each of at most BLOCKS blocks, drawn by hash."""
+    """block -> matrix of centres, picked from a sample of each of the largest blocks, drawn by hash."""
+    one = vectors.select(F.size("v").alias("n")).first()
+    if one is None:
+        return {}
     order = Window.partitionBy(block).orderBy(F.xxhash64("id"), "id")
-    rows = vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).select(block, "v")
-    sizes = rows.groupBy(block).count().orderBy(F.desc("count"), block).limit(BLOCKS).select(block)
-    got, out = rows.join(sizes, block).toArrow(), {}
-    for b, v in zip(got.column(block).to_pylist(), got.column("v").to_pylist(), strict=True):
-        out.setdefault(b, []).append(v)
-    for b, rows_ in out.items():
-        m = np.array(sorted(rows_), np.float64)
+    rows = vectors.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= SAMPLE).select(block, "id", "v")
+    most = max(1, SAMPLE_BYTES // (SAMPLE * 8 * max(1, one.n)))
+    sizes = vectors.groupBy(block).count().orderBy(F.desc("count"), block).limit(most).select(block)
+    got, out = rows.join(F.broadcast(sizes), block).toArrow(), {}
+    names, ids, every = np.array(got.column(block).to_pylist(), object), got.column("id").to_numpy(), _matrix(got.column("v"))
+    for b in dict.fromkeys(names.tolist()):
+        at = np.flatnonzero(names == b)
+        m = every[at[np.argsort(ids[at], kind="stable")]]
         chosen, far = [0], 1 - m @ m[0]
         while len(chosen) < min(CENTRES, len(m)) and far.max() > 1e-9:
             chosen.append(int(far.argmax()))
