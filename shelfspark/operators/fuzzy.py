@@ -39,21 +39,28 @@ def _segment(m: Column, d: Column, i: Column) -> tuple[Column, Column]:
     return i * base + F.greatest(i - short, F.lit(0)), base + F.when(i >= short, 1).otherwise(0)
 
 
-def _key_segments(keys: DataFrame, key: str, threshold: float, mode: str) -> DataFrame:
-    m = F.length(key)
+def _key_lengths(lengths: DataFrame, threshold: float, mode: str) -> DataFrame:
+    """_m -> _m, _d: the numbers of edits that a key of this length may be cut for."""
+    m = F.col("_m")
     low, high = length_range(m, threshold, mode)
     ds = F.array_distinct(F.transform(F.sequence(low, F.greatest(low, high)), lambda n: edits(n, m, threshold, mode)))
-    rows = keys.where(m > 0).select("*", m.alias("_m"), F.explode(ds).alias("_d"))
+    return lengths.select("*", F.explode(ds).alias("_d"))
+
+
+def _key_segments(keys: DataFrame, key: str, threshold: float, mode: str) -> DataFrame:
+    rows = _key_lengths(keys.withColumn("_m", F.length(key)).where("_m > 0"), threshold, mode)
     rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
     start, size = _segment(F.col("_m"), F.col("_d"), F.col("_i"))
     return rows.withColumn("_s", F.substring(F.col(key), start + 1, size))
 
 
-def _text_segments(texts: DataFrame, text: str, threshold: float, mode: str) -> DataFrame:
+def _text_segments(texts: DataFrame, text: str, threshold: float, mode: str, lengths: DataFrame) -> DataFrame:
+    """lengths: the (_m, _d) that keys have, at most a few for each length of a key: others are not looked up."""
     n = F.length(text)
     low, high = length_range(n, threshold, mode)
     rows = texts.where(n > 0).select(text, n.alias("_n"), F.explode(F.sequence(low, F.greatest(low, high))).alias("_m"))
-    rows = rows.withColumn("_d", edits(F.col("_n"), F.col("_m"), threshold, mode)).select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
+    rows = rows.withColumn("_d", edits(F.col("_n"), F.col("_m"), threshold, mode)).join(F.broadcast(lengths), ["_m", "_d"])
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("_d"))).alias("_i"))
     start, size = _segment(F.col("_m"), F.col("_d"), F.col("_i"))
     late, rest = F.col("_n") - F.col("_m"), F.col("_d") - F.col("_i")
     first = F.greatest(start - F.col("_i"), start + late - rest, F.lit(0))
@@ -68,7 +75,9 @@ def fuzzy_pairs(texts: DataFrame, keys: DataFrame, threshold: float, mode: str =
 
     In mode difflib an upper bound (characters in common) is compared first, natively."""
     on = ["_m", "_d", "_i", "_s"]
-    met = _text_segments(texts.select(text), text, threshold, mode).join(_key_segments(keys.select(key), key, threshold, mode), on).select(text, key).distinct()
+    cut = _key_segments(keys.select(key), key, threshold, mode)
+    lengths = _key_lengths(keys.select(F.length(key).alias("_m")).where("_m > 0").distinct(), threshold, mode)
+    met = _text_segments(texts.select(text), text, threshold, mode, lengths).join(cut, on).select(text, key).distinct()
     if mode == "difflib":
         met = met.where(quick_ratio(F.col(text), F.col(key)) >= threshold - _E)
     return met.withColumn("score", name_score(F.col(text), F.col(key), mode)).where(F.col("score") >= threshold)
