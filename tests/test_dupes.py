@@ -81,3 +81,49 @@ def test_an_ingredient_in_the_first_place_of_every_label(spark):
     print(took, pairs)
     assert pairs[10_000] >= 50 and pairs[100_000] >= 50
     assert took[100_000] < 15 * took[10_000] + 10
+
+
+def cosines(labels, least):
+    """Pairs of a block by definition; labels: id -> (block, item -> weight)."""
+    out = {}
+    for a, (x, v) in labels.items():
+        for b, (y, w) in labels.items():
+            if a < b and x is not None and x == y and v.keys() & w.keys() and (dot := sum(v[i] * w[i] for i in v.keys() & w.keys())) >= least:
+                out[a, b] = dot
+    return out
+
+
+@pytest.mark.parametrize("least", [0.0, 0.3, 0.6])
+@pytest.mark.parametrize("size", [7, 1000])
+def test_tiles_of_many_ranges(spark, least, size):
+    """Blocks of one and of many ranges, a common item, ids far apart, and asked labels on either side."""
+    from shelfspark.operators.pairs import similar_in_tiles
+
+    rng, labels = random.Random(5), {}
+    for p in range(120):
+        items = [0, *rng.sample(range(1, 25), rng.randint(1, 6))] if p % 9 else [40 + p]
+        w = [rng.random() + 0.05 for _ in items]
+        labels[p * p * 1000] = ("big" if p % 4 else None if p % 8 else "small", {i: x / sum(y * y for y in w) ** 0.5 for i, x in zip(items, w, strict=True)})
+    asked = set(rng.sample(sorted(labels), 20))
+    for only in (None, asked):
+        rows = [(b, p, only is None or p in only, list(v), list(v.values())) for p, (b, v) in labels.items()]
+        df = spark.createDataFrame(rows, "block string, product_id long, asked boolean, items array<long>, weights array<double>")
+        found = [((r.a, r.b), r.similarity) for r in similar_in_tiles(df, least, size).collect()]
+        want = {k: v for k, v in cosines(labels, least).items() if only is None or set(k) & only}
+        assert len(found) == len(want) and dict(found).keys() == want.keys() and len(want) > 10
+        assert all(abs(s - want[k]) < 1e-9 for k, s in found)
+
+
+def test_pairs_are_found_once_for_both_ways(spark):
+    """The pairs' plan is costly: each form from both ends reads it once."""
+    pairs = spark.createDataFrame([(1, 2, 0.5, 3.0)], "a long, b long, similarity double, price_delta_pct double")
+    for df in (D.both_ways(pairs), D.edges_of(pairs)):
+        assert sorted((r.product_id, r.other_id) for r in df.collect()) == [(1, 2), (2, 1)]
+        assert "Union" not in df._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.product_id: r.price_delta_pct for r in D.edges_of(pairs).collect()} == {1: 3.0, 2: -3.0}
+
+
+def test_v2_has_every_pair_that_shares_an_ingredient():
+    from shelfspark.plans.registry import ORACLE_SQL
+
+    assert "similarity >=" not in ORACLE_SQL["V-2"].split("FROM cos")[-1]
