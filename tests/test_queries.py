@@ -84,3 +84,19 @@ def test_retailers_by_any_part(spark):
     parts = spark.createDataFrame([("a", "BETA"), ("b", "b"), ("c", ""), ("d", "ha be"), ("e", "zz")], "slug string, part string")
     got = sorted((r.slug, r.retailer_id) for r in retailers_like(shops, parts).collect())
     assert got == [("a", 1), ("a", 2), ("b", 1), ("b", 2), ("b", 4), *[("c", i) for i in (1, 2, 3, 4)], ("d", 1)]
+
+
+def test_the_nearest_are_found_for_sizes_and_equal_variants_once(spark):
+    """E-2, E-3: many titles of one size share its nearest variants; of many equal variants only the smallest ids are compared."""
+    from shelfspark.functions.scores import embed
+
+    seen = []
+    keep, resolve.nearest = resolve.nearest, lambda v, q, *a, **k: (seen.append((v.count(), q.count())), keep(v, q, *a, **k))[1]
+    try:
+        items = spark.createDataFrame([(i, f"brand name {i}", "brand", 30.0) for i in range(20)], "item_id long, title string, brand_name string, size_ml double")
+        shop = spark.createDataFrame([(i, "name 3", "brand", 30.0) for i in range(500, 900)], "product_id long, name string, brand string, size_ml double")
+        assert {r.t3_id for r in resolve.tier3(items, shop, embed()).collect()} == {500}
+    finally:
+        resolve.nearest = keep
+    assert seen[0][0] == 5
+    assert {r.t2_id for r in resolve.tier2(items, shop).collect()} == {500}
