@@ -48,8 +48,8 @@ def seed_catalog(raw: DataFrame, ingredients: DataFrame, brands: DataFrame, reta
     ids = known.union(made.select("key", "ingredient_id"))
 
     product = _both(old["product"], product_new.join(brand_ids, "brand_slug", "left"))
-    of = product.select("slug", "product_id")
-    rows = slots.join(U.insert_absent(raw.select("slug").limit(0), raw, ["slug"], [F.col("row_id")]).select("slug", "row_id"), ["slug", "row_id"], "left_semi").join(of, "slug").join(ids, "key").select("product_id", "ingredient_id", "position", "is_active")
+    of = product.select("slug", "product_id").hint("merge")  # never broadcast, as they grow with the catalog
+    rows = slots.join(U.insert_absent(raw.select("slug").limit(0), raw, ["slug"], [F.col("row_id")]).select("slug", "row_id").hint("merge"), ["slug", "row_id"], "left_semi").join(of, "slug").join(ids, "key").select("product_id", "ingredient_id", "position", "is_active")
     product_ingredient = _both(old["product_ingredient"], U.insert_absent(old["product_ingredient"], rows, ["product_id", "position"], [F.col("ingredient_id")]))
 
     retailer_new = U.insert_absent(old["retailer"].select("name"), retailers, ["name"], [F.col("market")]).withColumn("retailer_id", _id("name"))
@@ -59,7 +59,7 @@ def seed_catalog(raw: DataFrame, ingredients: DataFrame, brands: DataFrame, reta
     variant_new = U.insert_absent(old["variant"].select("product_id"), listed, ["product_id"], [F.col("row_id")])
     variant_new = variant_new.select(_id("product_id", "size_ml").alias("variant_id"), "product_id", "size_ml", F.get("offers", 0)["price"].alias("mrp"))
     variant = _both(old["variant"], variant_new)
-    one = variant.groupBy("product_id").agg(F.min("variant_id").alias("variant_id"))
+    one = variant.groupBy("product_id").agg(F.min("variant_id").alias("variant_id")).hint("merge")
     asked = listed.select("product_id", "slug", F.explode("offers").alias("o")).join(one, "product_id").join(retailer.select(F.col("name").alias("retailer"), "retailer_id"), F.col("o.retailer") == F.col("retailer"))
     link = F.concat(F.lit("https://www."), F.lower("retailer"), F.lit(".com/search?q="), "slug")
     offer_new = asked.select("variant_id", "retailer_id", F.col("o.price").alias("price"), F.lit("INR").alias("currency"), F.lit(True).alias("in_stock"), link.alias("affiliate_url"), F.lit(batch).alias("batch")).withColumn("offer_id", _id("variant_id", "retailer_id", "price", "batch"))

@@ -10,16 +10,16 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column])
     """U-1: the snapshot after new rows replace old ones by key; of several new rows the first in order counts.
     is_new says that the key was not there."""
     last = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-    had = old.select(*keys).distinct().withColumn("_had", F.lit(True))
+    had = old.select(*keys).distinct().withColumn("_had", F.lit(True)).hint("merge")
     fresh = last.join(had, keys, "left").withColumn("is_new", F.col("_had").isNull()).drop("_had")
     kept = old.join(last.select(*keys), keys, "left_anti").withColumn("is_new", F.lit(False))
     return kept.unionByName(fresh.select(*kept.columns))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    """U-2: the rows to append: of each key that old lacks, the first in order."""
+    """U-2: the rows to append: of each key that old lacks, the first in order. Old keys are never broadcast."""
     first = new.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_r = 1").drop("_r")
-    return first.join(old.select(*keys), keys, "left_anti")
+    return first.join(old.select(*keys).hint("merge"), keys, "left_anti")
 
 
 def find_or_create(dimension: DataFrame, wanted: DataFrame, key: str, id_col: str) -> DataFrame:

@@ -22,3 +22,16 @@ def test_pages_are_not_broadcast(spark):
     found = search.attach_pages(spark.createDataFrame([(u,) for u in urls], "url string"), pages)
     assert "Broadcast" not in plan(found)
     assert sorted((r.url[17:], r.page_url, r.archetype) for r in found.collect()) == [("/c", "https://s.example/c", "dupe"), ("/ingredient/z", None, "ingredient"), ("/p/a", "/p/a", "product"), ("/p/a?x=1", "/p/a?x=1", "vs"), ("/p/a?y=1", "/p/a", "product")]
+
+
+def test_old_keys_and_seeded_products_are_not_broadcast(spark):
+    """S-7_offer: of the joins only those with the dictionary of retailers may be broadcast."""
+    old, new = spark.range(5).withColumnRenamed("id", "k"), spark.range(3, 8).withColumnRenamed("id", "k")
+    absent = upsert.insert_absent(old, new, ["k"], [F.col("k")])
+    assert "Broadcast" not in plan(absent) and sorted(r.k for r in absent.collect()) == [5, 6, 7]
+    raw = spark.sql("select 1L row_id, 'a-b' slug, 'b' name, 'A' brand, 'a' brand_slug, 'c' category, 'f' format, cast(array() as array<string>) claims, array(named_struct('name', 'Water', 'is_active', true)) ingredients, 5d size_ml, array(named_struct('retailer', 'Nykaa', 'price', 3d)) offers from range(2)")
+    dictionary, brands, shops = spark.createDataFrame([], seed.EMPTY["ingredient"]), spark.createDataFrame([], seed.EMPTY["brand"]), spark.createDataFrame([("Nykaa", "IN")], "name string, market string")
+    offer = seed.seed_catalog(raw, dictionary, brands, shops, seed.empty_catalog(spark), "b")["offer"]
+    broadcast = [line for line in plan(offer).split("\n") if "BroadcastHashJoin" in line or "BroadcastNestedLoop" in line]
+    assert all("retailer" in line or "brand_slug" in line or "slug" not in line and "product_id" not in line for line in broadcast)
+    assert offer.count() == 1
