@@ -24,6 +24,32 @@ def test_pages_are_not_broadcast(spark):
     assert sorted((r.url[17:], r.page_url, r.archetype) for r in found.collect()) == [("/c", "https://s.example/c", "dupe"), ("/ingredient/z", None, "ingredient"), ("/p/a", "/p/a", "product"), ("/p/a?x=1", "/p/a?x=1", "vs"), ("/p/a?y=1", "/p/a", "product")]
 
 
+def test_variants_are_not_broadcast_and_items_without_gtin_are_dealt_out(spark, shop):
+    """J-3, E-1, E-4, E-5, O-3"""
+    items = spark.range(400).select(F.col("id").alias("item_id"), F.when(F.col("id") == 7, "g1").when(F.col("id") == 8, "g9").alias("gtin"), F.concat(F.lit("a"), "id").alias("title"), F.concat(F.lit("x"), "id").alias("brand_name"), (F.col("id") * 1.0).alias("size_ml"))
+    found = ledger.gtin_lookup(items, shop)
+    assert "Broadcast" not in plan(found) and "Broadcast" not in plan(resolve.slug_lookup(items, shop))
+    assert sorted((r.item_id, r.variant_id) for r in found.where("variant_id is not null").collect()) == [(7, 1)]
+    assert found.count() == 400 and found.columns == ["gtin", "item_id", "title", "brand_name", "size_ml", "variant_id"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        held = [r.n for r in found.where("gtin is null").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(held) > 2 and max(held) < 200
+
+
+def test_reviews_are_not_broadcast(spark):
+    """E-8, E-8_offers"""
+    queue = spark.createDataFrame([(1, None, 5, "pending"), (2, None, 6, "pending")], "item_id long, variant_id long, candidate_id long, status string")
+    decisions = spark.createDataFrame([(1, "approved", "ann", None)], "item_id long, decision string, reviewer string, variant_id long")
+    items = spark.createDataFrame([(1, 1, 2.0, None, "u"), (2, 1, 2.0, None, "u")], "item_id long, retailer_id long, price double, currency string, affiliate_url string")
+    after, offers = resolve.apply_reviews(queue, decisions, "2024-01-01 00:00:00", items)
+    assert "Broadcast" not in plan(offers)
+    assert sorted((r.item_id, r.status, r.variant_id) for r in after.collect()) == [(1, "approved", 5), (2, "pending", None)]
+    assert [(r.item_id, r.variant_id) for r in offers.collect()] == [(1, 5)]
+
+
 def test_old_keys_and_seeded_products_are_not_broadcast(spark):
     """S-7_offer: of the joins only those with the dictionary of retailers may be broadcast."""
     old, new = spark.range(5).withColumnRenamed("id", "k"), spark.range(3, 8).withColumnRenamed("id", "k")
