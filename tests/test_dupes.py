@@ -127,3 +127,30 @@ def test_v2_has_every_pair_that_shares_an_ingredient():
     from shelfspark.plans.registry import ORACLE_SQL
 
     assert "similarity >=" not in ORACLE_SQL["V-2"].split("FROM cos")[-1]
+
+
+def test_vectors_take_one_shuffle_of_the_slots(spark):
+    """Places in labels, one slot an ingredient and lengths all go by product: the rows are dealt once, each column once."""
+    from shelfspark.plans import adapters as A
+
+    plan = D.formula_vectors(A.product_ingredients(spark, "/root/testdata/sf0.001"))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1
+    below = plan.split("Exchange ")[1].split("\n")[1]
+    assert below.count("l_partkey") == below.count("l_suppkey") == 1, below
+
+
+@pytest.mark.parametrize("shared", [True, False])
+def test_ranges_get_each_other_only_what_they_share(spark, shared):
+    """Labels of 9 items of their own range and, if shared, one of all ranges: other ranges get that one, and else nothing."""
+    from shelfspark.operators.pairs import dealt_to_tiles
+
+    own = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda i: 1000 * F.floor(F.col("id") / 100) + i)
+    items = F.concat(own, F.array(F.lit(1_000_000).cast("long"))) if shared else own
+    df = spark.range(400).select(F.lit("b").alias("block"), F.col("id").alias("product_id"), F.lit(True).alias("asked"), items.alias("items"))
+    rows = dealt_to_tiles(df.withColumn("weights", F.transform("items", lambda i: i * 1.0)), 50).collect()
+    assert {r.product_id for r in rows} == set(range(400))
+    assert all(list(map(float, r["items"])) == r["weights"] for r in rows)
+    whole = [r for r in rows if r.left == r.right]
+    assert len(whole) == 400 and all(len(r["items"]) == 9 + shared for r in whole)
+    far = [r for r in rows if r.left // 100 + 1 < r.right // 100]
+    assert bool(far) is shared and all(r["items"] == [1_000_000] for r in far)
