@@ -154,3 +154,51 @@ def test_ranges_get_each_other_only_what_they_share(spark, shared):
     assert len(whole) == 400 and all(len(r["items"]) == 9 + shared for r in whole)
     far = [r for r in rows if r.left // 100 + 1 < r.right // 100]
     assert bool(far) is shared and all(r["items"] == [1_000_000] for r in far)
+
+
+def test_slots_are_shuffled_without_what_orders_equal_rows(spark):
+    """J-6, V-2: of rows that tie in order, line and ingredient none can be told from the others, so date and price stay where they are."""
+    from shelfspark.plans import adapters as A
+
+    plan = A.product_ingredients(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "l_orderkey" in plan and "l_shipdate" not in plan and "l_extendedprice" not in plan
+
+
+def test_rounds_deal_out_a_few_times_the_labels(spark):
+    """J-6, V-5: an item that all ranges share sends labels to every range; a round takes so many tiles only."""
+    from shelfspark.operators.pairs import COPIES, RANGE, similar_by_rounds
+
+    items = F.array(F.lit(0).cast("long"), F.col("id") + 1)
+    df = spark.range(100).select(F.lit("b").alias("block"), F.col("id").alias("product_id"), F.lit(True).alias("asked"), items.alias("items"), F.array(F.lit(0.8), F.lit(0.6)).alias("weights"))
+    rounds = similar_by_rounds(df, 0.6, 5)
+    assert len(rounds) == 5 and len(similar_by_rounds(df, 0.6, RANGE)) == 1
+    pairs = [sorted((r.a, r.b) for r in f().collect()) for f in rounds]
+    assert max(map(len, pairs)) < 0.5 * 100 * 99 / 2
+    assert sorted(p for some in pairs for p in some) == [(a, b) for a in range(100) for b in range(a + 1, 100)]
+    assert COPIES == 4
+
+
+def test_lists_are_merged_over_rounds(spark, monkeypatch):
+    """V-3, W-4, V-5: the best of several rounds are those of one."""
+    rng = random.Random(9)
+    now = vectors(spark, {p: [0, *rng.sample(range(1, 9), 4)] for p in range(60)})
+    shop = spark.createDataFrame([(p, "c") for p in range(60)], "product_id long, category string")
+    want = lists(D.dupe_candidates(now, shop, k=4))
+    keep, seen = D.similar_by_rounds, []
+    monkeypatch.setattr(D, "similar_by_rounds", lambda labels, least: seen.append(keep(labels, least, 5)) or seen[0])
+    assert lists(D.dupe_candidates(now, shop, k=4)) == want and len(seen[0]) > 2 and len(want) > 150
+
+
+def test_a_refresh_makes_labels_once_and_deals_none_without_an_asked_one(spark, monkeypatch):
+    """V-5_refresh"""
+    from shelfspark.operators.pairs import dealt_to_tiles
+
+    keep, made = D.labels_of, []
+    monkeypatch.setattr(D, "labels_of", lambda *a: made.append(keep(*a)) or made[-1])
+    now = vectors(spark, {p: [0, p % 5 + 1, p % 7 + 10] for p in range(30)})
+    shop = spark.createDataFrame([(p, "c") for p in range(30)], "product_id long, category string")
+    old = D.dupe_candidates(now, shop).cache()
+    assert lists(D.refresh_candidates(old, now, shop, shop.where("product_id < 3"))) == lists(old) and len(made) == 2
+    labels = made[0].withColumn("asked", F.col("product_id") < 3)
+    assert {r.left for r in dealt_to_tiles(labels, 5).where("left = right").collect()} == {0}
+    assert dealt_to_tiles(labels.withColumn("asked", F.lit(False)), 5).count() == 0

@@ -3,6 +3,7 @@
 import os
 import random
 import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,3 +143,31 @@ def test_vocabulary_is_stable_and_bounds_the_vectors(spark):
         for b in dense:
             if a < b:
                 assert abs(sum(x * y for x, y in zip(dense[a], dense[b], strict=True)) - sparse.get((a, b), 0.0)) < 1e-5
+
+
+def test_written_leaves_no_shuffle_files_and_settled_no_tables(spark, tmp_path):
+    """J-6, V-2, V-5_refresh, V-6, V-7, O-5: what was dealt out to make a table does not stay on the disk beside it."""
+
+    def shuffled():
+        disk = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        return {f.getName() for f in spark._jvm.scala.jdk.javaapi.CollectionConverters.asJava(disk.getAllFiles()) if f.getName().startswith("shuffle")}
+
+    before, option = shuffled(), spark.conf.get(store.SHUFFLES_GO)
+    table = store.written(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(50):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(store.SHUFFLES_GO) == option
+    assert sorted(r["count"] for r in table.collect()) == [142] + [143] * 6
+
+    made = []
+
+    def make():
+        made.append(store.written(spark.range(9)))
+        made.append(store.settled(lambda: store.written(spark.range(4))))
+        return made[0].join(made[1], "id")
+
+    kept = store.settled(make)
+    assert sorted(r.id for r in kept.collect()) == [0, 1, 2, 3]
+    assert not any(store._names(spark, t._folder) for t in made) and store._names(spark, kept._folder)
