@@ -202,3 +202,15 @@ def test_a_refresh_makes_labels_once_and_deals_none_without_an_asked_one(spark,
     labels = made[0].withColumn("asked", F.col("product_id") < 3)
     assert {r.left for r in dealt_to_tiles(labels, 5).where("left = right").collect()} == {0}
     assert dealt_to_tiles(labels.withColumn("asked", F.lit(False)), 5).count() == 0
+
+
+def test_only_the_products_of_edges_are_gathered(spark):
+    """O-5, V-6, V-7"""
+    from shelfspark.plans import queries as Q
+
+    pairs, only = Q._settled_edges(spark, "/root/testdata/sf0.01")
+    ends = {x for r in pairs.collect() for x in (r.a, r.b)}
+    held = {r.product_id for r in only(Q.A.products(spark, "/root/testdata/sf0.01")).collect()}
+    assert held == ends and 0 < len(ends) < 2000
+    scored = Q._scored(spark, "/root/testdata/sf0.01", only)
+    assert {r.entity_refs[0] for r in scored.collect()} == ends
