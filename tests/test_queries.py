@@ -100,3 +100,14 @@ def test_the_nearest_are_found_for_sizes_and_equal_variants_once(spark):
         resolve.nearest = keep
     assert seen[0][0] == 5
     assert {r.t2_id for r in resolve.tier2(items, shop).collect()} == {500}
+
+
+def test_every_tier_of_the_cascade_counts(spark, con):
+    """E-4: items that the second tier leaves open go to the third, in the query and in its SQL."""
+    got = {r.item_id: r for r in QUERIES["E-4"](spark, SF).collect()}
+    want = {r.item_id: r for r in QUERIES["E-4_embedding"](spark, SF).collect()}
+    assert {i: (r.tier, r.candidate_id, r.confidence) for i, r in got.items()} == {i: (r.tier, r.candidate_id, r.confidence) for i, r in want.items()}
+    tiers = [r.tier for r in got.values()]
+    assert set(tiers) == {"tier1", "tier2", "tier3", "none"}
+    third = con.execute(f"select count(*) from ({ORACLE_SQL['E-4']}) where tier = 'tier3'").fetchone()[0]
+    assert third == tiers.count("tier3") > 0
